@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, packing, records
+from riskloom.llm import langid, packing, records, warc
 from riskloom.llm._common import Scratch, table
 
 WORDS = "word_bpe_49k.json"
@@ -18,6 +18,26 @@ def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op5").path("archive")
+    warc.write(table(spark, sf_dir, "pages"), path, id_col="page_id", url_col="url", payload_col="html")
+    return warc.pages(warc.read(spark, path))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS d, CASE WHEN strlen(html) >= 0 THEN max(page_id) OVER (PARTITION BY sha1(html)) END AS kept FROM p),
+bits AS (
+  SELECT page_id, n, kept, d,
+    list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(d || '000', 1 + (5 * i) // 4, 3) AS BIGINT) >> (12 - 5 - (5 * i) % 4)) & 31) AS INTEGER) + 1, 1)) AS b
+  FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(b, '') AS payload_digest,
+  CASE WHEN kept IS NULL OR page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM bits"""
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
     path = scratch.path("records")
@@ -37,5 +57,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, learned, path, keep={"doc_id": F.col("doc_id"), "held_out": held_out(F.col("doc_id"))})
 
 
-QUERIES = {f.__name__: f for f in (op3_power_of_two_packing, op8_token_records, op9_language_id)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_power_of_two_packing, op5_warc_salvage, op8_token_records, op9_language_id)}
+SQL = {"op5_warc_salvage": OP5_SQL}
