@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, packing, records, warc
+from riskloom.llm import langid, mixing, packing, records, warc
 from riskloom.llm._common import Scratch, table
 
 WORDS = "word_bpe_49k.json"
@@ -57,5 +57,46 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, learned, path, keep={"doc_id": F.col("doc_id"), "held_out": held_out(F.col("doc_id"))})
 
 
-QUERIES = {f.__name__: f for f in (op3_power_of_two_packing, op5_warc_salvage, op8_token_records, op9_language_id)}
-SQL = {"op5_warc_salvage": OP5_SQL}
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+    return used.select("doc_id", "source", "n_tokens", "epoch", "block", "position", F.round("weight", 9).alias("weight"))
+
+
+OP10_SQL = """
+WITH RECURSIVE units AS (
+  SELECT doc_id, source, CAST(sum(coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)) AS BIGINT) AS n_tokens
+  FROM documents GROUP BY 1, 2),
+src AS (SELECT source AS s, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM units GROUP BY 1),
+ends AS (SELECT ln(CAST(min(tokens) AS DOUBLE)) AS low, ln(CAST(max(tokens) AS DOUBLE)) AS top FROM src WHERE tokens > 0),
+bisect AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN exp((1 - (lo + hi) / 2) * (top - low)) <= 1.5 THEN lo ELSE (lo + hi) / 2 END,
+    CASE WHEN exp((1 - (lo + hi) / 2) * (top - low)) <= 1.5 THEN (lo + hi) / 2 ELSE hi END
+  FROM bisect, ends WHERE step < 40),
+chosen AS (SELECT CASE WHEN exp(top - low) <= 1.5 THEN 0 ELSE hi END AS a, top FROM bisect, ends WHERE step = 40),
+whole AS (SELECT sum(exp(a * ln(CAST(tokens AS DOUBLE)))) AS z FROM src, chosen WHERE tokens > 0),
+share AS (
+  SELECT s, tokens, docs, CASE WHEN tokens > 0 THEN exp(a * ln(CAST(tokens AS DOUBLE))) / z ELSE 0 END AS weight,
+    greatest(CASE WHEN tokens > 0 THEN CAST(floor(exp(a * ln(CAST(tokens AS DOUBLE)) + (1 - a) * top) + 1e-6) AS BIGINT) ELSE 0 END, tokens) AS budget
+  FROM src, chosen, whole),
+alltok AS (SELECT CAST(sum(budget) AS BIGINT) AS all_tokens FROM share),
+placed AS (
+  SELECT doc_id, source, n_tokens, tokens, budget, weight, all_tokens,
+    CAST(coalesce(sum(n_tokens) OVER (PARTITION BY source
+      ORDER BY CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT), doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM units JOIN share ON source IS NOT DISTINCT FROM s, alltok),
+passes AS (
+  SELECT *, greatest(1, CASE WHEN n_tokens = 0 OR tokens = 0 THEN 1 ELSE CAST(floor(CAST(budget - before + tokens - 1 AS DOUBLE) / tokens) AS BIGINT) END) AS p FROM placed),
+used AS (SELECT *, unnest(range(0, p)) AS epoch FROM passes)
+SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch,
+  CAST(least(floor(CAST(epoch * tokens + before AS DOUBLE) / greatest(budget, 1) * greatest(1, ceil(all_tokens / 1048576.0))),
+    greatest(1, ceil(all_tokens / 1048576.0)) - 1) AS BIGINT) AS block,
+  CAST('0x' || substr(md5('mix-block:' || CAST(epoch AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS position,
+  round(weight, 9) AS weight
+FROM used"""
+
+
+QUERIES = {f.__name__: f for f in (op3_power_of_two_packing, op5_warc_salvage, op8_token_records, op9_language_id, op10_temperature_mixing)}
+SQL = {"op5_warc_salvage": OP5_SQL, "op10_temperature_mixing": OP10_SQL}
