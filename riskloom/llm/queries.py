@@ -6,13 +6,60 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, mixing, packing, records, warc
+from riskloom.llm import langid, mixing, packing, quotes, records, warc
 from riskloom.llm._common import Scratch, table
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.build(table(spark, sf_dir, "conversations"), Scratch(spark, "op2"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE msgs AS (
+  SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations)),
+cut AS (SELECT m, str_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM msgs),
+lines AS (SELECT m, unnest(range(0, len(ls))) AS i, unnest(ls) AS l FROM cut),
+marked AS (
+  SELECT m, i, len(regexp_replace(regexp_extract(l, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+    regexp_replace(l, '^(?:[ \t]*>)+ ?', '') AS body,
+    regexp_matches(l, '^(?:On .{1,300} wrote:|-+ ?Original Message ?-+)[ \t]*$') AS attribution
+  FROM lines),
+ahead AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY m ORDER BY i), 0) AS next_level FROM marked),
+kept AS (SELECT * FROM ahead WHERE NOT (attribution AND level = 0 AND next_level > 0)),
+turns AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY m ORDER BY i) THEN 1 ELSE 0 END AS fresh FROM kept),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY m ORDER BY i) AS run FROM turns),
+runs AS (SELECT m, run, min(level) AS level, string_agg(body, chr(10) ORDER BY i) AS body FROM numbered GROUP BY m, run),
+own AS (SELECT m, regexp_replace(string_agg(body, chr(10) ORDER BY run), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS own FROM runs WHERE level = 0 GROUP BY m),
+parsed AS (SELECT msgs.m, conv_id, turn, role, coalesce(own, '') AS own, (SELECT count(*) FROM runs r WHERE r.m = msgs.m AND level > 0) AS n_quotes FROM msgs LEFT JOIN own USING (m)),
+pieces AS (
+  SELECT m, level, unnest(list_concat([body], str_split_regex(body, '\n[ \t]*\n'), str_split(body, chr(10)))) AS said FROM runs
+  UNION ALL SELECT m, 0, own FROM parsed),
+clean AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(said), '[ \t\r\n]+', ' ', 'g')) AS said
+  FROM pieces JOIN msgs USING (m) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+here AS (SELECT conv_id, said, min(turn) AS here_turn FROM clean WHERE level = 0 AND said <> '' GROUP BY 1, 2),
+first AS (SELECT said, min({'c': conv_id, 't': here_turn}) AS f FROM here GROUP BY 1),
+linked AS (
+  SELECT c.conv_id, c.turn, c.level, len(str_split(c.said, ' ')) AS words,
+    CASE WHEN here_turn < c.turn THEN c.conv_id WHEN (f.c, f.t) < (c.conv_id, c.turn) THEN f.c END AS orig_conv,
+    CASE WHEN here_turn < c.turn THEN here_turn WHEN (f.c, f.t) < (c.conv_id, c.turn) THEN f.t END AS orig_turn
+  FROM clean c LEFT JOIN here h ON c.conv_id = h.conv_id AND c.said = h.said LEFT JOIN first ON c.said = first.said
+  WHERE c.level > 0 AND c.said <> ''),
+votes AS (SELECT conv_id, turn, level, orig_conv, orig_turn, sum(words) AS words FROM linked WHERE orig_conv IS NOT NULL GROUP BY ALL),
+parents AS (
+  SELECT conv_id, turn, orig_conv AS reply_conv, orig_turn AS reply_turn FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, words DESC, orig_conv, orig_turn) = 1),
+climb AS (
+  SELECT conv_id, turn, reply_conv AS c, reply_turn AS t, CAST(1 AS BIGINT) AS depth FROM parents
+  UNION ALL SELECT climb.conv_id, climb.turn, p.reply_conv, p.reply_turn, depth + 1 FROM climb JOIN parents p ON p.conv_id = climb.c AND p.turn = climb.t),
+roots AS (SELECT conv_id, turn, arg_max(c, depth) AS c, arg_max(t, depth) AS t, max(depth) AS depth FROM climb GROUP BY 1, 2)
+SELECT p.conv_id, p.turn, role, own AS text, reply_conv, reply_turn, coalesce(c, p.conv_id) AS thread_conv, coalesce(t, p.turn) AS thread_turn,
+  coalesce(depth, 0) AS depth, n_quotes, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || own AS formatted
+FROM parsed p LEFT JOIN parents USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn)"""
+
+
 def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
     return packed.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -98,5 +145,5 @@ SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch,
 FROM used"""
 
 
-QUERIES = {f.__name__: f for f in (op3_power_of_two_packing, op5_warc_salvage, op8_token_records, op9_language_id, op10_temperature_mixing)}
-SQL = {"op5_warc_salvage": OP5_SQL, "op10_temperature_mixing": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op2_quotation_linking, op3_power_of_two_packing, op5_warc_salvage, op8_token_records, op9_language_id, op10_temperature_mixing)}
+SQL = {"op2_quotation_linking": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op10_temperature_mixing": OP10_SQL}
