@@ -41,6 +41,10 @@ class Scratch:
         out._scratch_path = where
         return out
 
+    def again(self, t: DataFrame) -> DataFrame:
+        """Another reader of a written table, whose columns are not taken for those of the first."""
+        return self.spark.read.schema(t.schema).parquet(t._scratch_path)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, mixing, packing, quotes, records, warc
+from riskloom.llm import langid, mixing, neighbours, packing, quotes, records, warc
 from riskloom.llm._common import Scratch, table
 
 WORDS = "word_bpe_49k.json"
@@ -85,6 +85,21 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(b, '') AS pa
 FROM bits"""
 
 
+def op7_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.link(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+unit AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM good),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.95),
+reach AS (SELECT vec_id AS id, vec_id AS least FROM v UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.id AND r.least < l.b),
+comp AS (SELECT id, min(least) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp ON id = vec_id"""
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
     path = scratch.path("records")
@@ -145,5 +160,5 @@ SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch,
 FROM used"""
 
 
-QUERIES = {f.__name__: f for f in (op2_quotation_linking, op3_power_of_two_packing, op5_warc_salvage, op8_token_records, op9_language_id, op10_temperature_mixing)}
-SQL = {"op2_quotation_linking": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op10_temperature_mixing": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op2_quotation_linking, op3_power_of_two_packing, op5_warc_salvage, op7_product_quantisation, op8_token_records, op9_language_id, op10_temperature_mixing)}
+SQL = {"op2_quotation_linking": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op7_product_quantisation": OP7_SQL, "op10_temperature_mixing": OP10_SQL}
