@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, mixing, neighbours, packing, quotes, records, warc
+from riskloom.llm import langid, minhash, mixing, neighbours, packing, quotes, records, warc
 from riskloom.llm._common import Scratch, table
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.build(table(spark, sf_dir, "conversations"), Scratch(spark, "op2"))
 
@@ -160,5 +164,5 @@ SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch,
 FROM used"""
 
 
-QUERIES = {f.__name__: f for f in (op2_quotation_linking, op3_power_of_two_packing, op5_warc_salvage, op7_product_quantisation, op8_token_records, op9_language_id, op10_temperature_mixing)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_quotation_linking, op3_power_of_two_packing, op5_warc_salvage, op7_product_quantisation, op8_token_records, op9_language_id, op10_temperature_mixing)}
 SQL = {"op2_quotation_linking": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op7_product_quantisation": OP7_SQL, "op10_temperature_mixing": OP10_SQL}
