@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, minhash, mixing, neighbours, packing, quotes, records, warc
+from riskloom.llm import langid, linedup, minhash, mixing, neighbours, packing, quotes, records, warc
 from riskloom.llm._common import Scratch, table
 
 WORDS = "word_bpe_49k.json"
@@ -89,6 +89,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(b, '') AS pa
 FROM bits"""
 
 
+def op6_pairwise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op6"))
+    return found.select(
+        "doc_id", F.col("_removed_words").alias("removed_words"), F.col("_removed_blocks").alias("removed_blocks"), F.col("_overlaps").alias("overlaps"),
+        F.length("text").cast("long").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
 def op7_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.link(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
 
@@ -164,5 +172,5 @@ SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch,
 FROM used"""
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_quotation_linking, op3_power_of_two_packing, op5_warc_salvage, op7_product_quantisation, op8_token_records, op9_language_id, op10_temperature_mixing)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_quotation_linking, op3_power_of_two_packing, op5_warc_salvage, op6_pairwise_lines, op7_product_quantisation, op8_token_records, op9_language_id, op10_temperature_mixing)}
 SQL = {"op2_quotation_linking": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op7_product_quantisation": OP7_SQL, "op10_temperature_mixing": OP10_SQL}
