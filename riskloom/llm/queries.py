@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, linedup, minhash, mixing, neighbours, packing, quotes, records, warc
+from riskloom.llm import chroma, langid, linedup, minhash, mixing, neighbours, packing, quotes, records, warc
 from riskloom.llm._common import Scratch, table
 
 WORDS = "word_bpe_49k.json"
@@ -69,6 +69,11 @@ def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", decode=chroma.melodies)
+    return chroma.groups(prints, Scratch(spark, "op4")).withColumnRenamed("rec_id", "vec_id")
+
+
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op5").path("archive")
     warc.write(table(spark, sf_dir, "pages"), path, id_col="page_id", url_col="url", payload_col="html")
@@ -172,5 +177,5 @@ SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch,
 FROM used"""
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_quotation_linking, op3_power_of_two_packing, op5_warc_salvage, op6_pairwise_lines, op7_product_quantisation, op8_token_records, op9_language_id, op10_temperature_mixing)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_quotation_linking, op3_power_of_two_packing, op4_chroma_fingerprints, op5_warc_salvage, op6_pairwise_lines, op7_product_quantisation, op8_token_records, op9_language_id, op10_temperature_mixing)}
 SQL = {"op2_quotation_linking": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op7_product_quantisation": OP7_SQL, "op10_temperature_mixing": OP10_SQL}
