@@ -17,7 +17,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 #: Chunks in a generation of a worker's memory, and characters above which a chunk is encoded without being remembered.
-GENERATION, LONGEST = 600_000, 64
+GENERATION, LONGEST = 400_000, 64
 #: Punctuation that the tokenizer splits from ASCII letters before it (an apostrophe may join what follows it).
 TAIL = ".,;:!?*$%&#"
 
@@ -42,17 +42,27 @@ def encoder(path: str) -> "ChunkEncoder":
     return _encoders[path]
 
 
-class ChunkEncoder(dict):
-    """Maps a chunk to its ids as little-endian unsigned 32-bit integers; encodes what it does not know."""
+class _Generation(dict):
+    """Maps chunks to their ids; what it lacks it asks the encoder for."""
+
+    def __init__(self, encoder: "ChunkEncoder"):
+        super().__init__({"": b""})
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.encoder.find(chunk)
+
+
+class ChunkEncoder:
+    """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.older: dict[str, bytes] = {}
+        self.young, self.older = _Generation(self), {}
         self.model, self.letters = self.tokenizer.model, _byte_characters()
         self.short = True
         self.short = all(self._word(w) == self._ids(w) for w in PROBES)
@@ -70,7 +80,7 @@ class ChunkEncoder(dict):
             word = "".join([self.letters[b] for b in word.encode()])
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
+    def find(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
             if len(chunk) > LONGEST:
@@ -81,18 +91,15 @@ class ChunkEncoder(dict):
                 if low == chunk:
                     found = self._word(low)
                 else:
-                    found = self[low] + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
+                    found = self.young[low] + (self.young[chunk[len(core) :]] if len(core) < len(chunk) else b"")
             else:
                 found = self._ids(chunk)
-        self[chunk] = found
+        self.young[chunk] = found
         return found
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text (None: empty) its ids."""
-        get = self.__getitem__
         for text in texts:
-            if len(self) > GENERATION:
-                self.older = dict(self)
-                self.clear()
-                self[""] = b""
-            yield b"".join(map(get, (text or "").replace("\n", " ").split(" ")))
+            if len(self.young) > GENERATION:
+                self.young, self.older = _Generation(self), self.young
+            yield b"".join(map(self.young.__getitem__, (text or "").replace("\n", " ").split(" ")))

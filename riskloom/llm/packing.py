@@ -49,7 +49,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     def pieces(batches):
         enc = _tokens.encoder(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))
             rows, held = [], 0
             for doc, tokens in zip(ids, enc.encode(texts), strict=True):
                 tokens += end

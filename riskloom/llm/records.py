@@ -98,7 +98,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
         for batch in batches:
             held: list[bytes] = []
             size = 0
-            for doc, tokens in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, tokens in zip(batch.column(0).to_pylist(), enc.encode(x.as_py() for x in batch.column(1)), strict=True):
                 held.append(frame(encode_payload(doc, tokens + end, wide)))
                 size += len(held[-1])
                 if size >= BATCH_BYTES:
