@@ -30,45 +30,60 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Longest piece looked for, log-probability of a character outside the vocabulary, rounds of fitting.
 LONGEST_PIECE, UNKNOWN, ROUNDS = 16, -18.0, 4
 #: Words remembered by a worker.
-MEMORY = 400_000
+MEMORY = 300_000
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 _pieces: dict[str, dict[str, int]] = {}
+#: In a vocabulary's table, what only begins a piece.
+PREFIX = -1
 _scorers: dict[tuple, "Scorer"] = {}
 
 
 def vocabulary(path: str) -> dict[str, int]:
-    """Pieces of a public sentencepiece vocabulary; a leading mark stands for a word's beginning."""
+    """Pieces of a public sentencepiece vocabulary by number, and their beginnings as PREFIX; a leading mark stands for a
+    word's beginning."""
     if path not in _pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        _pieces[path] = {p: i for i, p in enumerate(dict.fromkeys(p for p in found if p == p.lower()))}
+        pieces = [p for p in dict.fromkeys(found) if p == p.lower() and len(p) <= LONGEST_PIECE]
+        table = {p[:k]: PREFIX for p in pieces for k in range(1, len(p))}
+        table.update((p, i) for i, p in enumerate(pieces))
+        _pieces[path] = table
     return _pieces[path]
 
 
+def size(pieces: dict[str, int]) -> int:
+    return 1 + max(pieces.values(), default=-1)
+
+
 class Lattice:
     """Every segmentation of some words: edges (word, begin, end, piece), sorted by end and word."""
 
     def __init__(self, words: list[str], pieces: dict[str, int]):
-        unknown = len(pieces)
-        edges: list[tuple[int, int, int, int]] = []
+        unknown = size(pieces)
+        edges: list[int] = []
         get = pieces.get
         for w, word in enumerate(words):
             text = "▁" + word
             n = len(text)
-            for j in range(1, n + 1):
-                for i in range(max(0, j - LONGEST_PIECE), j):
+            for i in range(n):
+                piece = get(text[i])
+                edges += (i + 1, w, i, unknown if piece is None or piece < 0 else piece)
+                if piece is None:
+                    continue
+                for j in range(i + 2, n + 1):
                     piece = get(text[i:j])
-                    if piece is not None:
-                        edges.append((j, w, i, piece))
-                    elif i == j - 1:
-                        edges.append((j, w, i, unknown))
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        edges += (j, w, i, piece)
         self.lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         table = np.asarray(edges, np.int64).reshape(-1, 4)
-        self.end, self.word, self.begin, self.piece = table[np.lexsort((table[:, 1], table[:, 0]))].T
+        # Words are in order already, so a stable sort by end suffices.
+        self.end, self.word, self.begin, self.piece = np.ascontiguousarray(table[np.argsort(table[:, 0], kind="stable")].T)
         self.n, self.longest = len(words), int(self.lengths.max(initial=0))
 
     def forward(self, logp: np.ndarray) -> np.ndarray:
@@ -116,15 +131,15 @@ def fit(texts: list[tuple[str, str]], tokenizer_path: str) -> tuple[list[str], n
         counts[lang].update(WORD.findall(text.lower()))
     langs, pieces = sorted(counts), vocabulary(tokenizer_path)
     words = sorted(set().union(*counts.values())) if counts else []
-    size = len(pieces)
+    n_pieces = size(pieces)
     if not words:
-        return langs, np.zeros((size + 1, len(langs)))
+        return langs, np.zeros((n_pieces + 1, len(langs)))
     weight = np.asarray([[counts[k][w] for k in langs] for w in words], float)
-    logp = np.full((size + 1, len(langs)), -np.log(size))
-    logp[size] = UNKNOWN
+    logp = np.full((n_pieces + 1, len(langs)), -np.log(max(1, n_pieces)))
+    logp[n_pieces] = UNKNOWN
     parts = [(Lattice(words[a : a + 20_000], pieces), weight[a : a + 20_000]) for a in range(0, len(words), 20_000)]
     for _ in range(ROUNDS):
-        uses = sum(lattice.expected(logp, own) for lattice, own in parts)[:size] + 0.05
+        uses = sum(lattice.expected(logp, own) for lattice, own in parts)[:n_pieces] + 0.05
         logp = np.vstack([np.log(uses / uses.sum(axis=0)), np.full((1, len(langs)), UNKNOWN)])
     return langs, logp
 
@@ -137,27 +152,35 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
+        """Starts a new generation; the last one still serves what is asked for again."""
+        self.older = (getattr(self, "row", {}), getattr(self, "value", None))
         self.row: dict[str, int] = {}
         self.value = np.empty((4096, len(self.langs)))
 
-    def learn(self, words: list[str]) -> None:
-        for a in range(0, len(words), 5000):
-            part = sorted(words[a : a + 5000], key=len)
-            for low in range(0, len(part), 1000):  # of like length, so that the arrays stay small
-                own = part[low : low + 1000]
-                at = len(self.row)
-                while at + len(own) > len(self.value):
-                    self.value = np.vstack([self.value, np.empty_like(self.value)])
-                self.value[at : at + len(own)] = Lattice(own, self.pieces).totals(self.logp)
-                self.row.update(zip(own, range(at, at + len(own)), strict=True))
+    def _add(self, words: list[str], values: np.ndarray) -> None:
+        at = len(self.row)
+        while at + len(words) > len(self.value):
+            self.value = np.vstack([self.value, np.empty_like(self.value)])
+        self.value[at : at + len(words)] = values
+        self.row.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def learn(self, words: set[str]) -> None:
+        row, value = self.older
+        if again := [w for w in words if w in row]:
+            self._add(again, value[[row[w] for w in again]])
+            words = words.difference(again)
+        ordered = sorted(words, key=len)
+        for a in range(0, len(ordered), 2000):  # of like length, so that the arrays stay small
+            own = ordered[a : a + 2000]
+            self._add(own, Lattice(own, self.pieces).totals(self.logp))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if len(self.row) > MEMORY:
             self.forget()
         words = [WORD.findall(t.lower()) if t else [] for t in texts]
-        new = set().union(*words).difference(self.row) if words else ()
+        new = set().union(*words).difference(self.row) if words else set()
         if new and self.langs:
-            self.learn(list(new))
+            self.learn(new)
         out = []
         for own in words:
             if not own or not self.langs:
