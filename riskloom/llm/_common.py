@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -58,3 +59,22 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the map that marks ids: 8 MiB in all, whatever the number of ids.
+MAP_BITS = 1 << 26
+
+
+def marked(rows: DataFrame, key: Column, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """rows with flag: false only where the key is surely none of the ids (longs).
+
+    The ids are hashed into a bit map of fixed size, which is broadcast; so rows that cannot match need not be shuffled to
+    meet them. More ids than the map has room for only make more rows pass."""
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(MAP_BITS))
+    of_ids = place(F.col(id_col))
+    maps = ids.groupBy(F.bitmap_bucket_number(of_ids).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(of_ids)).alias("_bits"))
+    own = rows.withColumn("_own", F.bitmap_bucket_number(place(key))).withColumn("_bit", F.bitmap_bit_position(place(key)))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod(F.col("_bit"), F.lit(8)).cast("int")) == 1
+    out = own.join(F.broadcast(maps), F.col("_own") == F.col("_bucket"), "left")  # MAP_BITS / 8 bytes at most
+    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*rows.columns, flag)

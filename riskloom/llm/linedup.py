@@ -26,8 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm._common import Scratch
+from riskloom.llm._common import Scratch, marked
 
+#: What dedup adds; columns of these names in the input are replaced.
+FOUND = ("_removed_words", "_removed_blocks", "_overlaps")
 SENTENCE = re.compile(r"(?<=[.!?])[ \t]+|\n")
 B = 0x9E3779B97F4A7C15
 B_INVERSE = pow(B, -1, 1 << 64)
@@ -205,7 +207,7 @@ def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col
 
     earlier = scratch.again(sequences).select(F.col("doc_id").alias("first"), F.col("h").alias("ha"), F.col("w").alias("wa"))
     later = scratch.again(sequences).select(F.col("doc_id").alias("later"), "t", F.col("h").alias("hb"), F.col("w").alias("wb")).repartition("later").dropDuplicates(["later", "t"])
-    both = pairs.join(earlier, "first").join(later, "later").select("later", "first", "ha", "wa", "hb", "wb", "t")
+    both = pairs.hint("merge").join(earlier, "first").hint("merge").join(later, "later").select("later", "first", "ha", "wa", "hb", "wb", "t")
 
     def align(batches):
         def of(h, w):
@@ -224,10 +226,17 @@ def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col
     spans = blocks.groupBy("later", "t").agg(F.collect_set(F.struct("b", "e")).alias("_spans"), F.sort_array(F.collect_set("first")).alias("_overlaps"))
     spans = scratch.write(spans, "spans")  # of one document at most as many as it has units, for each first document
 
-    others = [c for c in docs.columns if c != text_col]
+    # The input's columns go by other names meanwhile, so that none of them clashes.
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    by_name = {c: k for k, c in names.items()}
+    own_id, own_text = by_name[id_col], by_name[text_col]
+    base = docs.select(*[docs[c].alias(k) for k, c in names.items()])
+    others = [k for k in names if k != own_text]
     spans = spans.withColumnRenamed("later", "_later").withColumnRenamed("t", "_t")
-    joined = docs.join(spans, (docs[id_col].cast("long") == F.col("_later")) & (F.xxhash64(docs[text_col]) == F.col("_t")), "left").select(*others, F.col(text_col), F.col("_spans"), F.col("_overlaps"))
-    touched = joined.where("_spans IS NOT NULL")
+    # Documents that surely lose nothing stay where they are; the others meet their spans.
+    flagged = marked(base, F.col(own_id), spans, "_later", "_maybe")
+    touched = flagged.where("_maybe").hint("merge").join(spans, (F.col(own_id).cast("long") == F.col("_later")) & (F.xxhash64(own_text) == F.col("_t")), "left")
+    joined = touched.select(*others, own_text, "_spans", "_overlaps")
     fields = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
 
     def rewrite(batches):
@@ -237,18 +246,20 @@ def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col
                 n = len(others)
                 texts, gone, many = [], [], []
                 for text, spans_of in zip(part.column(n), part.column(n + 1), strict=True):
-                    places_of = merge([(s["b"], s["e"]) for s in spans_of.as_py()])
-                    kept, words = delete(text.as_py(), places_of) if text.is_valid else (None, 0)
+                    places_of = merge([(s["b"], s["e"]) for s in spans_of.as_py() or ()])
+                    kept, words = delete(text.as_py(), places_of) if places_of else (text.as_py(), 0)
                     texts.append(kept)
                     gone.append(words)
                     many.append(len(places_of))
+                overlaps = pa.array([x or [] for x in part.column(n + 2).to_pylist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(n)), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), part.column(n + 2)],
-                    names=[*others, text_col, "_removed_words", "_removed_blocks", "_overlaps"],
+                    [*(part.column(i) for i in range(n)), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), overlaps],
+                    names=[*others, own_text, *FOUND],
                 )
 
-    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in others), f"`{text_col}` string", "_removed_words long", "_removed_blocks long", "_overlaps array<long>"])
-    changed = touched.mapInArrow(rewrite, schema)
+    schema = ", ".join([*(f"{k} {fields[k]}" for k in others), f"{own_text} string", "_removed_words long", "_removed_blocks long", "_overlaps array<long>"])
+    changed = joined.mapInArrow(rewrite, schema)
     zero = F.lit(0).cast("long")
-    same = joined.where("_spans IS NULL").select(*others, text_col, zero.alias("_removed_words"), zero.alias("_removed_blocks"), F.array().cast("array<long>").alias("_overlaps"))
-    return same.unionByName(changed).select(*docs.columns, "_removed_words", "_removed_blocks", "_overlaps")
+    same = flagged.where("NOT _maybe").select(*others, own_text, zero.alias("_removed_words"), zero.alias("_removed_blocks"), F.array().cast("array<long>").alias("_overlaps"))
+    out = same.unionByName(changed)
+    return out.select(*[F.col(k).alias(c) for k, c in names.items() if c not in FOUND], *FOUND)
