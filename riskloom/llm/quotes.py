@@ -6,7 +6,7 @@ normalised (lower case, one blank for each run of white space) and hashed whole,
 passage is joined to the first message that says the same itself: in its own conversation if an earlier turn does, else
 anywhere before it in the order of (conversation, turn). A message replies to the message matched at the lowest quote
 level, of those to the one with most matched words, of those to the earliest. Replies form trees; a message's thread is
-its root, and the order is by thread, depth and turn.
+its root, and the order is by thread, depth, conversation and turn.
 
 Originals are reduced to one row for each hash before the join, so a passage that many messages say or quote gives one
 row for each quote. Roots are found by pointer doubling: as many rounds as the logarithm of the longest reply chain.
@@ -125,4 +125,4 @@ def build(messages: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", t
         F.size(F.filter("runs", lambda r: r["level"] > 0)).cast("long").alias("n_quotes"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("own")).alias("formatted"),
     )
-    return out.orderBy("thread_conv", "thread_turn", "depth", "turn")
+    return out.orderBy("thread_conv", "thread_turn", "depth", "conv_id", "turn")
