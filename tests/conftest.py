@@ -2,7 +2,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("calm", deadline=None, max_examples=60)
+settings.load_profile("calm")
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
