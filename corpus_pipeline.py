@@ -45,13 +45,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = minhash.groups(docs, Scratch(spark, "pipeline-near")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.hint("merge").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     uses = mixing.mix(docs, Scratch(spark, "pipeline-mixing")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("position").alias("_position"))
-    placed = docs.join(uses, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
+    placed = docs.hint("merge").join(uses, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
     return placed.orderBy("_block", "_position").select(*docs.columns)
 
 
