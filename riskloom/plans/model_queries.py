@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import network as N
+from riskloom.functions import policy as P
 from riskloom.operators import evaluation as ev
 from riskloom.operators import families as fam
 from riskloom.operators import html as H
 from riskloom.operators import learning as L
+from riskloom.operators import links as K
+from riskloom.operators import mail
+from riskloom.operators import requests as Q
+from riskloom.operators import rules as R
 from riskloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -67,3 +72,44 @@ def html_link_mismatch(spark, sf_dir):
     target = F.when(F.col("destination").rlike("(?i)^https?://"), N.host(F.col("destination")))
     rows = links.select("page_id", "label", "destination", shown.alias("shown_host"), target.alias("target_host"))
     return rows.withColumn("mismatch", (F.col("shown_host") != "") & F.col("target_host").isNotNull() & ~N.aligned(F.col("shown_host"), F.col("target_host")))
+
+
+#: Brands of the query: names that the pages' hosts and labels do hold.
+BRANDS = {"tionsh": ("tionsh.example.net",), "tionble": ("tionble.example.com",)}
+
+
+@query()
+def link_findings(spark, sf_dir):
+    """Findings of every page's own address and links, with points and floor of each page."""
+    pages = table(spark, sf_dir, "pages")
+    inner = H.visible(pages, id_col="page_id", html_col="html").select("page_id", F.explode("links").alias("l")).select("page_id", "l.label", "l.destination")
+    own = pages.select("page_id", F.lit("").alias("label"), F.col("url").alias("destination"))
+    found = K.evidence(K.findings(inner.unionByName(own), BRANDS), "page_id")
+    return R.merge_evidence(found, "page_id").join(found.groupBy("page_id").agg(F.array_sort(F.collect_set("code")).alias("codes")), "page_id")
+
+
+@query()
+def message_parse(spark, sf_dir):
+    """Pages as mail: each page wrapped into a raw message with headers, parsed again."""
+    raw = F.concat(
+        F.lit("From: Page <page"), F.col("page_id").cast("string"), F.lit("@example.com>\r\nTo: a@example.org\r\nSubject: page\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.coalesce("html", F.lit("")),
+    )
+    rows = mail.messages(table(spark, sf_dir, "pages").select("page_id", raw.alias("raw")), id_col="page_id", raw_col="raw")
+    return rows.select("page_id", "node", "depth", "sender", "subject", F.length("html_text").alias("text_chars"), F.size("links").alias("n_links"), "incomplete")
+
+
+@query()
+def sensitive_requests(spark, sf_dir):
+    return Q.sensitive_requests(table(spark, sf_dir, "conversations"), id_cols=["conv_id", "turn"], text_col="text")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'strict' WHEN 1 THEN 'softfail' WHEN 2 THEN 'neutral' WHEN 3 THEN 'open' WHEN 4 THEN 'error' WHEN 5 THEN 'error' ELSE 'missing' END AS spf,
+CASE c_custkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' ELSE 'missing' END AS dmarc_status, CASE c_custkey % 3 WHEN 0 THEN 'reject' END AS dmarc_policy, CAST(CASE c_custkey % 3 WHEN 0 THEN 50 END AS INTEGER) AS dmarc_pct FROM customer""")
+def policy_records(spark, sf_dir):
+    """Policy records of seven shapes, dealt to the customers by number, and what they mean."""
+    shapes = (["v=spf1 include:a.example -all"], ["v=spf1 mx ~all"], ["v=spf1 ?all", "other"], ["v=spf1 +all"], ["v=spf1 bogus!"], ["v=spf1 -all", "v=spf1 ~all"], ["hello"])
+    reports = (["v=DMARC1; p=reject; pct=50;"], ["v=DMARC1; p=reject; p=none"], ["none"])
+    pick = lambda options, n: F.element_at(F.array(*[F.array(*map(F.lit, o)) for o in options]), (F.col("c_custkey") % n + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pick(shapes, 7).alias("spf_texts"), pick(reports, 3).alias("dmarc_texts"))
+    d = P.dmarc(F.col("dmarc_texts"))
+    return rows.select("c_custkey", P.spf(F.col("spf_texts")).alias("spf"), d["status"].alias("dmarc_status"), d["policy"].alias("dmarc_policy"), d["pct"].alias("dmarc_pct"))
