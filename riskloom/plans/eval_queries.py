@@ -137,9 +137,13 @@ def counterfactual_transitions(spark, sf_dir):
     return rows.groupBy("family", "label", F.concat_ws("->", "decision", without).alias("transition")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The query's keywords: the rules' own, and words that the synthetic texts do hold.
+WORDS = {**R.KEYWORDS, "common": ("low", ("the", "and", "of", "les", "der", "und", "los")), "licence": ("medium", ("licensed under", "all rights reserved", "released under"))}
+
+
 def keywords_sql() -> str:
     out = []
-    for category, (level, words) in R.KEYWORDS.items():
+    for category, (level, words) in WORDS.items():
         hits = ", ".join(f"CASE WHEN regexp_matches(' ' || lower(text) || ' ', '[^a-z0-9_]{R._escape(w)}[^a-z0-9_]') THEN '{w}' END" for w in words)
         out.append(f"SELECT conv_id, turn, '{category}' AS category, '{level}' AS level, list_sort(list_filter([{hits}], lambda x: x IS NOT NULL)) AS matched FROM conversations")
     return f"SELECT *, CAST(least(len(matched), 5) AS BIGINT) AS points FROM ({' UNION ALL '.join(out)}) WHERE len(matched) > 0"
@@ -147,7 +151,7 @@ def keywords_sql() -> str:
 
 @query(keywords_sql().replace("conversations", "(SELECT doc_id AS conv_id, 0 AS turn, text FROM documents)").replace("SELECT *, CAST", "SELECT conv_id AS doc_id, category, level, matched, CAST"))
 def keyword_categories(spark, sf_dir):
-    return R.keyword_evidence(table(spark, sf_dir, "documents"), R.KEYWORDS, id_col="doc_id", text_col="text")
+    return R.keyword_evidence(table(spark, sf_dir, "documents"), WORDS, id_col="doc_id", text_col="text")
 
 
 @query(f"""SELECT doc_id, CAST({MARKS_SQL} AS BIGINT) AS exclamations, round({CAPS_SQL}, 4) AS capitals_share, CAST(length(text) - length(replace(text, '?', '')) AS BIGINT) AS questions,

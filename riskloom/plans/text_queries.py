@@ -159,14 +159,20 @@ def batch_alternation(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", "lang", (1 + (place - 1) % 2).cast("long").alias("batch"))
 
 
-@query("SELECT count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS fingerprint FROM (SELECT sha256(coalesce(text, '')) AS d FROM documents) GROUP BY ALL")
+@query("""WITH d AS (SELECT sha256(coalesce(text, '')) AS d FROM documents),
+leaf AS (SELECT substr(d, 1, 4) AS p, sha256(string_agg(d, '' ORDER BY d)) AS h, count(*) AS n FROM d GROUP BY 1),
+mid AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY leaf.p)) AS h, CAST(sum(n) AS BIGINT) AS n FROM leaf GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM mid""")
 def cohort_fingerprint(spark, sf_dir):
-    """Digest of the sorted digests: the same for any order of the rows. The digests come together, 64 bytes a row, in
-    two levels: sorted inside 256 ranges of their first byte, whose lists are then joined in order."""
+    """Digest of the rows' digests, the same for any order of the rows: a tree whose leaves hold the sorted digests of one
+    four-digit prefix, so no task gathers more than a 65536th of them."""
     digests = docs(spark, sf_dir).select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("d"))
-    parts = digests.groupBy(F.substring("d", 1, 2).alias("p")).agg(F.array_join(F.sort_array(F.collect_list("d")), "").alias("s"), F.count(F.lit(1)).alias("n"))
-    whole = parts.agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), "").alias("s"))
-    return whole.select("n", F.sha2(F.col("s").cast("binary"), 256).alias("fingerprint"))
+    digest = lambda c: F.sha2(F.array_join(c, "").cast("binary"), 256)
+    leaf = digests.groupBy(F.substring("d", 1, 4).alias("p")).agg(digest(F.sort_array(F.collect_list("d"))).alias("h"), F.count(F.lit(1)).alias("n"))
+    for digits in (2, 0):
+        joined = F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"])
+        leaf = leaf.groupBy(F.substring("p", 1, digits).alias("q")).agg(digest(joined).alias("h"), F.sum("n").alias("n")).withColumnRenamed("q", "p")
+    return leaf.select("n", F.col("h").alias("fingerprint"))
 
 
 @query(f"""WITH a AS (SELECT {family_id_sql('text')} AS family, min(doc_id) AS doc_id, count(*) AS n_docs FROM documents GROUP BY 1),

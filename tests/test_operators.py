@@ -95,3 +95,16 @@ def test_verdict_levels(spark):
     cases = [(0, "safe", "safe"), (3, "safe", "low"), (8, "safe", "medium"), (9, "safe", "high"), (16, "safe", "critical"), (2, "medium", "medium"), (1, "high", "high")]
     df = spark.createDataFrame(cases, "p int, f string, want string")
     assert df.where(R.content_verdict(F.col("p"), F.col("f")) != F.col("want")).count() == 0
+
+
+def test_folds(spark):
+    from riskloom.operators import folds
+
+    rows = [("u", i, t, op, r) for i, (t, op, r) in enumerate([(0, "reserve", "a"), (1, "reserve", "a"), (2, "reserve", "b"), (3, "reserve", "c"), (4, "release", "b"), (5, "reserve", "c"), (90_000, "reserve", "a"), (90_001, "finish", "zz")])]
+    df = spark.createDataFrame(rows, "user string, event_id long, t long, op string, request string")
+    out = [(r.result, r.remaining) for r in folds.quota_receipts(df, "user", "t", "op", "request", 2).orderBy("event_id").collect()]
+    assert out == [("granted", 1), ("repeated", 1), ("granted", 0), ("refused", 0), ("released", 1), ("granted", 0), ("granted", 1), ("unknown", 1)]
+    hits = [(r.window_count, r.allowed, r.retry_after) for r in folds.first_hit_window(df, "user", "t", 3, 2).orderBy("event_id").collect()]
+    assert hits == [(1, True, 0), (2, True, 0), (3, False, 1), (1, True, 0), (2, True, 0), (3, False, 1), (1, True, 0), (2, True, 0)]
+    assert [r.session for r in folds.capped_sessions(df, "user", "t", 1800, 4).orderBy("event_id").collect()] == [1, 1, 1, 1, 2, 2, 3, 3]
+    assert folds.versioned_updates(df.limit(0).withColumn("v", F.lit(0)), "user", "v").count() == 0
