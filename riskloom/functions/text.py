@@ -70,8 +70,8 @@ def entropy(text: Column) -> Column:
 
 
 #: Look-alike groups folded first, then single characters.
-FOLD_GROUPS = (("rn", "m"), ("vv", "w"), ("cl", "d"))
-FOLD_FROM, FOLD_TO = "013457$@!", "oleastsai"
+FOLD_GROUPS = (("vv", "w"), ("rn", "m"), ("nn", "m"), ("cl", "d"))
+FOLD_FROM, FOLD_TO = "0134568@", "oleasgba"
 
 
 def leet_fold(text: Column) -> Column:

@@ -160,8 +160,8 @@ def caps_exclaim_style(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in R.style_cues(F.col("text")).items()])
 
 
-@query("""SELECT p_partkey, translate(replace(replace(replace(lower(p_name), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '013457$@!', 'oleastsai') AS folded,
-translate(replace(replace(replace(lower(p_name), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '013457$@!', 'oleastsai') <> lower(p_name) AS changed FROM part""")
+@query("""SELECT p_partkey, translate(replace(replace(replace(replace(lower(p_name), 'vv', 'w'), 'rn', 'm'), 'nn', 'm'), 'cl', 'd'), '0134568@', 'oleasgba') AS folded,
+translate(replace(replace(replace(replace(lower(p_name), 'vv', 'w'), 'rn', 'm'), 'nn', 'm'), 'cl', 'd'), '0134568@', 'oleasgba') <> lower(p_name) AS changed FROM part""")
 def leet_fold(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.leet_fold(F.col("p_name")).alias("folded")).join(
         table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("low")), "p_partkey"

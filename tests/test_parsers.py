@@ -86,12 +86,16 @@ def test_policies(spark):
 
 
 def test_sender_features(spark):
-    df = spark.createDataFrame([("jane.doe@gmail.com",), ("x9k2j4qz8w@secure-login.tk",), ("a@1.2.3.4",)], "address string")
-    out = {r.address: r for r in sender.features(df).collect()}
-    assert out["jane.doe@gmail.com"].band == "low" and out["jane.doe@gmail.com"].username_random == 1
+    rows = ["jane.doe@gmail.com", "x9k2j4qz8w@secure-login.tk", "a@1.2.3.4", "info@paypa1.com", "help@paypal.com", "no at", "12345678@qq.com"]
+    out = {r.address: r for r in sender.features(spark.createDataFrame([(a,) for a in rows], "address string")).collect()}
+    assert out["jane.doe@gmail.com"].band == "low" and not out["jane.doe@gmail.com"].random_username and out["jane.doe@gmail.com"].n_high == 0
     bad = out["x9k2j4qz8w@secure-login.tk"]
-    assert (bad.statistical_report, bad.prefix_suffix, bad.page_rank, bad.username_random) == (-1, -1, -1, -1) and bad.band in ("high", "critical")
-    assert out["a@1.2.3.4"].having_ip_address == -1
+    assert (bad.statistical_report, bad.prefix_suffix, bad.page_rank, bad.on_mouseover, bad.port) == (-1, -1, -1, -1, -1) and bad.random_username and bad.band == "critical"
+    assert out["a@1.2.3.4"].having_ip_address == -1 and out["a@1.2.3.4"].having_sub_domain == 1
+    assert out["info@paypa1.com"].links_in_tags == -1 and out["info@paypa1.com"].score >= 60 and out["help@paypal.com"].links_in_tags == 1
+    assert out["no at"].links_pointing_to_page == -1 and not out["12345678@qq.com"].random_username
+    features = [c for c in out["a@1.2.3.4"].asDict() if c not in ("address", "n_high", "n_medium", "n_low", "score", "random_username", "band")]
+    assert len(features) == 30
 
 
 def test_sources(spark, tmp_path):
