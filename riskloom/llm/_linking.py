@@ -1,66 +1,117 @@
-"""Links between the members of candidate buckets, without all pairs of a bucket.
-
-What is wanted are the components of the links, so not every pair of a bucket needs a look. In each round the members of
-a bucket are compared with one centre of it; those found linked join its component and leave; so do pairs that other
-buckets have joined meanwhile. What is left is compared with a new centre. Buckets with few members left are settled by
-their remaining pairs, whose number is bounded by members times ``direct``; large buckets whose members do not link (a
-passage that many documents share) are split by the other keys of their members, which true partners share in numbers.
-Rounds go on until no bucket has two members of different components that were not compared, so no cap drops a pair.
+"""Links between the members of candidate buckets, without emitting the pairs of a bucket.
+
+What is wanted are the components of the links, so not every pair of a bucket needs a look. In a first round the members
+of every bucket are compared with one centre of it: one row for each member. Those found linked, there or through other
+buckets, share a component, and for most buckets nothing else is left.
+
+What is left of a bucket are members of other components than its centre's. They are settled inside tasks that hold two
+bounded blocks of members and return only the links that join components. Members are dealt to blocks by classes of size
+first, since sizes below the ratio cannot link, and no block holds more than ``ITEMS`` items; within a task an inverted
+index over the members' items, or whatever ``candidates`` does, finds the pairs worth an alignment. So every pair that
+shares a key and could change the components is considered, in tasks of bounded memory, and nothing is capped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm._common import Scratch
-from riskloom.llm._components import components
+from riskloom.llm._components import Forest, components
+
+#: Items (shingles, frames) in a block.
+ITEMS = 2_000_000
 
 
-def link(buckets: DataFrame, scratch: Scratch, verify: Callable[[DataFrame], DataFrame], *, direct: int = 32) -> DataFrame:
-    """buckets(key, id): longs, without repeats. verify takes pairs (a, b) with a < b and returns those that link.
+def overlapping(items: list[np.ndarray], share: float) -> Iterable[tuple[int, int]]:
+    """Pairs (i, j) with i < j that have at least that share of the longer one's items in common; items are sets."""
+    sizes = np.fromiter(map(len, items), np.int64, len(items))
+    owner = np.repeat(np.arange(len(items)), sizes)
+    _, term = np.unique(np.concatenate(items), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    posted, begin = owner[order], np.searchsorted(term[order], np.arange(term.max(initial=-1) + 2))
+    at = 0
+    for i, n in enumerate(sizes.tolist()):
+        own = term[at : at + n]
+        at += n
+        first, many = begin[own], begin[own + 1] - begin[own]
+        # The places of all postings of own terms, range after range.
+        places = np.arange(many.sum()) + np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) if n else np.zeros(0, np.int64)
+        common = np.bincount(posted[places], minlength=len(items))
+        for j in np.flatnonzero((common >= np.ceil(share * np.maximum(sizes, n) - 1e-9)) & (common > 0)):
+            if j > i:
+                yield i, int(j)
+
+
+def link(buckets: DataFrame, scratch: Scratch, prepare: Callable[[DataFrame], DataFrame], same: Callable[[bytes, bytes], bool], *, candidates: Callable | None = None, ratio: float = 0.0) -> DataFrame:
+    """buckets(key, id, size): longs, without repeats; sizes below the ratio of one another cannot link. prepare takes
+    the ids (id) that may be compared and returns a written (id, x) with what same compares; candidates takes a list of
+    x and gives pairs of places that may be the same (all pairs, if there is none).
     Returns (node, component) of the linked ids."""
-    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    state = scratch.write(buckets.join(size, "key"), "buckets")
-    whole, tried, links, labels, turn = state, None, None, None, 0
-    while not state.isEmpty():
-        order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("c"))
-        centres = state.groupBy("key").agg(F.min(order).getField("c").alias("c"), F.count(F.lit(1)).alias("n"))
-        tied = state.join(centres, "key")
-        star = tied.where("id <> c")
-        if turn:  # the few are compared with one another
-            other = scratch.again(state).withColumnRenamed("id", "c")
-            few = tied.where(F.col("n") <= direct).select("key", "id").join(other, "key").where("id < c")
-            pairs = few.select("id", "c").union(star.where(F.col("n") > direct).select("id", "c"))
-        else:
-            pairs = star.select("id", "c")
-        pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        if labels is not None:
-            mine, theirs = (labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-            pairs = pairs.join(mine, "a", "left").join(theirs, "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, "pairs")
-        found = scratch.write(verify(pairs), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links, scratch)
-
-        # Left: members of large buckets that neither are their centre nor share its component.
-        left = star if turn == 0 else star.where(F.col("n") > direct)
-        own = labels.select(F.col("node").alias("id"), F.col("component").alias("ci"))
-        centre = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        left = left.join(own, "id", "left").join(centre, "c", "left").where("ci IS NULL OR cc IS NULL OR ci <> cc").select("key", "id", "n")
-        if turn and turn % 2 == 0:
-            other = scratch.again(whole).withColumnRenamed("key", "k2")
-            left = left.join(other, "id").where("key <> k2").select(F.xxhash64("key", "k2").alias("key"), "id").distinct()
-        left = left.select("key", "id")
-        many = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        fewer = scratch.write(left.join(many, "key"), "buckets")
-        if state is not whole:
-            scratch.drop(state)
-        state, turn = fewer, turn + 1
-    if labels is None:
-        return components(whole.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), scratch)
-    return labels
+    whole = scratch.write(_shared(buckets.select("key", "id", "size")), "buckets")
+    held = prepare(scratch.write(whole.select("id").distinct(), "involved"))
+    order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("c"), F.col("size").alias("cs"))
+    centres = whole.groupBy("key").agg(F.min(order).alias("m")).select("key", "m.c", "m.cs")
+    star = scratch.write(whole.join(centres, "key").where("id <> c"), "star")
+    near = star.where(F.least("size", "cs") >= F.lit(ratio) * F.greatest("size", "cs") - F.lit(1e-9))
+    pairs = scratch.write(near.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "pairs")
+
+    def compare(batches):
+        for batch in batches:
+            ok = [same(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    left, right = (scratch.again(held).select(F.col("id").alias(p), F.col("x").alias(f"x{p}")) for p in "ab")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "xa", "xb")
+    links = scratch.write(both.mapInArrow(compare, "a long, b long"), "links")
+    labels = components(links, scratch)
+
+    own = scratch.again(labels).select(F.col("node").alias("id"), F.col("component").alias("ci"))
+    centre = scratch.again(labels).select(F.col("node").alias("c"), F.col("component").alias("cc"))
+    rest = star.join(own, "id", "left").join(centre, "c", "left").where("ci IS NULL OR cc IS NULL OR ci <> cc")
+    rest = rest.select("key", "id", "size", F.coalesce("ci", "id").alias("comp"))
+    if ratio > 0:
+        step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(ratio)) + F.lit(1e-9)).cast("long")
+        rest = rest.withColumn("own", step).withColumn("class", F.explode(F.array("own", F.col("own") + 1)))
+    else:
+        rest = rest.withColumn("own", F.lit(0).cast("long")).withColumn("class", F.col("own"))
+    rest = scratch.write(rest, "rest")
+    # A class is settled if it has two components, and a member of its own (else its pairs stand in the class below).
+    sizes = rest.groupBy("key", "class").agg(F.sum("size").alias("items"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.col("own") == F.col("class")).alias("real"))
+    sizes = sizes.where("lo < hi AND real").select("key", "class", F.ceil(F.col("items") / F.lit(float(ITEMS))).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, ["key", "class"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "comp", (F.col("own") == F.col("class")).alias("own"))
+    seen = dealt.hint("merge").join(scratch.again(held), "id").select("key", "class", "p", "q", "block", "id", "comp", "own", "x")
+
+    def settle(key, rows):
+        crossing = key[2].as_py() != key[3].as_py()
+        ids, comps, block, own_class = (rows.column(n).to_pylist() for n in ("id", "comp", "block", "own"))
+        x = rows.column("x").to_pylist()
+        held_here, a, b = Forest(), [], []
+        every = ((i, j) for i in range(len(x)) for j in range(i + 1, len(x)))
+        for i, j in candidates(x) if candidates else every:
+            if (crossing and block[i] == block[j]) or not (own_class[i] or own_class[j]) or held_here.find(comps[i]) == held_here.find(comps[j]):
+                continue
+            if same(x[i], x[j]):
+                held_here.union(comps[i], comps[j])
+                a.append(ids[i])
+                b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    more = scratch.write(seen.groupBy("key", "class", "p", "q").applyInArrow(settle, "a long, b long"), "more")
+    if more.isEmpty():
+        return labels
+    return components(links.unionByName(more), scratch)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of the keys that at least two rows have."""
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return rows.join(many, "key")

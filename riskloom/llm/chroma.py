@@ -190,24 +190,20 @@ def groups(prints: DataFrame, scratch: Scratch, *, max_error: float = 0.25, min_
             for a in range(0, batch.num_rows, 1024):
                 own = [keys(np.frombuffer(p.as_py(), "<u4")) for p in batch.column(1).slice(a, 1024)]
                 if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(batch.column(0).slice(a, 1024).to_numpy(), [len(o) for o in own]))], names=["key", "id"])
+                    sizes = [len(o) for o in own]
+                    ids = np.repeat(batch.column(0).slice(a, 1024).to_numpy(), sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids), pa.array(np.repeat(sizes, sizes))], names=["key", "id", "size"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (scratch.again(first).select(F.col("class").alias(p), F.col("prints").alias(f"p{p}")) for p in "ab")
+    def same(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+        _, error, frames = align(a, b)
+        return error <= max_error and frames >= min_overlap * min(len(a), len(b))
 
-        def checked(batches):
-            for batch in batches:
-                ok = []
-                for pa_, pb in zip(batch.column(2), batch.column(3), strict=True):
-                    a, b = np.frombuffer(pa_.as_py(), "<u4"), np.frombuffer(pb.as_py(), "<u4")
-                    _, error, frames = align(a, b)
-                    ok.append(error <= max_error and frames >= min_overlap * min(len(a), len(b)))
-                keep = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+    def prepare(ids: DataFrame) -> DataFrame:
+        return scratch.write(scratch.again(first).select(F.col("class").alias("id"), F.col("prints").alias("x")).join(ids, "id", "left_semi"), "compared")
 
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(checked, "a long, b long")
-
-    labels = link(first.mapInArrow(spread, "key long, id long"), scratch, verify)
+    spread_out = first.mapInArrow(spread, "key long, id long, size long")
+    labels = link(spread_out, scratch, prepare, same)
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     tops = named.groupBy("component").agg(F.min(F.struct("least", "class")).alias("top")).select("component", F.col("top.least").alias("group_id"), F.col("top.class").alias("top"))
     placed = named.join(tops, "component").select("class", "group_id", "top")

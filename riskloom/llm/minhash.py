@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm._common import Scratch
-from riskloom.llm._linking import link
+from riskloom.llm._common import Scratch, marked
+from riskloom.llm._linking import link, overlapping
 
 #: Words remembered by a worker.
 MEMORY = 500_000
@@ -80,22 +80,27 @@ def occurrences(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(x: np.ndarray) -> np.ndarray:
+    """Hashes of shingles with the numbers of their earlier occurrences: distinct within a text."""
+    return mix(x + occurrences(x) * ODD)
+
+
 def sketch(x: np.ndarray, sketches: int, keep: int, seed: int = 1) -> np.ndarray:
     """Keys of a shingle sequence: for each hash function, of its least labelled shingles in the order of the text."""
-    labelled = mix(x + occurrences(x) * ODD)
+    own = labelled(x)
     salts = mix(np.arange(1, sketches + 1, dtype=np.uint64) * ODD + np.uint64(seed))
     take = min(keep, len(x))
     keys = np.empty(sketches, np.uint64)
     rows = max(1, 2_000_000 // max(1, len(x)))  # so that long texts need no large matrix
     for a in range(0, sketches, rows):
-        part = labelled[None] ^ salts[a : a + rows, None]
+        part = own[None] ^ salts[a : a + rows, None]
         part = (part ^ (part >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         part ^= part >> np.uint64(29)
         at = np.argpartition(part, take - 1, axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), part.shape).copy()
         at.sort(axis=1)
         total = salts[a : a + rows].copy()
         for i in range(take):
-            total = mix(total * ODD + labelled[at[:, i]])
+            total = mix(total * ODD + own[at[:, i]])
         keys[a : a + rows] = total
     return keys
 
@@ -165,42 +170,43 @@ def groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
     def sketched(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                ids, keys = [], []
+                ids, sizes, keys = [], [], []
                 for own, text in zip(batch.column(0).slice(a, 512), batch.column(1).slice(a, 512), strict=True):
                     x = shingles(text.as_py(), k)
                     if len(x):
-                        ids.append(np.full(sketches, own.as_py(), np.int64))
+                        ids.append(own.as_py())
+                        sizes.append(len(x))
                         keys.append(sketch(x, sketches, keep).view(np.int64))
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys)), sketches).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["id", "size", "keys"])
 
-    # Copies have the same keys, which fall together here: partly before the shuffle, wholly after it.
-    buckets = scratch.write(first.where("doc_id IS NOT NULL").select("class", "text").mapInArrow(sketched, "key long, id long").distinct(), "keys")
+    # Copies have the same sketch: one row of it stays.
+    sketches_of = first.where("doc_id IS NOT NULL").select("class", "text").mapInArrow(sketched, "id long, size long, keys array<long>").dropDuplicates(["id"])
+    buckets = scratch.write(sketches_of, "sketches").select(F.explode(F.array_distinct("keys")).alias("key"), "id", "size")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(scratch.again(classes), "class")
-        texts = first.join(involved.withColumnRenamed("class", "c").withColumnRenamed("least", "l"), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("l"))).select("class", "text").dropDuplicates(["class"])
-        texts = scratch.write(texts, "texts")
-        left, right = (scratch.again(texts).select(F.col("class").alias(p), F.col("text").alias(f"text_{p}")) for p in "ab")
+    def prepare(involved: DataFrame) -> DataFrame:
+        """Shingle sequences of the classes that share a key with another; other texts stay where they are."""
+        named = scratch.write(involved.select(F.col("id").alias("c")).join(scratch.again(classes).withColumnRenamed("class", "c").withColumnRenamed("least", "l"), "c"), "named")
+        near = marked(first.where("doc_id IS NOT NULL"), F.col("doc_id"), named, "l", "_maybe").where("_maybe").drop("_maybe")
+        texts = near.hint("merge").join(named, (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("l"))).select("class", "text").dropDuplicates(["class"])
 
-        def checked(batches):
-            last: tuple = (None, None)
+        def sequences(batches):
             for batch in batches:
-                ok = []
-                for i in range(batch.num_rows):
-                    a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    if last[0] != b:
-                        last = (b, shingles(batch.column(3)[i].as_py(), k))
-                    ok.append(similar(shingles(batch.column(2)[i].as_py(), k), last[1], threshold))
-                keep_rows = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep_rows), batch.column(1).take(keep_rows)], names=["a", "b"])
-
-        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        found = scratch.write(joined.mapInArrow(checked, "a long, b long"), "verified")
-        scratch.drop(texts)
-        return found
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), k).tobytes() for t in part.column(1)], pa.binary())], names=["id", "x"])
+
+        return scratch.write(texts.mapInArrow(sequences, "id long, x binary"), "sequences")
+
+    def same(a: bytes, b: bytes) -> bool:
+        return similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), threshold)
+
+    def candidates(sequences: list[bytes]):
+        """Pairs with enough shingles in common, repeats counted, whatever their order."""
+        return overlapping([labelled(np.frombuffer(x, np.uint64)) for x in sequences], threshold)
 
-    labels = link(buckets, scratch, verify)
+    labels = link(buckets, scratch, prepare, same, candidates=candidates, ratio=threshold)
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("least").alias("group_id"))
     of_class = scratch.write(named.join(least, "component").select("class", "group_id"), "groups")
