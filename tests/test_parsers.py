@@ -110,3 +110,19 @@ def test_sources(spark, tmp_path):
     assert sorted(r.domain for r in tables.registry(spark, str(tmp_path / "r.json")).collect()) == ["a.example", "b.example"]
     both = tables.union_corpora([spark.range(2).select(F.col("id")), spark.range(1).select(F.col("id"))])
     assert sorted(r.source_rank for r in both.collect()) == [0, 0, 1]
+
+
+def test_conjunction_rules(spark):
+    from riskloom.operators import conjunctions as C
+
+    rows = [
+        (1, "Congratulations, you won! Call 0900 123 456 now"), (2, "Your account is locked, verify at http://x.example/a"), (3, "Beware: scams say your account is locked, verify at http://x.example"),
+        (4, "兼.职日结，加微信 abc"), (5, "Remote job, $300 per day, apply bit.ly http://bit.ly/x"), (6, "lunch at noon?"), (7, None), (8, "Your account is locked, verify at http://a.own.example/a"),
+    ]
+    df = spark.createDataFrame(rows, "id int, text string")
+    out = C.evaluate(df, C.SMS, text_col="text", own_domains=F.array(F.lit("own.example"))).select("id", F.transform("found", lambda x: x["code"]).alias("codes"), C.verdict(F.col("found")).alias("v"))
+    got = {r.id: (r.codes, r.v) for r in out.collect()}
+    assert got[1] == (["sms.prize_callback"], "medium") and got[2] == (["sms.account_threat"], "medium") and got[3] == ([], "unknown")
+    assert got[4][0] == ["sms.external_contact_lure"] and got[5][0] == ["sms.job_offer"] and got[6] == got[7] == got[8] == ([], "unknown")
+    kinds = spark.createDataFrame([("+86 138 0013 8000",), ("10690012345",), ("95588",), ("+1 (800) 555-0100",), ("212-555-0100",), ("BANK",), ("a@b.example",), ("",), ("1",)], "s string")
+    assert [r[0] for r in kinds.select(C.sender_kind(F.col("s"))).collect()] == ["cn_mobile", "cn_port_106", "short_code", "nanp_toll_free", "nanp_long_code", "alphanumeric", "email", "none", "other"]
