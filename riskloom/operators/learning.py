@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +62,61 @@ def leave_one_source_out(df: DataFrame, sources: list[str], fit=fit_text_model)
     return out
 
 
+
+
+def character_grams(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams of the words, each word padded with a blank on both sides, as an array."""
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    cut = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+    return F.flatten(F.transform(padded, lambda w: F.concat(*[cut(w, n) for n in range(low, high + 1)])))
+
+
+def fit_naive_bayes(train: DataFrame, *, features: list | None = None, smoothing: float = 0.3):
+    return Pipeline(stages=[*(features or text_features()), NaiveBayes(modelType="complement", smoothing=smoothing, featuresCol="features", labelCol="label")]).fit(train)
+
+
+def fit_calibrated_svc(train: DataFrame, *, folds: int = 3, features: list | None = None):
+    """A linear support vector machine, and a logistic curve fitted on scores of rows that its folds' models did not see.
+    train has fold. Returns (model, curve); calibrated() applies both."""
+    stages = features or text_features()
+    svc = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=30)
+    seen = None
+    for k in range(folds):
+        model = Pipeline(stages=[*stages, svc]).fit(balanced(train.where(F.col("fold") != k)))
+        part = model.transform(train.where(F.col("fold") == k)).select(F.slice(vector_to_array("rawPrediction"), 2, 1).alias("margin"), "label")
+        seen = part if seen is None else seen.unionByName(part)
+    curve = LogisticRegression(featuresCol="m", labelCol="label").fit(seen.select(array_to_vector("margin").alias("m"), F.col("label").cast("double").alias("label")))
+    return Pipeline(stages=[*stages, svc]).fit(balanced(train)), curve
+
+
+def calibrated(model, curve, df: DataFrame, digits: int = 3) -> DataFrame:
+    """score and label of each row under a model of fit_calibrated_svc."""
+    margins = model.transform(df).select(array_to_vector(F.slice(vector_to_array("rawPrediction"), 2, 1)).alias("m"), "label")
+    return curve.transform(margins).select(F.round(vector_to_array("probability")[1], digits).alias("score"), F.col("label").cast("int").alias("label"))
+
+
+def top_terms(model, n: int = 25) -> list[tuple[str, float]]:
+    """The terms of largest weight of a text model; the vocabulary bounds what comes to the driver."""
+    terms, weights = model.stages[-4].vocabulary, model.stages[-1].coefficients.toArray()
+    order = weights.argsort()[::-1][:n]
+    return [(terms[i], float(weights[i])) for i in order]
+
+
+def contributions(model, df: DataFrame, id_col: str, n: int = 8) -> DataFrame:
+    """The n largest positive contributions (term, weight) of each row: value of the feature times its coefficient."""
+    weights = df.sparkSession.createDataFrame([(i, t, float(w)) for i, (t, w) in enumerate(zip(model.stages[-4].vocabulary, model.stages[-1].coefficients.toArray(), strict=True))], "i int, term string, w double")
+    cells = model.transform(df).select(id_col, F.posexplode(vector_to_array("features")).alias("i", "v")).where("v <> 0").join(weights, "i")
+    best = cells.where("v * w > 0").groupBy(id_col).agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("v") * F.col("w")).alias("weight"), "term")), False), 1, n).alias("top"))
+    return best.select(id_col, F.explode("top").alias("t")).select(id_col, "t.term", F.round("t.weight", 6).alias("weight"))
+
+
+def choose(models: dict, held: DataFrame, margin: float = 0.001) -> str:
+    """The model of best average precision on held rows; the first wins within the margin."""
+    best, top = "", -1.0
+    for name, score in models.items():
+        rows = score(held)
+        value = ev.rank_metrics(rows, ev.threshold_table(rows)).first().average_precision or 0.0
+        if value > top + (margin if best else 0):
+            best, top = name, value
+    return best
