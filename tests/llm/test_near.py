@@ -163,3 +163,8 @@ def test_integral_image():
 def test_melodies_handle_odd_vectors():
     column = pa.array([[1.0, 2.0], None, [0.0, 0.0], [None, 1.0], [float("nan")], []], pa.list_(pa.float64()))
     assert [m is None for m in chroma.melodies(column)] == [False, True, True, True, True, True]
+
+
+def test_no_sounds(spark):
+    df = spark.createDataFrame([], "rec_id long, audio binary")
+    assert chroma.groups(chroma.fingerprints(df, id_col="rec_id", media_col="audio"), Scratch(spark, "t")).count() == 0
