@@ -26,6 +26,8 @@ from riskloom.llm._components import Forest, components
 
 #: Items (shingles, frames) in a block.
 ITEMS = 2_000_000
+#: Members up to which all pairs of a block are as quick as looking for candidates.
+FEW = 4
 
 
 def overlapping(items: list[np.ndarray], share: float) -> Iterable[tuple[int, int]]:
@@ -90,27 +92,45 @@ def link(buckets: DataFrame, scratch: Scratch, prepare: Callable[[DataFrame], Da
     dealt = dealt.select("key", "class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "comp", (F.col("own") == F.col("class")).alias("own"))
     seen = dealt.hint("merge").join(scratch.again(held), "id").select("key", "class", "p", "q", "block", "id", "comp", "own", "x")
 
-    def settle(key, rows):
-        crossing = key[2].as_py() != key[3].as_py()
-        ids, comps, block, own_class = (rows.column(n).to_pylist() for n in ("id", "comp", "block", "own"))
-        x = rows.column("x").to_pylist()
-        held_here, a, b = Forest(), [], []
+    def settle(crossing: bool, rows: list[tuple]) -> list[tuple[int, int]]:
+        """Links of one pair of blocks that join components; rows: (block, id, comp, own, x)."""
+        block, ids, comps, own_class, x = zip(*rows, strict=True)
+        joined, out = Forest(), []
         every = ((i, j) for i in range(len(x)) for j in range(i + 1, len(x)))
-        for i, j in candidates(x) if candidates else every:
-            if (crossing and block[i] == block[j]) or not (own_class[i] or own_class[j]) or held_here.find(comps[i]) == held_here.find(comps[j]):
+        for i, j in candidates(x) if candidates and len(x) > FEW else every:
+            if (crossing and block[i] == block[j]) or not (own_class[i] or own_class[j]) or joined.find(comps[i]) == joined.find(comps[j]):
                 continue
             if same(x[i], x[j]):
-                held_here.union(comps[i], comps[j])
-                a.append(ids[i])
-                b.append(ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                joined.union(comps[i], comps[j])
+                out.append((ids[i], ids[j]))
+        return out
 
-    more = scratch.write(seen.groupBy("key", "class", "p", "q").applyInArrow(settle, "a long, b long"), "more")
+    def settle_all(batches):
+        """Rows come sorted, so the rows of one pair of blocks are held at a time."""
+        current, rows = None, []
+        for batch in batches:
+            found = []
+            for key, klass, p, q, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, klass, p, q) != current:
+                    if len(rows) > 1:
+                        found += settle(current[2] != current[3], rows)
+                    current, rows = (key, klass, p, q), []
+                rows.append(row)
+            yield _pairs(found)
+        if len(rows) > 1:
+            yield _pairs(settle(current[2] != current[3], rows))
+
+    place = ["key", "class", "p", "q"]
+    more = scratch.write(seen.repartition(*place).sortWithinPartitions(*place).mapInArrow(settle_all, "a long, b long"), "more")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more), scratch)
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows of the keys that at least two rows have."""
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")

@@ -42,6 +42,8 @@ APART = 4
 SILENCE = 1e-6
 #: Levels at which a filter's result is cut.
 LEVELS = (-0.04, 0.0, 0.04)
+#: Votes of shared integers cast at a time.
+VOTES = 1_000_000
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -151,21 +153,28 @@ def align(a: np.ndarray, b: np.ndarray, candidates: int = 3) -> tuple[int, float
     order = np.argsort(b, kind="stable")
     ordered = b[order]
     low, high = np.searchsorted(ordered, a, "left"), np.searchsorted(ordered, a, "right")
+    many = high - low
     votes = np.zeros(len(a) + len(b) - 1, np.int64)  # index: offset + len(b) - 1
-    run = high > low
-    # Equal integers in long runs vote by their places in b, run by run.
-    for i in np.flatnonzero(run):
-        votes[i - order[low[i] : high[i]] + len(b) - 1] += 1
+    before = np.r_[0, np.cumsum(many)]
+    at = 0
+    while at < len(a):  # a sound that stays the same shares every integer with every place: a bounded number at a time
+        end = max(at + 1, int(np.searchsorted(before, before[at] + VOTES, "right")) - 1)
+        n = many[at:end]
+        if n.sum():
+            place = np.repeat(np.arange(at, end), n)
+            other = order[np.arange(n.sum()) + np.repeat(low[at:end] - (before[at:end] - before[at]), n)]
+            votes += np.bincount(place - other + len(b) - 1, minlength=len(votes))
+        at = end
     best = (0, 1.0, 0)
-    for at in np.argsort(-votes, kind="stable")[:candidates]:
-        if not votes[at]:
+    for top in np.argsort(-votes, kind="stable")[:candidates]:
+        if not votes[top]:
             break
-        offset = int(at) - len(b) + 1
-        begin, end = max(0, offset), min(len(a), offset + len(b))
-        differ = a[begin:end] ^ b[begin - offset : end - offset]
-        error = float(np.bitwise_count(differ).sum()) / (32 * (end - begin))
-        if (error, -(end - begin)) < (best[1], -best[2]):
-            best = (offset, error, end - begin)
+        offset = int(top) - len(b) + 1
+        begin, stop = max(0, offset), min(len(a), offset + len(b))
+        differ = a[begin:stop] ^ b[begin - offset : stop - offset]
+        error = float(np.bitwise_count(differ).sum()) / (32 * (stop - begin))
+        if (error, -(stop - begin)) < (best[1], -best[2]):
+            best = (offset, error, stop - begin)
     return best
 
 

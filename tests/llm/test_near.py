@@ -168,3 +168,12 @@ def test_melodies_handle_odd_vectors():
 def test_no_sounds(spark):
     df = spark.createDataFrame([], "rec_id long, audio binary")
     assert chroma.groups(chroma.fingerprints(df, id_col="rec_id", media_col="audio"), Scratch(spark, "t")).count() == 0
+
+
+def test_votes_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 6, 300).astype(np.uint32)
+    b = np.r_[rng.integers(0, 6, 40).astype(np.uint32), a[100:260]]
+    whole = chroma.align(a, b)
+    monkeypatch.setattr(chroma, "VOTES", 7)
+    assert chroma.align(a, b) == whole and whole[0] == 60
