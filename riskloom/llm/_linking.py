@@ -120,8 +120,19 @@ def link(buckets: DataFrame, scratch: Scratch, prepare: Callable[[DataFrame], Da
         if len(rows) > 1:
             yield _pairs(settle(current[2] != current[3], rows))
 
+    def settle_group(key, rows):
+        fields = ("block", "id", "comp", "own", "x")
+        found = settle(key[2].as_py() != key[3].as_py(), list(zip(*(rows.column(n).to_pylist() for n in fields), strict=True))) if rows.num_rows > 1 else []
+        return pa.Table.from_batches([_pairs(found)])
+
+    # With a way to find candidates blocks may be large: each comes by itself. Without one they are many and small: they
+    # come as a sorted stream, which spares a call for each.
     place = ["key", "class", "p", "q"]
-    more = scratch.write(seen.repartition(*place).sortWithinPartitions(*place).mapInArrow(settle_all, "a long, b long"), "more")
+    if candidates:
+        settled = seen.groupBy(*place).applyInArrow(settle_group, "a long, b long")
+    else:
+        settled = seen.repartition(*place).sortWithinPartitions(*place).mapInArrow(settle_all, "a long, b long")
+    more = scratch.write(settled, "more")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more), scratch)
