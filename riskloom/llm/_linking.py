@@ -4,11 +4,13 @@ What is wanted are the components of the links, so not every pair of a bucket ne
 of every bucket are compared with one centre of it: one row for each member. Those found linked, there or through other
 buckets, share a component, and for most buckets nothing else is left.
 
-What is left of a bucket are members of other components than its centre's. They are settled inside tasks that hold two
-bounded blocks of members and return only the links that join components. Members are dealt to blocks by classes of size
-first, since sizes below the ratio cannot link, and no block holds more than ``ITEMS`` items; within a task an inverted
-index over the members' items, or whatever ``candidates`` does, finds the pairs worth an alignment. So every pair that
-shares a key and could change the components is considered, in tasks of bounded memory, and nothing is capped.
+What is left of a bucket are members of other components than its centre's. They are settled, with one another and with
+the other members of the centre's component, inside tasks that hold two bounded blocks of members and return only the
+links that join components. Members are dealt to blocks by classes of size first, since sizes below the ratio cannot
+link, and no block holds more than ``ITEMS`` items; members of the centre's component have blocks of their own, which meet
+those of the others but not each other. Within a task an inverted index over the members' items, or whatever
+``candidates`` does, finds the pairs worth an alignment. So every pair that shares a key and could change the components
+is considered, in tasks of bounded memory, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,30 +32,39 @@ ITEMS = 2_000_000
 FEW = 4
 
 
-def overlapping(items: list[np.ndarray], share: float) -> Iterable[tuple[int, int]]:
-    """Pairs (i, j) with i < j that have at least that share of the longer one's items in common; items are sets."""
+def overlapping(items: list[np.ndarray], share: float, side: list[bool] | None = None) -> Iterable[tuple[int, int]]:
+    """Pairs (i, j) of different places that have at least that share of the longer one's items in common, each once;
+    items are sets. With sides, only pairs of different sides."""
     sizes = np.fromiter(map(len, items), np.int64, len(items))
     owner = np.repeat(np.arange(len(items)), sizes)
     _, term = np.unique(np.concatenate(items), return_inverse=True)
+    asked = np.ones(len(items), bool)
+    held = asked
+    if side is not None:  # the smaller side asks, the other one is the index
+        asked = np.asarray(side, bool)
+        asked = asked if 2 * asked.sum() <= len(items) else ~asked
+        held = ~asked
     order = np.argsort(term, kind="stable")
+    order = order[held[owner[order]]]
     posted, begin = owner[order], np.searchsorted(term[order], np.arange(term.max(initial=-1) + 2))
-    at = 0
-    for i, n in enumerate(sizes.tolist()):
-        own = term[at : at + n]
-        at += n
+    start = np.r_[0, np.cumsum(sizes)]
+    for i in np.flatnonzero(asked).tolist():
+        n = int(sizes[i])
+        own = term[start[i] : start[i + 1]]
         first, many = begin[own], begin[own + 1] - begin[own]
         # The places of all postings of own terms, range after range.
         places = np.arange(many.sum()) + np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) if n else np.zeros(0, np.int64)
         common = np.bincount(posted[places], minlength=len(items))
         for j in np.flatnonzero((common >= np.ceil(share * np.maximum(sizes, n) - 1e-9)) & (common > 0)):
-            if j > i:
+            if side is not None or j > i:
                 yield i, int(j)
 
 
 def link(buckets: DataFrame, scratch: Scratch, prepare: Callable[[DataFrame], DataFrame], same: Callable[[bytes, bytes], bool], *, candidates: Callable | None = None, ratio: float = 0.0) -> DataFrame:
     """buckets(key, id, size): longs, without repeats; sizes below the ratio of one another cannot link. prepare takes
     the ids (id) that may be compared and returns a written (id, x) with what same compares; candidates takes a list of
-    x and gives pairs of places that may be the same (all pairs, if there is none).
+    x and their sides (or None), and gives pairs of places that may be the same, of different sides only if there are
+    sides (all pairs, if there is no candidates).
     Returns (node, component) of the linked ids."""
     whole = scratch.write(_shared(buckets.select("key", "id", "size")), "buckets")
     held = prepare(scratch.write(whole.select("id").distinct(), "involved"))
@@ -76,8 +87,10 @@ def link(buckets: DataFrame, scratch: Scratch, prepare: Callable[[DataFrame], Da
 
     own = scratch.again(labels).select(F.col("node").alias("id"), F.col("component").alias("ci"))
     centre = scratch.again(labels).select(F.col("node").alias("c"), F.col("component").alias("cc"))
-    rest = star.join(own, "id", "left").join(centre, "c", "left").where("ci IS NULL OR cc IS NULL OR ci <> cc")
-    rest = rest.select("key", "id", "size", F.coalesce("ci", "id").alias("comp"))
+    rest = star.join(own, "id", "left").join(centre, "c", "left").withColumn("core", F.coalesce(F.col("ci") == F.col("cc"), F.lit(False)))
+    # Buckets with members of other components than the centre's; its own component's members come along.
+    open_keys = rest.where("NOT core").select("key").distinct()
+    rest = rest.join(open_keys, "key", "left_semi").select("key", "id", "size", F.coalesce("ci", "id").alias("comp"), "core")
     if ratio > 0:
         step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(ratio)) + F.lit(1e-9)).cast("long")
         rest = rest.withColumn("own", step).withColumn("class", F.explode(F.array("own", F.col("own") + 1)))
@@ -85,10 +98,15 @@ def link(buckets: DataFrame, scratch: Scratch, prepare: Callable[[DataFrame], Da
         rest = rest.withColumn("own", F.lit(0).cast("long")).withColumn("class", F.col("own"))
     rest = scratch.write(rest, "rest")
     # A class is settled if it has two components, and a member of its own (else its pairs stand in the class below).
-    sizes = rest.groupBy("key", "class").agg(F.sum("size").alias("items"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.col("own") == F.col("class")).alias("real"))
-    sizes = sizes.where("lo < hi AND real").select("key", "class", F.ceil(F.col("items") / F.lit(float(ITEMS))).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, ["key", "class"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = lambda core: F.ceil(F.sum(F.when(core, F.col("size")).otherwise(0)) / F.lit(float(ITEMS))).cast("int")
+    sizes = rest.groupBy("key", "class").agg(
+        blocks(~F.col("core")).alias("blocks"), blocks(F.col("core")).alias("cores"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.col("own") == F.col("class")).alias("real")
+    )
+    sizes = sizes.where("lo < hi AND real AND blocks > 0").select("key", "class", "blocks", "cores")
+    # The blocks of the centre's component stand behind the others, and meet those only.
+    place = F.when(F.col("core"), F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    last = F.when(F.col("core"), F.col("blocks")).otherwise(F.col("blocks") + F.col("cores")) - 1
+    dealt = rest.join(sizes, ["key", "class"]).withColumn("block", place).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("key", "class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "comp", (F.col("own") == F.col("class")).alias("own"))
     seen = dealt.hint("merge").join(scratch.again(held), "id").select("key", "class", "p", "q", "block", "id", "comp", "own", "x")
 
@@ -96,9 +114,14 @@ def link(buckets: DataFrame, scratch: Scratch, prepare: Callable[[DataFrame], Da
         """Links of one pair of blocks that join components; rows: (block, id, comp, own, x)."""
         block, ids, comps, own_class, x = zip(*rows, strict=True)
         joined, out = Forest(), []
-        every = ((i, j) for i in range(len(x)) for j in range(i + 1, len(x)))
-        for i, j in candidates(x) if candidates and len(x) > FEW else every:
-            if (crossing and block[i] == block[j]) or not (own_class[i] or own_class[j]) or joined.find(comps[i]) == joined.find(comps[j]):
+        side = [b == block[0] for b in block] if crossing else None
+        if crossing:
+            here, there = ([i for i, s in enumerate(side) if s == t] for t in (True, False))
+            every = ((i, j) for i in here for j in there)
+        else:
+            every = ((i, j) for i in range(len(x)) for j in range(i + 1, len(x)))
+        for i, j in candidates(x, side) if candidates and len(x) > FEW else every:
+            if not (own_class[i] or own_class[j]) or joined.find(comps[i]) == joined.find(comps[j]):
                 continue
             if same(x[i], x[j]):
                 joined.union(comps[i], comps[j])

@@ -202,9 +202,9 @@ def groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
     def same(a: bytes, b: bytes) -> bool:
         return similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), threshold)
 
-    def candidates(sequences: list[bytes]):
+    def candidates(sequences: list[bytes], side: list[bool] | None):
         """Pairs with enough shingles in common, repeats counted, whatever their order."""
-        return overlapping([labelled(np.frombuffer(x, np.uint64)) for x in sequences], threshold)
+        return overlapping([labelled(np.frombuffer(x, np.uint64)) for x in sequences], threshold, side)
 
     labels = link(buckets, scratch, prepare, same, candidates=candidates, ratio=threshold)
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))

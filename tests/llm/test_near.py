@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import chroma, minhash, neighbours
 from riskloom.llm._common import Scratch, marked
-from riskloom.llm import _components
+from riskloom.llm import _components, _linking
 
 
 def lcs(a, b, band):
@@ -82,6 +82,43 @@ def test_groups_equal_brute_force(spark):
     assert want[9011] == 9010 and want[9004] == 9004 and want[9006] == 9006 and want[9002] == 9000
 
 
+@pytest.mark.parametrize("candidates", [None, lambda x, side: ((i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if side is None or side[i] != side[j])])
+def test_links_beside_the_centre(spark, monkeypatch, candidates):
+    """One bucket a chain: whichever member is its centre, pairs without it link too, also across blocks."""
+    monkeypatch.setattr(_linking, "ITEMS", 4)
+    rows = [(key, 10 * key + i, 1) for key in range(6) for i in range(7)]
+    buckets = spark.createDataFrame(rows, "key long, id long, size long")
+    scratch = Scratch(spark, "t")
+    prepare = lambda ids: scratch.write(ids.select("id", F.encode(F.col("id").cast("string"), "utf-8").alias("x")), "x")
+    out = _linking.link(buckets, scratch, prepare, lambda a, b: abs(int(a) - int(b)) == 1, candidates=candidates).collect()
+    assert {r.node: r.component for r in out} == {i: i // 10 * 10 for _, i, _ in rows}
+
+
+def test_overlapping_sides():
+    items = [np.array(x, np.uint64) for x in ([1, 2, 3], [1, 2, 4], [1, 2, 3, 9], [7, 8], [1, 2, 3])]
+    every = set(_linking.overlapping(items, 0.6))
+    assert every == {(0, 1), (0, 2), (0, 4), (1, 4), (2, 4)}
+    for k in range(1, 2**5 - 1):
+        side = [bool(k >> i & 1) for i in range(5)]
+        assert {tuple(sorted(p)) for p in _linking.overlapping(items, 0.6, side)} == {(i, j) for i, j in every if side[i] != side[j]}
+
+
+def test_variants_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in rng.integers(0, 400, 120)]
+    texts = {}
+    for i in range(240):
+        text = list(base)
+        for at in rng.choice(120, 4, replace=False):
+            text[at] = f"x{rng.integers(6)}"
+        texts[i] = " ".join(text)
+    seqs = {i: minhash.shingles(t, 5) for i, t in texts.items()}
+    keys = {i: set(minhash.sketch(x, 24, 3).tolist()) for i, x in seqs.items()}
+    links = [(a, b) for a in texts for b in texts if a < b and keys[a] & keys[b] and minhash.similar(seqs[a], seqs[b], 0.8)]
+    out = minhash.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {r.doc_id: r.group_id for r in out} == components_of(sorted(texts), links)
+
+
 def test_no_texts(spark):
     assert minhash.groups(spark.createDataFrame([], "doc_id long, text string"), Scratch(spark, "t")).count() == 0
 
