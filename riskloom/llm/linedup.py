@@ -8,8 +8,11 @@ of shared runs and not its square, however many documents share one.
 
 A pair is aligned by patience diff: units that occur once in both documents and in the same order fix the alignment, and
 between them the same is done again; what has no such units is aligned by its common beginning and end. A maximal run of
-consecutive aligned units of at least ``min_words`` words is a common block, and common blocks are deleted from the later
-document. The first document of a run never loses it to a later one, so every passage stays somewhere.
+consecutive aligned units of at least ``min_words`` words is a common block. What the alignment leaves, because a passage
+is repeated or stands in another order, is matched by its runs directly: each run of at least ``min_words`` words that
+stands anywhere in both documents is a common block as well. Common blocks are deleted from the later document, so no
+place of an anchor that it shares with that first document stays. The first document of a run never loses it to a later
+one, so every passage stays somewhere.
 
 Defined cases: a null text stays null and an empty one empty; units without words are neither anchors nor words of a
 block, but go with the block they stand in; rows that repeat an id are compared with documents of other ids only, each
@@ -33,6 +36,7 @@ FOUND = ("_removed_words", "_removed_blocks", "_overlaps")
 SENTENCE = re.compile(r"(?<=[.!?])[ \t]+|\n")
 B = 0x9E3779B97F4A7C15
 B_INVERSE = pow(B, -1, 1 << 64)
+C = np.uint64(0xD6E8FEB86659FD93)
 
 
 def split(text: str) -> list[tuple[int, int]]:
@@ -53,23 +57,56 @@ def units(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h, np.fromiter(map(len, words), np.int64, len(words))
 
 
-def anchors(h: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """For each unit with words from which a run of at least min_words words begins, the hash of the shortest such run."""
-    full = words > 0
-    h, words = h[full], words[full]
+def runs(h: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, end) of the shortest run of at least min_words words from each unit; all units have words."""
     n = len(h)
     total = np.r_[0, np.cumsum(words)]
     end = np.searchsorted(total, total[:-1] + min_words)  # the run is [i, end)
     begin = np.flatnonzero(end <= n)
     if not len(begin):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), begin, begin
+    end = end[begin]
     with np.errstate(over="ignore"):
         power = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, B, np.uint64)]) if n > 1 else np.ones(1, np.uint64)
         back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, B_INVERSE, np.uint64)]) if n > 1 else np.ones(1, np.uint64)
         sums = np.r_[np.uint64(0), np.cumsum(h * power)]
-        run = (sums[end[begin]] - sums[begin]) * back[begin] + (end[begin] - begin).astype(np.uint64)
+        run = (sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * C
         run = (run ^ (run >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(run ^ (run >> np.uint64(29)))
+    return run ^ (run >> np.uint64(29)), begin, end
+
+
+def anchors(h: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """For each unit with words from which a run of at least min_words words begins, the hash of the shortest such run."""
+    full = words > 0
+    return np.unique(runs(h[full], words[full], min_words)[0])
+
+
+def shared_runs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], min_words: int) -> list[tuple[int, int]]:
+    """Spans of b that hold every unit of every run of at least min_words words that stands anywhere in a; all units have
+    words."""
+    own, place, _ = runs(*a, min_words)
+    found, begin, end = runs(*b, min_words)
+    hit = np.isin(found, own)
+    found, begin, end = found[hit], begin[hit], end[hit]
+    out = list(zip(begin.tolist(), end.tolist(), strict=True))
+    # Every longer run consists of shortest ones and, after the last of them, of less than min_words words.
+    order = np.argsort(own, kind="stable")
+    own, place = own[order], place[order]
+    known: dict[bytes, int] = {}
+    for k in np.flatnonzero(np.r_[begin[1:] != begin[:-1] + 1, True][: len(begin)]).tolist():
+        i, e = int(begin[k]), int(end[k])
+        tail = b[0][e : e + min_words]
+        content = found[k].tobytes() + tail.tobytes()
+        if content not in known:
+            at = place[np.searchsorted(own, found[k], "left") : np.searchsorted(own, found[k], "right")] + (e - i)
+            more = 0
+            while len(at) and more < len(tail):
+                at = at[at < len(a[0])]
+                at = at[a[0][at] == tail[more]] + 1
+                more += bool(len(at))
+            known[content] = more
+        out.append((i, e + known[content]))
+    return merge(out)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -140,7 +177,10 @@ def common_blocks(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
         if int(words[first : last + 1].sum()) >= min_words:
             out.append((int(place_b[first]), int(place_b[last]) + 1))
         at = end
-    return out
+    if sum(e - b for b, e in out) < len(b[0]):
+        left = shared_runs((a[0][place_a], a[1][place_a]), (b[0][place_b], words), min_words)
+        out += [(int(place_b[first]), int(place_b[last - 1]) + 1) for first, last in left]
+    return merge(out)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

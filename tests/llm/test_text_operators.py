@@ -166,6 +166,30 @@ def test_line_dedup(spark):
     assert len(got[1]) == 2 and sum(map(len, got.values())) == len(rows)
 
 
+@given(st.lists(st.integers(0, 4), max_size=16), st.lists(st.integers(0, 4), max_size=16), st.integers(1, 9))
+def test_blocks_hold_every_common_run(a, b, least):
+    pair = [(np.array(x, np.uint64) + np.uint64(9), np.array(x, np.int64)) for x in (a, b)]  # unit k has k words
+    fa, fb = [x for x in a if x], [j for j, x in enumerate(b) if x]
+    stands = {tuple(fa[i:k]) for i in range(len(fa)) for k in range(i + 1, len(fa) + 1) if sum(fa[i:k]) >= least}
+    want = {j for i in range(len(fb)) for k in range(i + 1, len(fb) + 1) if tuple(b[j] for j in fb[i:k]) in stands for j in fb[i:k]}
+    blocks = linedup.common_blocks(*pair, least)
+    assert {j for begin, end in blocks for j in range(begin, end) if b[j]} == want
+
+
+def test_repeated_and_crossed_passages(spark):
+    rng = np.random.default_rng(21)
+    p, q = sentences(rng, 4), sentences(rng, 4)
+    own = {i: sentences(rng, 3) for i in range(6)}
+    rows = {0: [*own[0], *p, *q], 1: [*q, *own[1], *p], 2: [*own[2], *p, *own[3][:1], *p, *q, *p], 3: [*p, *p, *own[4], *q]}
+    twice = {10: [*(r := sentences(rng, 4)), *own[5][:1], *r], 11: [*r, *own[5][1:], *r, *r], 12: [*own[3][1:], *r]}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in (rows | twice).items()], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in linedup.dedup(df, Scratch(spark, "t")).collect()}
+    for i, first in ((1, 0), (2, 0), (3, 0), (11, 10), (12, 10)):
+        assert not any(s in left[i] for s in (*p, *q, *r)), (i, first)
+    assert left[0] == " ".join(rows[0]) and left[10] == " ".join(twice[10])
+    assert left[1] == " ".join(own[1]) and left[2] == " ".join([*own[2], *own[3][:1]]) and left[12] == " ".join(own[3][1:])
+
+
 def test_line_dedup_of_nothing(spark):
     assert linedup.dedup(spark.createDataFrame([], "doc_id long, text string"), Scratch(spark, "t")).count() == 0
 
