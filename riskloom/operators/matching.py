@@ -28,6 +28,12 @@ def range_join(points: DataFrame, value: Column, ranges: DataFrame, width_bits:
     return keyed.join(spread, "_block").where(F.col("_value").between(F.col("start"), F.col("end"))).drop("_block", "_value")
 
 
+def shared_key_edges(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Edges (a, b) that connect all values of a key: each with the key's least, so one for each row at most."""
+    least = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("a"))
+    return rows.join(least, F.col(key) == F.col("_key")).select("a", F.col(value).alias("b")).where("a <> b").distinct()
+
+
 def components(spark, edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     """edges(a, b) of strings or longs to (node, component), the least node reached.
 

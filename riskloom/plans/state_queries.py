@@ -166,6 +166,14 @@ def campaign_components(spark, sf_dir):
     return M.components(spark, one.join(two, "l_orderkey").select("a", "b"))
 
 
+@query()
+def campaign_components_all(spark, sf_dir):
+    """The same over every row: suppliers that share an order, whatever the line or quantity. The recursive SQL of
+    campaign_components is for its few rows only."""
+    shared_folder(spark)
+    return M.components(spark, M.shared_key_edges(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey"))
+
+
 @query("""WITH f AS (SELECT lang || ':' || source AS component, count(*) AS n FROM documents GROUP BY 1)
 SELECT least(n, 10) AS size, count(*) AS components, CAST(sum(n) AS BIGINT) AS members FROM f GROUP BY 1""")
 def component_shape(spark, sf_dir):

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from riskloom.functions import network as N
 from riskloom.functions import stats as S
 from riskloom.functions import text as T
@@ -108,3 +109,27 @@ def test_folds(spark):
     assert hits == [(1, True, 0), (2, True, 0), (3, False, 1), (1, True, 0), (2, True, 0), (3, False, 1), (1, True, 0), (2, True, 0)]
     assert [r.session for r in folds.capped_sessions(df, "user", "t", 1800, 4).orderBy("event_id").collect()] == [1, 1, 1, 1, 2, 2, 3, 3]
     assert folds.versioned_updates(df.limit(0).withColumn("v", F.lit(0)), "user", "v").count() == 0
+
+
+def brute_components(rows):
+    """Components of values that share a key, those of one value left out."""
+    groups = []
+    for key in {k for k, _ in rows}:
+        values = {v for k, v in rows if k == key and v is not None}
+        touching = [g for g in groups if g & values]
+        groups = [g for g in groups if not g & values] + [values.union(*touching)]
+    return {v: min(g) for g in groups if len(g) > 1 for v in g}
+
+
+def test_components_of_shared_keys_over_all_rows(spark):
+    rows = [(1, 10), (1, 11), (1, 10), (2, 11), (2, 12), (2, None), (3, 20), (3, 21), (4, 30), (5, 22), (5, 21), (5, 23), (None, 30), (None, 20), (6, 40), (6, 41), (6, 42), (6, 43), (7, 43), (7, 12)]
+    edges = M.shared_key_edges(spark.createDataFrame(rows, "k int, v int"), "k", "v")
+    got = {r.node: r.component for r in M.components(spark, edges).collect()}
+    assert got == brute_components([r for r in rows if r[0] is not None]) and edges.count() <= len(rows)
+
+
+def test_campaign_components_of_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect()]
+    got = {r.node: r.component for r in entry.queries()["campaign_components_all"](spark, sf).collect()}
+    assert got == brute_components(rows)
