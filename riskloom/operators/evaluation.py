@@ -93,10 +93,12 @@ def best_under_fpr(table: DataFrame, cap: float) -> DataFrame:
 
 
 def rank_metrics(scores: DataFrame, table: DataFrame) -> DataFrame:
-    """Average precision, area under the ROC curve (ties halved) and Brier score."""
+    """Average precision, area under the ROC curve (ties halved) and Brier score; the first two are null where the rows have
+    one label only."""
     step = Window.orderBy(F.desc("threshold"))
     prior = lambda c: F.coalesce(F.lag(c).over(step), F.lit(0))
-    areas = table.select("tp", "fp", "fn", "tn", prior("tp").alias("tp0"), prior("fp").alias("fp0")).select(
+    both = table.where("tp + fn > 0 AND fp + tn > 0")
+    areas = both.select("tp", "fp", "fn", "tn", prior("tp").alias("tp0"), prior("fp").alias("fp0")).select(
         ((F.col("tp") - F.col("tp0")) / (F.col("tp") + F.col("fn")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
         ((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2 / (F.col("tp") + F.col("fn")) / (F.col("fp") + F.col("tn"))).alias("auc"),
     ).agg(F.round(F.sum("ap"), 6).alias("average_precision"), F.round(F.sum("auc"), 6).alias("roc_auc"))

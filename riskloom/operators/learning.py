@@ -51,17 +51,20 @@ def scores(model, df: DataFrame, digits: int = 3) -> DataFrame:
     return model.transform(df).select(F.round(vector_to_array("probability")[1], digits).alias("score"), F.col("label").cast("int").alias("label"))
 
 
-def leave_one_source_out(df: DataFrame, sources: list[str], fit=fit_text_model) -> DataFrame:
-    """For each source its metrics under a model fitted on the others. One fit for each source, as the method wants."""
-    out = None
-    for s in sources:
-        model = fit(df.where(F.col("source") != s))
-        held = scores(model, df.where(F.col("source") == s))
-        row = ev.rank_metrics(held, ev.threshold_table(held)).withColumn("source", F.lit(s))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
+def leave_one_source_out(df: DataFrame, sources: list[str] | None = None, fit=fit_text_model) -> DataFrame:
+    """For each source (all that df has, if none are given) its metrics under a model fitted on the others, null if those
+    have one label only. One fit for each source, as the method wants; rows of a null source are always among the others."""
+    seen = [(r.source, r.label) for r in df.select("source", "label").distinct().collect()]  # two for each model at most
+    out = []
+    for s in sorted({x for x, _ in seen if x is not None}) if sources is None else sources:
+        found = (None, None, None)
+        if len({y for x, y in seen if x != s}) > 1:
+            model = fit(df.where(~F.col("source").eqNullSafe(s)))
+            held = scores(model, df.where(F.col("source") == s))
+            # Taken at once, three numbers a source, so that one model is held at a time.
+            found = tuple(ev.rank_metrics(held, ev.threshold_table(held)).select("average_precision", "roc_auc", "brier").first())
+        out.append((*found, s))
+    return df.sparkSession.createDataFrame(out, "average_precision double, roc_auc double, brier double, source string")
 
 
 def character_grams(text: Column, low: int = 3, high: int = 5) -> Column:

@@ -15,6 +15,7 @@ from riskloom.operators import links as K
 from riskloom.operators import mail
 from riskloom.operators import requests as Q
 from riskloom.operators import rules as R
+from riskloom.plans.folders import shared_folder
 from riskloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -54,8 +55,9 @@ def tfidf_logreg(spark, sf_dir):
 
 @query()
 def loso_eval(spark, sf_dir):
-    rows = corpus(spark, sf_dir).withColumn("source", F.when(F.substring("source", 4, 4).cast("int") < 10, "first").otherwise("second"))
-    return L.leave_one_source_out(rows, ["first", "second"], lambda train: L.fit_text_model(train, features=L.text_features(vocabulary=5000)))
+    shared_folder(spark)
+    rows = corpus(spark, sf_dir).select("text", "source", "label").checkpoint()  # read by every fit
+    return L.leave_one_source_out(rows)
 
 
 @query()

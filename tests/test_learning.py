@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from riskloom.operators import evaluation as ev
 from riskloom.operators import learning as L
 from riskloom.sources import sinks
@@ -31,6 +32,32 @@ def test_models_separate(corpus):
     assert L.choose({"svc": lambda d: L.calibrated(svc, curve, d), "nb": lambda d: L.scores(bayes, d)}, corpus) in ("svc", "nb")
 
 
+def test_every_source_is_left_out(spark, corpus):
+    source = F.element_at(F.array(*map(F.lit, ["a", "b", "c"])), (F.col("id") % 6 / 2).cast("int") + 1)
+    rows = corpus.select("text", "label", F.when(F.col("id") < 50, source).when((F.col("id") < 55) & (F.col("label") == 1), "one label").when(F.col("id") >= 55, F.lit(None)).otherwise("a").alias("source"))
+    trained = []
+
+    def fit(train):
+        trained.append({r.source for r in train.select("source").distinct().collect()})
+        return L.fit_text_model(train, features=L.text_features(min_df=1.0))
+
+    out = {r.source: r for r in L.leave_one_source_out(rows, fit=fit).collect()}
+    every = {"a", "b", "c", "one label"}
+    assert set(out) == every and trained == [every - {s} | {None} for s in sorted(every)]
+    assert all(out[s].roc_auc > 0.99 for s in "abc")
+    assert out["one label"].roc_auc is None and out["one label"].average_precision is None and out["one label"].brier is not None
+    alone = L.leave_one_source_out(rows.where("source = 'a' OR (source = 'b' AND label = 1)"), fit=fit).collect()
+    assert {r.source: r.brier is None for r in alone} == {"a": True, "b": False}
+
+
+def test_query_leaves_out_the_sources_of_the_table(spark):
+    sf = "/root/testdata/sf0.001"
+    labelled = spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL")
+    want = {r.source for r in spark.read.parquet(f"{sf}/documents.parquet").join(labelled, "doc_id", "left_semi").select("source").distinct().collect()}
+    got = [r.source for r in entry.queries()["loso_eval"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_character_grams(spark):
     out = spark.createDataFrame([("Ab cde",)], "t string").select(L.character_grams(F.col("t"), 3, 4)).first()[0]
     assert out == [" ab", "ab ", " ab ", " cd", "cde", "de ", " cde", "cde "]
