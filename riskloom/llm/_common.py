@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (local tests) is a temporary folder made and set.
+    Only where the setting is missing and all runs in one process (local tests) is a temporary folder made and set.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -61,6 +63,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fingerprint128(c: Column) -> Column:
+    """Two independent 64-bit hashes: values that agree in both are taken for equal (at 10^10 values a chance of 1e-19
+    that any two others agree)."""
+    return F.struct(F.xxhash64(c).alias("h"), F.xxhash64(F.lit(0x5EED), c, F.lit(0xC0DE)).alias("g"))
+
+
 #: Bits of the map that marks ids: 8 MiB in all, whatever the number of ids.
 MAP_BITS = 1 << 26
 

@@ -82,7 +82,7 @@ def test_groups_equal_brute_force(spark):
     assert want[9011] == 9010 and want[9004] == 9004 and want[9006] == 9006 and want[9002] == 9000
 
 
-@pytest.mark.parametrize("candidates", [None, lambda x, side: ((i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if side is None or side[i] != side[j])])
+@pytest.mark.parametrize("candidates", [None, lambda x, side, comps, places: ((i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if side is None or side[i] != side[j])])
 def test_links_beside_the_centre(spark, monkeypatch, candidates):
     """One bucket a chain: whichever member is its centre, pairs without it link too, also across blocks."""
     monkeypatch.setattr(_linking, "ITEMS", 4)
@@ -90,7 +90,7 @@ def test_links_beside_the_centre(spark, monkeypatch, candidates):
     buckets = spark.createDataFrame(rows, "key long, id long, size long")
     scratch = Scratch(spark, "t")
     prepare = lambda ids: scratch.write(ids.select("id", F.encode(F.col("id").cast("string"), "utf-8").alias("x")), "x")
-    out = _linking.link(buckets, scratch, prepare, lambda a, b: abs(int(a) - int(b)) == 1, candidates=candidates).collect()
+    out = _linking.link(buckets, scratch, prepare, lambda a, b, offsets: abs(int(a) - int(b)) == 1, candidates=candidates, large=candidates is not None).collect()
     assert {r.node: r.component for r in out} == {i: i // 10 * 10 for _, i, _ in rows}
 
 
@@ -214,3 +214,68 @@ def test_votes_in_parts(monkeypatch):
     whole = chroma.align(a, b)
     monkeypatch.setattr(chroma, "VOTES", 7)
     assert chroma.align(a, b) == whole and whole[0] == 60
+
+
+def test_recall_of_sounds(spark):
+    """Against all pairs at all offsets of a whole table: no pair is grouped without links, at least 0.9 of them are found."""
+    rng = np.random.default_rng(21)
+    bases = rng.normal(size=(90, 64))
+    vectors = [b + rng.normal(size=64) * level for b in bases for level in (0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3)]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    prints = chroma.fingerprints(table, id_col="vec_id", media_col="embedding", decode=chroma.melodies)
+    out = {r.rec_id: r.group_id for r in chroma.groups(prints, Scratch(spark, "t")).collect()}
+    heard = [(i, chroma.packed(s, chroma.RATE)) for (i, _), s in zip(rows, chroma.melodies(pa.array([v for _, v in rows], pa.list_(pa.float64()))), strict=True)]
+    x = np.stack([np.frombuffer(p, "<u4") for _, p in heard])
+    ids, n = [i for i, _ in heard], x.shape[1]
+    links = []
+    for i in range(len(x) - 1):
+        best = np.ones(len(x) - i - 1)
+        for o in range(-(n // 2), n // 2 + 1):
+            a0, a1 = max(0, o), min(n, n + o)
+            if 2 * (a1 - a0) >= n:
+                best = np.minimum(best, np.bitwise_count(x[i, a0:a1] ^ x[i + 1 :, a0 - o : a1 - o]).sum(axis=1) / (32 * (a1 - a0)))
+        links += [(ids[i], ids[i + 1 + j]) for j in np.flatnonzero(best <= 0.25).tolist()]
+    comp = components_of(ids, links)
+    assert len(out) == len(rows) and len(links) > 200
+    assert all(comp[i] == comp[out[i]] for i in ids)
+    found = sum(out[a] == out[b] for a, b in links)
+    print(f"recall {found / len(links):.4f} of {len(links)} links, {sum(a != b for a, b in out.items())} grouped")
+    assert found >= 0.9 * len(links)
+
+
+def test_silence_keeps_its_place():
+    rng = np.random.default_rng(2)
+    tune, pause = melody(rng, 40), np.zeros(2048)
+    whole = np.concatenate([tune, pause, melody(rng, 40)])
+    a, b = (np.frombuffer(chroma.packed(s, chroma.RATE), "<u4") for s in (whole, whole[len(tune) :]))
+    assert chroma.align(a, b, 0.3)[0] == pytest.approx(len(tune) / 128, abs=1)
+    assert chroma.packed(pause, chroma.RATE) == b"" and chroma.packed(None, chroma.RATE) == b""
+    fast = np.interp(np.arange(0, len(whole), 2048 / 16_000), np.arange(len(whole)), whole)
+    _, error, _ = chroma.align(a, np.frombuffer(chroma.packed(fast, 16_000), "<u4"), 0.5)
+    assert error < 0.2
+
+
+def test_nearby_equals_pairwise():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**32, 40, dtype=np.uint32)
+    prints, places = [], []
+    for _ in range(30):
+        a, b = sorted(rng.choice(41, 2, replace=False))
+        p = base[a:b].copy()
+        p[rng.random(len(p)) < 0.3] = rng.integers(0, 2**32)
+        p[rng.random(len(p)) < 0.1] = chroma.SILENT
+        prints.append(p)
+        places.append(int(rng.integers(0, len(p))))
+    comps = list(rng.integers(0, 20, 30))
+
+    def want(i, j):
+        bits, frames = chroma.differing(prints[i], prints[j], places[i] - places[j])
+        return comps[i] != comps[j] and frames > 0 and frames >= 0.5 * min(len(prints[i]), len(prints[j])) and bits <= 0.25 * 32 * frames
+
+    for area in (4_000_000, 300):
+        chroma.AREA = area
+        assert set(chroma.nearby(prints, places, None, comps, 0.25, 0.5)) == {(i, j) for i in range(30) for j in range(i + 1, 30) if want(i, j)}
+        side = [i % 3 == 0 for i in range(30)]
+        assert {tuple(sorted(p)) for p in chroma.nearby(prints, places, side, comps, 0.25, 0.5)} == {(i, j) for i in range(30) for j in range(i + 1, 30) if side[i] != side[j] and want(i, j)}
+    chroma.AREA = 4_000_000
