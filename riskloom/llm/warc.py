@@ -9,12 +9,16 @@ on any store that Spark can write to.
 Reader. It walks a file from record to record, compressed members and plain records alike, and checks each: the member's
 own checksum, the version line, the header, the block's length, and the block and payload digests where they are given.
 After a check fails it searches for the next gzip magic or version line at which a whole record passes, goes on from
-there, and logs the bytes between as a quarantined gap with the reason. So one damaged record costs itself only.
+there, and logs the bytes between as a quarantined gap with the reason. Inside a member the same is done with the
+inflated bytes, so a member of many records loses the damaged ones only; of a member whose checksum fails, or that does
+not inflate to its end, those records stay that a digest of their own confirms. Members are inflated in slices: time
+follows the length of a file, and beside the file (2 GB at most, what Spark hands over as one value) a task holds the
+record at hand.
 
 Defined cases: a null payload is an empty one; a null URL is left out of the header; a null id is written without an id,
 and a group of equal payloads whose ids are all null consists of responses; rows that repeat the largest id are all
 responses; an empty table gives an archive without records; other columns are ignored; a file without any valid record
-is one gap.
+is one gap; a payload of any length is one record, and a file ends after ``records_per_file`` of them.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +40,9 @@ EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 DATE = "2000-01-01T00:00:00Z"
 BATCH_BYTES = 8 << 20
-SCHEMA = "kind string, path string, start long, end long, reason string, record_type string, headers map<string,string>, payload binary"
+#: Bytes inflated at a time, bytes up to which an inflated member is kept for reading, and bytes in which a header ends.
+SLICE, KEEP, HEADER = 1 << 18, 1 << 22, 1 << 20
+SCHEMA = "kind string, path string, start long, end long, inner long, reason string, record_type string, headers map<string,string>, payload binary"
 
 
 def digest(data: bytes) -> str:
@@ -77,7 +84,7 @@ def member(record: bytes, level: int) -> bytes:
     return out if out[-1] == 0 else out + EMPTY_MEMBER
 
 
-def write(rows: DataFrame, path: str, *, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, level: int = 6) -> None:
+def write(rows: DataFrame, path: str, *, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, level: int = 6, records_per_file: int = 20_000) -> None:
     """Writes one record for every row under path."""
     pages = rows.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")
@@ -99,22 +106,71 @@ def write(rows: DataFrame, path: str, *, id_col: str, url_col: str, payload_col:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
 
-    pages.mapInArrow(members, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    pages.mapInArrow(members, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 class Damaged(ValueError):
-    """Why the bytes at a position are no valid record."""
-
-
-def parse_plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
-    """End, header and block of the plain record at a position."""
-    if not VERSION.match(data, at):
+    """Why the bytes at a position are no valid record, and the place in the file of what is damaged in a member."""
+
+    def __init__(self, reason: str, place: int = 0):
+        super().__init__(reason)
+        self.place = place
+
+
+class Window:
+    """Bytes that come in parts; what was read and is not needed again is forgotten."""
+
+    def __init__(self, parts, held: bytes = b""):
+        self.parts, self.held, self.base = iter(parts), held, 0
+
+    def more(self) -> bool:
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        if not self.held:
+            self.held = part
+        else:
+            if isinstance(self.held, bytes):
+                self.held = bytearray(self.held)
+            self.held += part
+        return True
+
+    def reaches(self, end: int) -> bool:
+        while self.base + len(self.held) < end:
+            if not self.more():
+                return False
+        return True
+
+    def take(self, begin: int, end: int) -> bytes:
+        self.reaches(end)
+        return bytes(self.held[begin - self.base : end - self.base])
+
+    def find(self, what: bytes, begin: int, limit: int | None = None) -> int:
+        """Place of the next occurrence that begins before begin + limit; -1 if there is none."""
+        at = begin
+        while True:
+            found = self.held.find(what, max(0, at - self.base))
+            if found >= 0:
+                return self.base + found if limit is None or self.base + found < begin + limit else -1
+            at = max(at, self.base + len(self.held) - len(what) + 1)
+            if (limit is not None and at > begin + limit) or not self.more():
+                return -1
+
+    def forget(self, before: int) -> None:
+        if isinstance(self.held, bytearray) and before - self.base > SLICE:
+            del self.held[: before - self.base]
+            self.base = before
+
+
+def parse(window: Window, at: int) -> tuple[int, dict[str, str], bytes, bool]:
+    """End, header and block of the record at a position, and whether a digest confirms it."""
+    if not VERSION.match(window.take(at, at + 10)):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at)
+    stop = window.find(b"\r\n\r\n", at, HEADER)
     if stop < 0:
         raise Damaged("header has no end")
     headers: dict[str, str] = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
+    for line in window.take(at, stop).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise Damaged("malformed header line")
@@ -124,16 +180,19 @@ def parse_plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
         raise Damaged("header lacks a length or a type")
     begin = stop + 4
     end = begin + int(length)
-    if data[end : end + 4] != b"\r\n\r\n":
+    if not window.reaches(end + 4) or window.take(end, end + 4) != b"\r\n\r\n":
         raise Damaged("block does not end where the header says")
-    block = data[begin:end]
+    block, proven = window.take(begin, end), False
     want = headers.get("warc-block-digest", "")
-    if want.startswith("sha1:") and want[5:] != digest(block):
-        raise Damaged("block digest differs")
+    if want.startswith("sha1:"):
+        if want[5:] != digest(block):
+            raise Damaged("block digest differs")
+        proven = True
     want = headers.get("warc-payload-digest", "")
-    if headers["warc-type"] == "response" and want.startswith("sha1:") and want[5:] != digest(payload_of(headers, block)):
-        raise Damaged("payload digest differs")
-    return end + 4, headers, block
+    if headers["warc-type"] == "response" and want.startswith("sha1:"):
+        if want[5:] != digest(payload_of(headers, block)):
+            raise Damaged("payload digest differs")
+    return end + 4, headers, block, proven
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
@@ -143,55 +202,159 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def parse_member(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    """End and records of the gzip member at a position; each record of it must pass."""
-    inflate = zlib.decompressobj(31)
-    try:
-        plain = inflate.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged(f"member does not inflate: {str(e)[:60]}") from e
-    if not inflate.eof:
-        raise Damaged("member is cut short")
-    found, inner = [], 0
-    while inner < len(plain):
-        inner, headers, block = parse_plain(plain, inner)
-        found.append((headers, block))
-    return len(data) - len(inflate.unused_data), found
+def inflated(data: bytes, start: int):
+    """The inflated slices of the gzip member at a position; returns its end, raises Damaged where it does not hold."""
+    inflate, view, at, size = zlib.decompressobj(31), memoryview(data), start, 0
+    while not inflate.eof:
+        raw = inflate.unconsumed_tail
+        if not raw:
+            raw = view[at : at + SLICE]
+            if not len(raw):
+                raise Damaged("member is cut short", at)
+            at += len(raw)
+        try:
+            out = inflate.decompress(raw, SLICE)
+        except zlib.error as e:
+            at, rest = to_fault(view, start, at, size)
+            if rest:
+                yield rest
+            raise Damaged(f"member does not inflate: {str(e)[:60]}", at) from e
+        size += len(out)
+        if out:
+            yield out
+    return at - len(inflate.unused_data)
+
+
+def to_fault(view: memoryview, start: int, stop: int, size: int) -> tuple[int, bytes]:
+    """Where a member that fails before stop does so, and what inflates before that beyond the first size bytes."""
+    inflate, at, rest = zlib.decompressobj(31), start, bytearray()
+    step = SLICE
+    while at < stop:
+        spare = inflate.copy()
+        try:
+            out = inflate.decompress(view[at : min(stop, at + step)])
+        except zlib.error:
+            if step == 1:
+                break
+            inflate, step = spare, max(1, step // 64)
+            continue
+        rest += out[max(0, size) :] if size > 0 else out
+        size -= len(out)
+        at += step
+    return min(at, stop), bytes(rest)
+
+
+def survey(data: bytes, at: int) -> tuple[int | None, str | None, list[bytes] | None, int]:
+    """End of the member at a position or None and why, its inflated parts if they are small enough to keep, and the place
+    of the damage."""
+    parts, size, slices = [], 0, inflated(data, at)
+    while True:
+        try:
+            part = next(slices)
+        except StopIteration as end:
+            return end.value, None, parts, end.value
+        except Damaged as e:
+            return None, str(e), parts, e.place
+        size += len(part)
+        if parts is not None:
+            parts.append(part)
+        if size > KEEP:
+            parts = None
 
 
-def parse_at(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    if data[at : at + 3] == MAGIC:
-        return parse_member(data, at)
-    end, headers, block = parse_plain(data, at)
-    return end, [(headers, block)]
+def again(data: bytes, at: int):
+    """The inflated parts of a member up to its damage, if it has any."""
+    try:
+        yield from inflated(data, at)
+    except Damaged:
+        return
 
 
-CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+def walk(window: Window, trusted: bool):
+    """Records and gaps of a member's inflated bytes: (kind, begin, end, header or reason, block)."""
 
+    def good(at: int):
+        end, headers, block, proven = parse(window, at)
+        if not (trusted or proven):
+            raise Damaged("no digest confirms it in a damaged member")
+        return end, headers, block
 
-def salvage(data: bytes):
-    """("record", start, end, headers, block) and ("gap", start, end, reason, b""), in order, covering all bytes."""
     at = 0
-    while at < len(data):
+    while window.reaches(at + 1):
         try:
-            end, found = parse_at(data, at)
+            end, headers, block = good(at)
         except Damaged as e:
             start, reason = at, str(e)
-            for m in CANDIDATE.finditer(data, at + 1):
+            while (at := window.find(b"WARC/1.", at + 1)) >= 0:
                 try:
-                    parse_at(data, at := m.start())
+                    good(at)
                     break
                 except Damaged:
-                    continue
+                    window.forget(at)
             else:
-                at = len(data)
+                at = window.base + len(window.held)
             yield "gap", start, at, reason, b""
             continue
-        for headers, block in found:
-            yield "record", at, end, headers, block
+        yield "record", at, end, headers, block
+        window.forget(end)
         at = end
 
 
+def look(data: bytes, at: int):
+    """What is at a position of a file: (end, reason, events, whether there is a record, the place of the damage). The end
+    is None for a damaged member; events are as in walk, of a plain record one with the places None."""
+    if data[at : at + 3] != MAGIC:
+        end, headers, block, _ = parse(Window((), data), at)
+        return end, None, iter([("record", None, None, headers, block)]), True, end
+    end, reason, parts, place = survey(data, at)
+    events = walk(Window(parts if parts is not None else again(data, at)), end is not None)
+    head = []
+    for event in events:
+        head.append(event)
+        if event[0] == "record":
+            return end, reason, chain(head, events), True, place
+    return end, reason, iter(head), False, place
+
+
+CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+
+
+def salvage(data: bytes):
+    """("record", start, end, headers, block, inner) and ("gap", start, end, reason, b"", inner), in order; the spans of the
+    file cover all its bytes. Inner is the place in the inflated bytes of a member, None outside of members: records and
+    gaps of one member share its span."""
+    at = 0
+    while at < len(data):
+        try:
+            end, reason, events, any_record, place = look(data, at)
+        except Damaged as e:
+            end, reason, events, any_record, place = None, str(e), iter(()), False, at
+        stop = end
+        if stop is None:
+            stop = len(data)
+            for m in CANDIDATE.finditer(data, at + 1):
+                if any_record and m.start() < place and m[0] != MAGIC:
+                    continue  # a version line that was met inside the member, which only stored it
+                try:
+                    if look(data, m.start())[3]:
+                        stop = m.start()
+                        break
+                except Damaged:
+                    continue
+        if not any_record and end is None:
+            yield "gap", at, stop, reason, b"", None
+        else:
+            last = 0
+            for kind, begin, inner_end, what, block in events:
+                if kind == "record":
+                    last = inner_end
+                if end is not None or kind == "record" or inner_end is None:
+                    yield kind, at, stop, what, block, begin
+            if end is None:
+                yield "gap", at, stop, reason, b"", last
+        at = stop
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of all files under path (see SCHEMA; kind tells them apart, header names are in lower case)."""
 
@@ -199,11 +362,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for kind, start, end, what, block in salvage(content.as_py()):
+                for kind, start, end, what, block, inner in salvage(content.as_py()):
                     if kind == "gap":
-                        rows.append((kind, name, start, end, what, None, None, None))
+                        rows.append((kind, name, start, end, inner, what, None, None, None))
                     else:
-                        rows.append((kind, name, start, end, None, what["warc-type"], list(what.items()), payload_of(what, block)))
+                        rows.append((kind, name, start, end, inner, None, what["warc-type"], list(what.items()), payload_of(what, block)))
                         size += len(block)
                     if size >= BATCH_BYTES:
                         yield _batch(rows)
@@ -215,8 +378,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parsed, SCHEMA)
 
 
-TYPES = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary())
-NAMES = ("kind", "path", "start", "end", "reason", "record_type", "headers", "payload")
+TYPES = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary())
+NAMES = ("kind", "path", "start", "end", "inner", "reason", "record_type", "headers", "payload")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
