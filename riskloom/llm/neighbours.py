@@ -6,8 +6,8 @@ in its list a vector is stored as the codes of its residual's subspaces, with th
 Probes. If x stands in the list of centroid c and y in that of c', the segment between them crosses the plane between
 both lists, so x and y lie together at most |x - y| <= r from it, and one of them at most r / 2. A vector x therefore
 probes every list c' with d(x, c')^2 - d(x, c)^2 <= r |c' - c|: each pair within r is met from one side at least, so the
-probes are sufficient, not a guess. A pair met from one side only is counted for both, which that side can tell. In a list the asymmetric distance of x to a code is read from a table
-of x's distances to the codewords; since the true distance differs from it by at most the code's error, vectors with
+probes are sufficient, not a guess. A pair met from one side only is counted for both, which that side can tell. In a
+list the asymmetric distance of x to a code is read from a table of x's distances to the codewords; since the true distance differs from it by at most the code's error, vectors with
 distance - error > r are passed over without loss. The rest are compared exactly, in double precision.
 
 Equal vectors are one class: only classes are compared, and a link between classes counts for all their members. Lists
@@ -17,8 +17,9 @@ rather than pairs.
 
 Defined cases: vectors that are null, of length zero, of another dimension than the most frequent one, or with null or
 non-finite components link with nothing and are their own component; rows that repeat an id with equal vectors are one
-vector, with unequal ones the smaller vector counts; a null id is kept without links; an empty table gives no rows;
-other columns are ignored.
+vector, with unequal ones the smaller vector counts; components so small or large that their squares leave the range of
+doubles count by their direction like any others; a null id is kept without links; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ from riskloom.llm._components import Forest, components
 
 #: Vectors of the sample that the quantisers are fitted on; subspaces; codewords of each; rounds of k-means.
 SAMPLE, SUBSPACES, CODEWORDS, ROUNDS = 20_000, 8, 64, 8
+#: Lists are four times the root of the number of vectors, so work grows as its power 1.5; the sample, grown to four vectors
+#: a list, bounds them to this many (from 4 million vectors on, work grows with the square again, divided by that).
+LISTS = 8192
 #: Members of a shard, and queries that meet it in a task.
 SHARD, SHARE = 8192, 16_384
 
@@ -67,8 +71,6 @@ class Quantiser:
         self.centres = kmeans(sample, min(lists, len(sample)), ROUNDS, seed)
         rest = sample - self.centres[nearest(sample, self.centres)]
         self.books = [kmeans(rest[:, a:b], min(codewords, len(rest)), ROUNDS, seed + 1 + i) for i, (a, b) in enumerate(self._spans())]
-        gaps = np.sqrt(distances(self.centres, self.centres))
-        self.gaps = gaps
 
     def _spans(self):
         return zip(self.cuts[:-1], self.cuts[1:], strict=True)
@@ -87,8 +89,9 @@ class Quantiser:
     def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
         """Rows × lists: whether a unit vector probes a list."""
         d = distances(x, self.centres)
-        near = d.argmin(1)
-        return d - d[np.arange(len(d)), near][:, None] <= radius * self.gaps[near] + 1e-9
+        lists, own = np.unique(d.argmin(1), return_inverse=True)
+        gaps = np.sqrt(distances(self.centres[lists], self.centres))
+        return d - d.min(1)[:, None] <= radius * gaps[own] + 1e-9
 
     def approximate(self, x: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """Distances of queries to the coded members of one list, from tables of distances to the codewords."""
@@ -100,8 +103,13 @@ class Quantiser:
 
 
 def units(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-    return flat / np.linalg.norm(flat, axis=1)[:, None]
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; by the largest component first, since squares may leave the range of doubles."""
+    x = x / np.abs(x).max(axis=1, initial=0)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def classes(vectors: DataFrame, *, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -133,11 +141,11 @@ def link(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector
     nodes = scratch.write(nodes, "nodes")
 
     total = nodes.count()
-    taken = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").collect()  # bounded by the parameter
-    fitted = np.asarray([r.v for r in taken], float)
-    fitted /= np.linalg.norm(fitted, axis=1)[:, None]
-    lists = min(len(fitted), int(np.clip(4 * np.sqrt(total), 1, 1024)))
-    held = nodes.sparkSession.sparkContext.broadcast(Quantiser(fitted, lists))  # at most 1024 centroids and the codebooks
+    lists = int(np.clip(4 * np.sqrt(total), 1, LISTS))
+    taken = nodes.orderBy(F.xxhash64("node"), "node").limit(max(sample, 4 * lists)).select("v").collect()  # 4 * LISTS at most
+    fitted = scaled(np.asarray([r.v for r in taken], float))
+    lists = min(len(fitted), lists)
+    held = nodes.sparkSession.sparkContext.broadcast(Quantiser(fitted, lists))  # at most LISTS centroids and the codebooks
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
 
     def index(batches):
@@ -151,18 +159,21 @@ def link(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector
             )
 
     coded = scratch.write(nodes.mapInArrow(index, f"node long, size long, v {kind}, list int, codes binary, error double"), "lists")
-    places = _shards({r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()})  # at most 1024 rows
-    shards = 1 + max(max(p) for p in places.values())
-    of_shard = np.zeros((lists, shards), bool)
-    for own, those in places.items():
-        of_shard[own, those] = True
-    layout = nodes.sparkSession.sparkContext.broadcast(of_shard)
+    first, many = _shards({r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}, lists)  # at most LISTS rows
+    shards = int((first + many).max())
+    layout = nodes.sparkSession.sparkContext.broadcast((first, many))  # two numbers a list
 
     def asks(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero(held.value.probes(units(part.column(2), dim), radius).astype(np.float32) @ layout.value.astype(np.float32))
+        """(row, shard): the shards that hold a list which the row probes, each once."""
+        begin, n = layout.value
+        row, own = np.nonzero(held.value.probes(units(part.column(2), dim), radius))
+        times = n[own]
+        shard = np.repeat(begin[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        both = np.unique(np.repeat(row, times) * np.int64(shards) + shard)
+        return both // shards, both % shards
 
     def count(batches):
-        total_of = np.zeros(layout.value.shape[1], np.int64)
+        total_of = np.zeros(shards, np.int64)
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 total_of += np.bincount(asks(batch.slice(a, 2048))[1], minlength=len(total_of))
@@ -188,7 +199,8 @@ def link(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector
             own = batch.column(3).to_numpy()
             node = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
             pick = (node * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)).astype(np.int64)
-            shard = np.asarray([places[k][p % len(places[k])] for k, p in zip(own.tolist(), pick.tolist(), strict=True)], np.int64)
+            begin, n = layout.value
+            shard = begin[own] + pick % n[own]
             times = share_of.value[shard]
             row = np.repeat(np.arange(len(own)), times)
             share = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -262,21 +274,20 @@ def link(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector
     )
 
 
-def _shards(counts: dict[int, int]) -> dict[int, list[int]]:
-    """The shards of each list: small lists share one, a large list has several."""
-    places: dict[int, list[int]] = {}
+def _shards(counts: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shard of each list and how many it has: small lists share one, a large list has several in a row."""
+    first, many = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
     shard, room = -1, 0
     for own, n in sorted(counts.items()):
         if n > SHARD:
-            k = -(-n // SHARD)
-            places[own] = list(range(shard + 1, shard + 1 + k))
-            shard, room = shard + k, 0
+            first[own], many[own] = shard + 1, -(-n // SHARD)
+            shard, room = shard + int(many[own]), 0
             continue
         if n > room:
             shard, room = shard + 1, SHARD
-        places[own] = [shard]
+        first[own], many[own] = shard, 1
         room -= n
-    return places
+    return first, many
 
 
 def _summed(found: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
