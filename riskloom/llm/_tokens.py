@@ -4,7 +4,8 @@ The tokenizers used here never let a token cross a space or a line feed, nor the
 punctuation in ``TAIL`` after them, and they fold case first. So the ids of a text are those of its chunks between
 spaces, and the ids of such a chunk are those of its lower-case letters and of its tail. A lower-case word of Latin
 letters goes to the library's model itself, as the byte characters that its pre-tokenizer makes of it; whatever else
-there is goes through the whole tokenizer. Both ways are compared on probe words when a worker starts. Words repeat, so each
+there is goes through the whole tokenizer. All ways are compared on probes when a worker starts, and a tokenizer that does
+not agree is given its texts whole. Words repeat, so each
 worker remembers the ids of what it has met. The memory has two generations of bounded size: what is used again moves
 to the younger, and the older is forgotten when the younger is full.
 """
@@ -21,8 +22,9 @@ GENERATION, LONGEST = 340_000, 64
 #: Punctuation that the tokenizer splits from ASCII letters before it (an apostrophe may join what follows it).
 TAIL = ".,;:!?*$%&#"
 
-#: Words on which the short way must agree with the whole tokenizer.
+#: Words on which the short way must agree with the whole tokenizer, and texts on which the ids of chunks must.
 PROBES = ("the", "word", "thouan", "été", "größe", "señales", "ænima", "zzyzx")
+TEXTS = ("Two words. One  line,\nthen another;\n\n and (this) \"here\" is 3.14 % of 2,718 it's", " a \n b\t c\r\n", "été, größe! señales? 数据 是 文本 🙂 ok", "http://a.b/c?d=e&f #g $5 x*y")
 
 
 def _byte_characters() -> list[str]:
@@ -66,6 +68,8 @@ class ChunkEncoder:
         self.model, self.letters = self.tokenizer.model, _byte_characters()
         self.short = True
         self.short = all(self._word(w) == self._ids(w) for w in PROBES)
+        # A tokenizer whose tokens cross blanks gets its texts whole.
+        self.whole = not all(self._by_chunks(t) == self._ids(t) for t in TEXTS)
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are not little-endian 32-bit here")
 
@@ -102,4 +106,7 @@ class ChunkEncoder:
         for text in texts:
             if len(self.young) > GENERATION:
                 self.young, self.older = _Generation(self), self.young
-            yield b"".join(map(self.young.__getitem__, (text or "").replace("\n", " ").split(" ")))
+            yield self._ids(text or "") if self.whole else self._by_chunks(text or "")
+
+    def _by_chunks(self, text: str) -> bytes:
+        return b"".join(map(self.young.__getitem__, text.replace("\n", " ").split(" ")))

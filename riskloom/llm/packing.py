@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import _tokens
@@ -39,30 +39,41 @@ def cut(n: int, max_length: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", max_length: int = 4096, end_id: int = 2) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, token_bytes (ids, little-endian unsigned 32-bit), doc_tokens,
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", max_length: int = 4096, end_id: int = 2, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Pieces of all documents, with the columns of keep of their rows: doc_id, start, length, token_bytes (ids, little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset (0: a piece is a whole sequence) and bucket (the binary logarithm of length)."""
     if max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
-    end = np.asarray([end_id], "<u4").tobytes()
+    end, keep = np.asarray([end_id], "<u4").tobytes(), keep or {}
+    extra = list(keep)
 
     def pieces(batches):
         enc = _tokens.encoder(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))
-            rows, held = [], 0
-            for doc, tokens in zip(ids, enc.encode(texts), strict=True):
+            others = [batch.column(2 + i) for i in range(len(extra))]
+            rows, own, held = [], [], 0
+
+            def full():
+                made = _batch(rows)
+                take = pa.array(own)
+                return pa.RecordBatch.from_arrays([*made.columns, *(c.take(take) for c in others)], names=[*made.schema.names, *extra])
+
+            for i, (doc, tokens) in enumerate(zip(ids, enc.encode(texts), strict=True)):
                 tokens += end
                 n = len(tokens) // 4
-                rows += [(doc, at, length, tokens[4 * at : 4 * (at + length)], n) for at, length in cut(n, max_length)]
+                spans = cut(n, max_length)
+                rows += [(doc, at, length, tokens[4 * at : 4 * (at + length)], n) for at, length in spans]
+                own += [i] * len(spans)
                 held += len(tokens)
                 if held >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
+                    yield full()
+                    rows, own, held = [], [], 0
             if rows:
-                yield _batch(rows)
+                yield full()
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, SCHEMA)
+    taken = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in keep.items()))
+    out = taken.mapInArrow(pieces, ", ".join([SCHEMA, *(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields[2:])]))
     # The scan's splits are the same on every attempt, so these ids are too.
     return out.withColumns({
         "sequence_id": F.monotonically_increasing_id(),

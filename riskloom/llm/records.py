@@ -11,10 +11,12 @@ has no id), the document id (signed 64-bit) and the ids.
 
 Files are written by Spark's own text writer, whose values are the frames without their last byte and whose line
 separator is that byte: so the commit protocol covers lost executors, and any store that Spark can write to will do.
-Documents are dealt to files by ranges of ids and sorted inside each, so files in name order hold ascending ids.
+Documents are dealt to files by ranges of (id, hash of the text), as many as hold ``file_bytes`` of text each, and sorted
+inside each, so files in the order of the numbers in their names hold ascending ids.
 
-Defined cases: a null or empty text holds only the end id; rows that repeat an id are all written, ordered by text;
-null ids come first; an empty table gives an empty index; other columns are ignored.
+Defined cases: a null or empty text holds only the end id; rows that repeat an id are all written, ordered by a hash of
+the text, then the text, and may fill several files; null ids come first; an empty table gives an empty index; other
+columns are ignored; a text is encoded whole, so one of any length makes one frame, and its file is as large as it needs.
 """
 
 from __future__ import annotations
@@ -88,8 +90,8 @@ def decode_payload(payload: bytes) -> tuple[int | None, bytes]:
     return None if flags & NO_ID else doc_id, ids if flags & WIDE else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
-    """Encodes every text and writes record files in ascending order of ids under path."""
+def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_bytes: int = 64 << 20) -> None:
+    """Encodes every text and writes record files in ascending order of ids under path, of about file_bytes of text."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encoded(batches):
@@ -107,8 +109,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    rows = rows.repartitionByRange(1 + size // file_bytes, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     # Spark's strings are bytes: the cast neither checks nor changes them.
     rows.mapInArrow(encoded, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
@@ -143,17 +146,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def build_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     """Reads the record files, writes the offset index as Parquet beside them and returns it: for each record its file,
-    offset, length of the payload, document id, tokens, tokens before it in all files, and the crc32 of its ids."""
+    offset, document id, tokens, tokens before it in all files, and the crc32 of its ids."""
     records = read(spark, path).select(
         "path", "offset", "doc_id", (F.length("token_bytes") / 4).cast("long").alias("n_tokens"), F.crc32("token_bytes").alias("ids_crc32")
     )
     records.write.parquet(index_path + "-records")
     records = spark.read.parquet(index_path + "-records")
     in_file = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each file, so this ordering of all of them is small whatever the input.
-    files = records.groupBy("path").agg(F.sum("n_tokens").alias("n")).select(
-        "path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
-    )
+    # One row for each file of bounded size, so this ordering of all of them is small beside the input. Names pad their
+    # numbers to five digits (of a task) and three (of its files), so beyond these their order as text is another one.
+    files = records.groupBy("path").agg(F.sum("n_tokens").alias("n")).withColumns({
+        "task": F.regexp_extract("path", "part-(\\d+)[^/]*$", 1).try_cast("long"), "piece": F.regexp_extract("path", "-c(\\d+)[^/]*$", 1).try_cast("long")
+    })
+    before = Window.orderBy("task", "piece", "path").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     index = records.withColumn("before", F.coalesce(F.sum("n_tokens").over(in_file), F.lit(0))).join(files, "path").select(
         "path", "offset", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -62,6 +62,24 @@ def test_pack(spark):
     assert sum(r.doc_id == 3 for r in out) == 2 * len(packing.cut(len(whole(ROWS[0][1], 2)) // 4, 4096))
 
 
+def test_buckets_and_kept_columns(spark, tmp_path):
+    out = packing.pack(table(spark), PATH, keep={"place": F.col("start") + 1})
+    packing.write_buckets(out, f"file://{tmp_path}/b")
+    back = spark.read.parquet(f"file://{tmp_path}/b").collect()
+    assert {r.bucket for r in back} == {int(p.name.split("=")[1]) for p in (tmp_path / "b").glob("bucket=*")}
+    assert all(r.length == 1 << r.bucket and len(r.token_bytes) == 4 * r.length for r in back)
+    assert sum(r.length for r in back) == sum(len(whole(t, 2)) // 4 for _, t, _ in ROWS)
+    assert {(r.doc_id, r.place - 1) for r in back} == {(i, k) for i, _, k in ROWS}
+
+
+def test_a_tokenizer_that_crosses_blanks_gets_whole_texts(monkeypatch):
+    enc = _tokens.ChunkEncoder(PATH)
+    assert not enc.whole
+    monkeypatch.setattr(_tokens.ChunkEncoder, "_by_chunks", lambda self, text: b"other")
+    enc = _tokens.ChunkEncoder(PATH)
+    assert enc.whole and list(enc.encode([ROWS[0][1], None])) == [whole(ROWS[0][1], 0)[:-4], b""]
+
+
 def test_pack_nothing(spark):
     assert packing.pack(table(spark, []), PATH).count() == 0
 
@@ -83,6 +101,26 @@ def test_records_round_trip(spark, tmp_path):
     assert len(a) == len(ROWS)
 
 
+def test_files_stand_by_their_numbers(spark, tmp_path):
+    """Names pad a task's number to five digits and a file's to three only; many small files, equal ids in several."""
+    names = ["part-00007-x-c000.txt", "part-99999-x-c998.txt", "part-99999-x-c1000.txt", "part-100000-x-c000.txt", "part-100001-x-c000.txt"]
+    (tmp_path / "r").mkdir()
+    for i, name in enumerate(names):
+        frames = [records.frame(records.encode_payload(i + k, np.arange(i + 2, dtype="<u4").tobytes(), False)) + b"\n" for k in range(2)]
+        (tmp_path / "r" / name).write_bytes(b"".join(frames))
+    index = sorted(records.build_index(spark, f"file://{tmp_path}/r", f"file://{tmp_path}/i").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in index] == [0, 1, 1, 2, 2, 3, 3, 4, 4, 5]
+    assert [r.start for r in index] == [0, 2, 4, 7, 10, 14, 18, 23, 28, 34]
+
+
+def test_files_of_a_size(spark, tmp_path):
+    rows = [(i // 50, f"text {i} " * 20, 1) for i in range(1000)]
+    path = f"file://{tmp_path}/r"
+    records.write(table(spark, rows), path, PATH, file_bytes=20_000)
+    index = sorted(records.build_index(spark, path, f"file://{tmp_path}/i").collect(), key=lambda r: r.start)
+    assert len({r.path for r in index}) > 4 and [r.doc_id for r in index] == [i // 50 for i in range(1000)]
+
+
 def test_records_of_nothing(spark, tmp_path):
     records.write(table(spark, []), f"file://{tmp_path}/r", PATH)
     assert records.build_index(spark, f"file://{tmp_path}/r", f"file://{tmp_path}/i").count() == 0
