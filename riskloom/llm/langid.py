@@ -3,7 +3,8 @@
 For each language a probability for every piece of a fixed public vocabulary is learned by expectation maximisation; the
 likelihood of a word is the sum over all its segmentations into pieces, by the forward algorithm, and the likelihood of
 a text is the product over its words. The text's language is the one of largest likelihood; the score is its posterior
-under equal priors. A word is a run of letters, in lower case, with the vocabulary's mark of a word's beginning before
+under equal priors, against the other languages and against noise: letters drawn evenly from the learned alphabet, with a
+sign of that chance for a word's end. So letters without a language have a low score, however many they are. A word is a run of letters, in lower case, with the vocabulary's mark of a word's beginning before
 it. A character that is no piece counts as a piece of its own with a small fixed probability.
 
 The model is fitted on a bounded sample: at most ``docs_per_language`` documents of each language, those of smallest
@@ -12,7 +13,8 @@ row is predicted from its whole text and from nothing else.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; ties go to the first language in
 alphabetical order; repeated rows are predicted alike; without any row to learn from, everything is ``und``; other
-columns are ignored; long texts are streamed word by word through the same sums.
+columns are ignored; the words of a text of any length go through the same sums a bounded number at a time, and a word of
+more than ``LONG`` letters goes by itself, letter by letter, with a memory of the longest piece.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest piece looked for, log-probability of a character outside the vocabulary, rounds of fitting.
 LONGEST_PIECE, UNKNOWN, ROUNDS = 16, -18.0, 4
-#: Words remembered by a worker.
-MEMORY = 300_000
+#: Words remembered by a worker; letters above which a word is neither remembered nor put into a lattice with others.
+MEMORY, LONG = 300_000, 100
+#: Cells of a lattice (words by letters), and words of a text, that are summed at a time.
+CELLS, TOGETHER = 40_000, 200_000
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -124,8 +129,9 @@ class Lattice:
         return np.stack([np.bincount(piece, uses[:, k], minlength=len(logp)) for k in range(logp.shape[1])], axis=1)
 
 
-def fit(texts: list[tuple[str, str]], tokenizer_path: str) -> tuple[list[str], np.ndarray]:
-    """Languages, and log-probabilities of the pieces and of an unknown character: pieces + 1 × languages."""
+def fit(texts: list[tuple[str, str]], tokenizer_path: str) -> tuple[list[str], np.ndarray, int]:
+    """Languages, log-probabilities of the pieces and of an unknown character (pieces + 1 × languages), and the number of
+    different letters."""
     counts: dict[str, Counter] = defaultdict(Counter)
     for lang, text in texts:
         counts[lang].update(WORD.findall(text.lower()))
@@ -133,29 +139,35 @@ def fit(texts: list[tuple[str, str]], tokenizer_path: str) -> tuple[list[str], n
     words = sorted(set().union(*counts.values())) if counts else []
     n_pieces = size(pieces)
     if not words:
-        return langs, np.zeros((n_pieces + 1, len(langs)))
-    weight = np.asarray([[counts[k][w] for k in langs] for w in words], float)
+        return langs, np.zeros((n_pieces + 1, len(langs))), 0
+    letters = len(set().union(*words))
+    words = [w for w in words if len(w) <= LONG]
+    if not words:
+        return langs, np.zeros((n_pieces + 1, len(langs))), letters
+    weight = np.asarray([[counts[k][w] for k in langs] for w in words], float).reshape(len(words), len(langs))
     logp = np.full((n_pieces + 1, len(langs)), -np.log(max(1, n_pieces)))
     logp[n_pieces] = UNKNOWN
     parts = [(Lattice(words[a : a + 20_000], pieces), weight[a : a + 20_000]) for a in range(0, len(words), 20_000)]
     for _ in range(ROUNDS):
         uses = sum(lattice.expected(logp, own) for lattice, own in parts)[:n_pieces] + 0.05
         logp = np.vstack([np.log(uses / uses.sum(axis=0)), np.full((1, len(langs)), UNKNOWN)])
-    return langs, logp
+    return langs, logp, letters
 
 
 class Scorer:
     """Scores texts; remembers the likelihoods of a bounded number of words."""
 
-    def __init__(self, langs: list[str], logp: np.ndarray, tokenizer_path: str):
+    def __init__(self, langs: list[str], logp: np.ndarray, letters: int, tokenizer_path: str):
+        """letters: of the alphabet that noise is drawn from; 0 for no noise."""
         self.langs, self.logp, self.pieces = langs, logp, vocabulary(tokenizer_path)
+        self.noise = -np.log(letters + 1) if letters else -np.inf
         self.forget()
 
     def forget(self) -> None:
         """Starts a new generation; the last one still serves what is asked for again."""
         self.older = (getattr(self, "row", {}), getattr(self, "value", None))
         self.row: dict[str, int] = {}
-        self.value = np.empty((4096, len(self.langs)))
+        self.value = np.empty((4096, len(self.langs) + 1))  # by language, and the letters with the word's end
 
     def _add(self, words: list[str], values: np.ndarray) -> None:
         at = len(self.row)
@@ -170,27 +182,91 @@ class Scorer:
             self._add(again, value[[row[w] for w in again]])
             words = words.difference(again)
         ordered = sorted(words, key=len)
-        for a in range(0, len(ordered), 2000):  # of like length, so that the arrays stay small
-            own = ordered[a : a + 2000]
-            self._add(own, Lattice(own, self.pieces).totals(self.logp))
+        while ordered:  # of like length, so that the arrays stay small
+            end = 1
+            while end < min(2000, len(ordered)) and (end + 1) * (len(ordered[end]) + 2) <= CELLS:
+                end += 1
+            own, ordered = ordered[:end], ordered[end:]
+            self._add(own, np.column_stack([Lattice(own, self.pieces).totals(self.logp), [len(w) + 1 for w in own]]))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """Of remembered words together: log-likelihoods by language, and letters with the words' ends."""
+        return self.value[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
+
+    def alone(self, word: str) -> np.ndarray:
+        """Log-likelihoods of one word of any length: the forward sums of its last letters only."""
+        text, unknown, get = "▁" + word, size(self.pieces), self.pieces.get
+        alpha = np.full((LONGEST_PIECE + 1, len(self.langs)), -np.inf)  # a ring, by the place modulo its size
+        alpha[0] = 0
+        for i in range(len(text)):
+            here = alpha[i % len(alpha)].copy()
+            alpha[i % len(alpha)] = -np.inf  # the place is used again for a later one
+            for j in range(i + 1, min(len(text), i + LONGEST_PIECE) + 1):
+                piece = get(text[i:j])
+                if j == i + 1 and (piece is None or piece < 0):
+                    self._reach(alpha, j, here + self.logp[unknown])
+                elif piece is not None and piece >= 0:
+                    self._reach(alpha, j, here + self.logp[piece])
+                if piece is None:
+                    break
+        return alpha[len(text) % len(alpha)]
+
+    @staticmethod
+    def _reach(alpha: np.ndarray, place: int, value: np.ndarray) -> None:
+        at = place % len(alpha)
+        alpha[at] = np.logaddexp(alpha[at], value)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, held = [], []
+        for i, text in enumerate(texts):
+            held.append(text)
+            if sum(map(len, filter(None, held))) > 8 * TOGETHER or i + 1 == len(texts):
+                out += self._predict(held)
+                held = []
+        return out
+
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if len(self.row) > MEMORY:
             self.forget()
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
-        new = set().union(*words).difference(self.row) if words else set()
-        if new and self.langs:
-            self.learn(new)
+        sums = np.zeros((len(texts), len(self.langs) + 1))
+        any_word = [False] * len(texts)
+        for words in self._parts(texts):
+            long = [(i, w) for i, own in words for w in own if len(w) > LONG]
+            if long:
+                words = [(i, [w for w in own if len(w) <= LONG]) for i, own in words]
+            new = set().union(*(own for _, own in words)).difference(self.row)
+            if new and self.langs:
+                self.learn(new)
+            for i, own in words:
+                if own:
+                    any_word[i] = True
+                    if self.langs:
+                        sums[i] += self.total(own)
+            for i, word in long:
+                any_word[i] = True
+                if self.langs:
+                    sums[i] += np.r_[self.alone(word), len(word) + 1]
         out = []
-        for own in words:
-            if not own or not self.langs:
+        for row, heard in zip(sums, any_word, strict=True):
+            if not heard or not self.langs:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            total = self.value[np.fromiter(map(self.row.__getitem__, own), np.int64, len(own))].sum(axis=0)
-            best = int(total.argmax())
-            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+            total, best = row[:-1], int(row[:-1].argmax())
+            noise = np.exp(min(700.0, row[-1] * self.noise - total[best]))
+            out.append((self.langs[best], float(1 / (np.exp(total - total[best]).sum() + noise))))
         return out
 
+    def _parts(self, texts: list[str | None]):
+        """Lists of (text's number, words): all words of the texts, a bounded number at a time."""
+        short = [(i, WORD.findall(t.lower())) for i, t in enumerate(texts) if t and len(t) <= 8 * TOGETHER]
+        if short:
+            yield short
+        for i, t in enumerate(texts):
+            if t and len(t) > 8 * TOGETHER:
+                found = (m[0] for m in WORD.finditer(t.lower()))
+                while own := list(islice(found, TOGETHER)):
+                    yield [(i, own)]
+
 
 def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, may_learn, docs_per_language: int, longest: int) -> list[tuple[str, str]]:
     """(language, text) of the bounded sample; the texts come to the driver."""
@@ -200,20 +276,22 @@ def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, may_le
     wanted = [r.doc_id for r in ids.select("doc_id").distinct().collect()]  # at most docs_per_language for each language
     if not wanted:
         return []
-    found = rows.where(F.col(id_col).isin(wanted)).select(F.col(lang_col), F.col(text_col)).collect()
-    return sorted((r[0], r[1]) for r in found)
+    # An id that many rows repeat gives one text for each of its languages.
+    named = rows.where(F.col(id_col).isin(wanted)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    found = named.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    return sorted((r.lang, r.text) for r in found)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], tokenizer_path: str, *, text_col: str = "text", keep: dict | None = None, together: int = 256) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, int], tokenizer_path: str, *, text_col: str = "text", keep: dict | None = None, together: int = 256) -> DataFrame:
     """lang_pred and score for every row, beside the columns of keep (name: Column)."""
-    langs, logp = model
+    langs, logp, letters = model
     held = docs.sparkSession.sparkContext.broadcast((langs, logp.astype(np.float32)))  # vocabulary × languages: bounded
     key = (uuid.uuid4().hex, tokenizer_path)
 
     def scored(batches):
         if key not in _scorers:
             _scorers.clear()
-            _scorers[key] = Scorer(held.value[0], held.value[1].astype(float), tokenizer_path)
+            _scorers[key] = Scorer(held.value[0], held.value[1].astype(float), letters, tokenizer_path)
         scorer = _scorers[key]
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
