@@ -6,17 +6,23 @@ gives an anchor, the hash of the shortest run of that many words from there. Eve
 has it (least id); each later document is paired with those first documents, so the number of pairs follows the number
 of shared runs and not its square, however many documents share one.
 
-A pair is aligned by patience diff: units that occur once in both documents and in the same order fix the alignment, and
-between them the same is done again; what has no such units is aligned by its common beginning and end. A maximal run of
+Documents are compared by segments of ``SEGMENT`` units with words, each with some units of the next one, so that a run
+lies whole in the segment where it begins: an anchor names the segment of its first document, and only the segments that
+share an anchor meet, whatever the length of either document.
+
+A pair is aligned by patience diff: units that occur once in both and in the same order fix the alignment, and between
+them the same is done again; what has no such units is aligned by its common beginning and end. A maximal run of
 consecutive aligned units of at least ``min_words`` words is a common block. What the alignment leaves, because a passage
 is repeated or stands in another order, is matched by its runs directly: each run of at least ``min_words`` words that
-stands anywhere in both documents is a common block as well. Common blocks are deleted from the later document, so no
-place of an anchor that it shares with that first document stays. The first document of a run never loses it to a later
-one, so every passage stays somewhere.
+stands anywhere in both is a common block as well. Common blocks are deleted from the later document, so no place of an
+anchor that an earlier document has too stays, however often either holds it. The first document of a run never loses it
+to a later one, so every passage stays somewhere.
 
 Defined cases: a null text stays null and an empty one empty; units without words are neither anchors nor words of a
-block, but go with the block they stand in; rows that repeat an id are compared with documents of other ids only, each
-text by itself, equal ones with equal results; rows of a null id are kept as they are; an empty table gives no rows; all columns of the input come back, whatever their names. Texts of any length are taken whole.
+block, but go with the block they stand in; a passage that one document alone repeats stays; rows that repeat an id are
+compared with documents of other ids only, each text by itself, equal ones with equal results; rows of a null id are kept
+as they are; an empty table gives no rows; all columns of the input come back, whatever their names. Texts of any length
+are taken whole, their hashes in segments.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ from riskloom.llm._common import Scratch, marked
 
 #: What dedup adds; columns of these names in the input are replaced.
 FOUND = ("_removed_words", "_removed_blocks", "_overlaps")
+#: Units with words in a segment.
+SEGMENT = 2048
 SENTENCE = re.compile(r"(?<=[.!?])[ \t]+|\n")
 B = 0x9E3779B97F4A7C15
 B_INVERSE = pow(B, -1, 1 << 64)
@@ -75,10 +83,12 @@ def runs(h: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray,
     return run ^ (run >> np.uint64(29)), begin, end
 
 
-def anchors(h: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """For each unit with words from which a run of at least min_words words begins, the hash of the shortest such run."""
+def anchors(h: np.ndarray, words: np.ndarray, min_words: int, before: int | None = None) -> np.ndarray:
+    """For each unit with words from which a run of at least min_words words begins, the hash of the shortest such run;
+    only for the first so many units with words, if before is given."""
     full = words > 0
-    return np.unique(runs(h[full], words[full], min_words)[0])
+    run, place, _ = runs(h[full], words[full], min_words)
+    return np.unique(run if before is None else run[place < before])
 
 
 def shared_runs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], min_words: int) -> list[tuple[int, int]]:
@@ -166,20 +176,25 @@ def _rising(a: dict[int, int], b: dict[int, int]) -> list[tuple[int, int]]:
 def common_blocks(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], min_words: int) -> list[tuple[int, int]]:
     """Spans of units of b that make common blocks with a. Units without words are passed over on both sides."""
     place_a, place_b = np.flatnonzero(a[1] > 0), np.flatnonzero(b[1] > 0)
-    pairs = patience(a[0][place_a].tolist(), b[0][place_b].tolist())
+    found = blocks_of_words((a[0][place_a], a[1][place_a]), (b[0][place_b], b[1][place_b]), min_words)
+    return [(int(place_b[first]), int(place_b[last - 1]) + 1) for first, last in found]
+
+
+def blocks_of_words(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], min_words: int) -> list[tuple[int, int]]:
+    """Spans of b that make common blocks with a; all units have words."""
+    pairs = patience(a[0].tolist(), b[0].tolist())
     out, at = [], 0
-    words = b[1][place_b]
+    words = b[1]
     while at < len(pairs):
         end = at + 1
         while end < len(pairs) and pairs[end][0] == pairs[end - 1][0] + 1 and pairs[end][1] == pairs[end - 1][1] + 1:
             end += 1
         first, last = pairs[at][1], pairs[end - 1][1]
         if int(words[first : last + 1].sum()) >= min_words:
-            out.append((int(place_b[first]), int(place_b[last]) + 1))
+            out.append((first, last + 1))
         at = end
-    if sum(e - b for b, e in out) < len(b[0]):
-        left = shared_runs((a[0][place_a], a[1][place_a]), (b[0][place_b], words), min_words)
-        out += [(int(place_b[first]), int(place_b[last - 1]) + 1) for first, last in left]
+    if sum(e - b for b, e in out) < len(words):
+        out += shared_runs(a, b, min_words)
     return merge(out)
 
 
@@ -216,49 +231,61 @@ def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col
     of the earlier documents)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
+    beyond = 3 * min_words  # units after a segment: a run, what may follow it, and some more
+
     def cut(batches):
+        """The segments of each text: hashes, words and places of its units with words."""
+        fields = ("doc_id", "t", "part", "h", "w", "u")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                ids, marks, hashes, words = [], [], [], []
+                out: list[tuple] = []
                 for own, mark, text in zip(*(batch.column(c).slice(at, 512) for c in range(3)), strict=True):
                     h, w = units(text.as_py())
-                    if int(w.sum()) >= min_words:
-                        ids.append(own.as_py())
-                        marks.append(mark.as_py())
-                        hashes.append(h.astype("<u8").tobytes())
-                        words.append(w.astype("<u4").tobytes())
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(hashes, pa.binary()), pa.array(words, pa.binary())], names=["doc_id", "t", "h", "w"])
+                    if int(w.sum()) < min_words:
+                        continue
+                    place = np.flatnonzero(w > 0)
+                    for part, begin in enumerate(range(0, len(place), SEGMENT)):
+                        u = place[begin : begin + SEGMENT + beyond]
+                        out.append((own.as_py(), mark.as_py(), part, h[u].astype("<u8").tobytes(), w[u].astype("<u4").tobytes(), u.astype("<u4").tobytes()))
+                if out:
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(fields))
 
-    sequences = scratch.write(rows.mapInArrow(cut, "doc_id long, t long, h binary, w binary"), "units")
+    sequences = scratch.write(rows.mapInArrow(cut, "doc_id long, t long, part int, h binary, w binary, u binary"), "units")
+
+    def of(h, w) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(h.as_py(), "<u8"), np.frombuffer(w.as_py(), "<u4").astype(np.int64)
 
     def begin(batches):
+        """The anchors that begin in each segment."""
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                found = [anchors(np.frombuffer(h.as_py(), "<u8"), np.frombuffer(w.as_py(), "<u4").astype(np.int64), min_words) for h, w in zip(part.column(2), part.column(3), strict=True)]
+                found = [anchors(*of(h, w), min_words, SEGMENT) for h, w in zip(part.column(2), part.column(3), strict=True)]
                 if found:
-                    ids = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "anchor"])
+                    rows_of = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows_of), part.column(1).take(rows_of), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "part", "anchor"])
 
-    places = sequences.mapInArrow(begin, "doc_id long, anchor long")
-    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "first")
-    pairs = scratch.write(places.join(shared, "anchor").where("doc_id > first").select("first", F.col("doc_id").alias("later")).distinct(), "pairs")
+    places = sequences.select("doc_id", "part", "h", "w").mapInArrow(begin, "doc_id long, part int, anchor long")
+    shared = places.groupBy("anchor").agg(F.min(F.struct("doc_id", "part")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last")
+    shared = shared.select("anchor", F.col("f.doc_id").alias("first"), F.col("f.part").alias("first_part"))
+    pairs = places.join(shared, "anchor").where("doc_id > first").select("first", "first_part", F.col("doc_id").alias("later"), F.col("part").alias("later_part")).distinct()
+    pairs = scratch.write(pairs, "pairs")
 
-    earlier = scratch.again(sequences).select(F.col("doc_id").alias("first"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-    later = scratch.again(sequences).select(F.col("doc_id").alias("later"), "t", F.col("h").alias("hb"), F.col("w").alias("wb")).repartition("later").dropDuplicates(["later", "t"])
-    both = pairs.hint("merge").join(earlier, "first").hint("merge").join(later, "later").select("later", "first", "ha", "wa", "hb", "wb", "t")
+    earlier = scratch.again(sequences).select(F.col("doc_id").alias("first"), F.col("part").alias("first_part"), F.col("h").alias("ha"), F.col("w").alias("wa"))
+    later = scratch.again(sequences).select(F.col("doc_id").alias("later"), F.col("part").alias("later_part"), "t", F.col("h").alias("hb"), F.col("w").alias("wb"), F.col("u").alias("ub"))
+    later = later.repartition("later", "later_part").dropDuplicates(["later", "later_part", "t"])
+    both = pairs.hint("merge").join(earlier, ["first", "first_part"]).hint("merge").join(later, ["later", "later_part"]).select("later", "first", "ha", "wa", "hb", "wb", "t", "ub")
 
     def align(batches):
-        def of(h, w):
-            return np.frombuffer(h.as_py(), "<u8"), np.frombuffer(w.as_py(), "<u4").astype(np.int64)
-
         for batch in batches:
             out: list[tuple] = []
             for i in range(batch.num_rows):
-                h, w = batch.column(4)[i], batch.column(5)[i]
-                for b, e in common_blocks(of(batch.column(2)[i], batch.column(3)[i]), of(h, w), min_words):
-                    out.append((batch.column(0)[i].as_py(), batch.column(6)[i].as_py(), batch.column(1)[i].as_py(), b, e))
+                found = blocks_of_words(of(batch.column(2)[i], batch.column(3)[i]), of(batch.column(4)[i], batch.column(5)[i]), min_words)
+                if found:
+                    place = np.frombuffer(batch.column(7)[i].as_py(), "<u4")
+                    key = (batch.column(0)[i].as_py(), batch.column(6)[i].as_py(), batch.column(1)[i].as_py())
+                    out += [(*key, int(place[b]), int(place[e - 1]) + 1) for b, e in found]
             for at in range(0, len(out), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[at : at + 50_000], strict=True)], names=["later", "t", "first", "b", "e"])
 
