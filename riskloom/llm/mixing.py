@@ -16,12 +16,12 @@ buckets, so a source that holds a third of all rows is not one task's work.
 Defined cases: a null source is a source of its own; rows with equal id and source move together as one unit; a null or
 empty text has no tokens, stands in the first pass only, and a source without tokens has weight 0 and is used once under
 "cover" and not at all under a budget; ties of the hash go by id; an empty table gives no rows; other columns are
-ignored.
+ignored; a text of any length is a document like others, and stands whole in one block however large.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm._common import Scratch
@@ -40,40 +40,61 @@ def order_hash(doc_id, salt: str) -> F.Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def weights(sources: DataFrame, *, max_repetition: float | None, target_entropy: float | None, budget: int | None) -> DataFrame:
-    """sources(source, tokens, docs) with exponent, weight and budget added; one row for each source, nothing more."""
-    if (max_repetition is None) == (target_entropy is None):
-        raise ValueError("give either max_repetition or target_entropy")
-    held = sources.where("tokens > 0").agg(F.sort_array(F.collect_list(F.log(F.col("tokens").cast("double")))).alias("logs"))
+#: Exponents tried in a pass over the sources, and passes: 2^-42 is left of the range in the end.
+GRID, PASSES = 64, 7
+
+
+def _narrowed(held: DataFrame, bounds: DataFrame, fits) -> DataFrame:
+    """bounds(lo, hi) of the exponent with a grid tried between them: sums over the sources for each of its points."""
+    grid = bounds.select("lo", "hi", F.explode(F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / F.lit(float(GRID)))).alias("a"))
+    each = held.crossJoin(F.broadcast(grid))  # a source meets GRID + 1 exponents
+    sums = each.groupBy("lo", "hi", "a").agg(F.sum(F.exp(F.col("a") * F.col("x"))).alias("z"), F.sum(F.exp(F.col("a") * F.col("x")) * F.col("x")).alias("zx"), F.min("x").alias("low"))
+    tried = sums.withColumn("ok", fits(F.col("a"), F.col("z"), F.col("zx"), F.col("low")))
+    return tried.groupBy("lo", "hi").agg(F.max(F.when(~F.col("ok"), F.col("a"))).alias("below"), F.min(F.when(F.col("ok"), F.col("a"))).alias("above")).select(
+        F.coalesce("below", "lo").alias("lo"), F.coalesce("above", "hi").alias("hi"), F.col("below").isNull().alias("none_below")
+    )
+
+
+def _exponent(sources: DataFrame, max_repetition: float | None, target_entropy: float | None, budget: int | None) -> DataFrame:
+    """(exponent, top): one row, none without tokens. Cover needs the ends of the sources' sizes only; otherwise sums over
+    all sources are taken, in passes that each narrow the range by a grid, so sources are never gathered."""
+    held = sources.where("tokens > 0").select(F.log(F.col("tokens").cast("double")).alias("x"))
+    ends = held.agg(F.min("x").alias("low"), F.max("x").alias("top")).where("top IS NOT NULL")
+    if target_entropy is None and budget is None:
+        def fits(a):  # passes over a source are (top / t)^(1-a): most over the smallest source
+            return F.exp((F.lit(1.0) - a) * (F.col("top") - F.col("low"))) <= F.lit(float(max_repetition))
 
-    def total(values, f):
-        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + f(x))
+        def halve(acc, _):
+            mid = (acc["lo"] + acc["hi"]) / F.lit(2.0)
+            ok = fits(mid)
+            return F.struct(F.when(ok, acc["lo"]).otherwise(mid).alias("lo"), F.when(ok, mid).otherwise(acc["hi"]).alias("hi"))
 
-    def fits(a):
-        logs = F.col("logs")
-        whole = total(logs, lambda x: F.exp(a * x))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)
+        return ends.select("top", F.when(fits(F.lit(0.0)), F.lit(0.0)).otherwise(found["hi"]).alias("exponent"))
+
+    def ok(a, z, zx, low):
         if target_entropy is not None:  # larger exponents lower the entropy
-            mean = total(logs, lambda x: F.exp(a * x) * a * x) / whole
-            return F.log(whole) - mean < F.lit(float(target_entropy))
-        # passes over a source are budget * t^(a-1) / whole: most over the smallest source
-        if budget is None:
-            passes = F.exp((F.lit(1.0) - a) * (F.element_at(logs, -1) - F.element_at(logs, 1)))
-        else:
-            passes = F.lit(float(budget)) * F.exp((a - F.lit(1.0)) * F.element_at(logs, 1)) / whole
-        return passes <= F.lit(float(max_repetition))
-
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / F.lit(2.0)
-        ok = fits(mid)
-        return F.struct(F.when(ok, acc["lo"]).otherwise(mid).alias("lo"), F.when(ok, mid).otherwise(acc["hi"]).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)
-    zero_fits = fits(F.lit(0.0))
-    exponent = F.when(zero_fits, F.lit(0.0)).otherwise(found["lo"] if target_entropy is not None else found["hi"])
-    fixed = held.where(F.size("logs") > 0).select(F.element_at("logs", -1).alias("top"), "logs", exponent.alias("exponent"))
-    fixed = fixed.select("top", "exponent", total(F.col("logs"), lambda x: F.exp(F.col("exponent") * x)).alias("whole"))
+            return F.log(z) - a * zx / z < F.lit(float(target_entropy))
+        return F.lit(float(budget)) * F.exp((a - F.lit(1.0)) * low) / z <= F.lit(float(max_repetition))
+
+    bounds = ends.select(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    for step in range(PASSES):
+        bounds = _narrowed(held, bounds.select("lo", "hi"), ok)
+        if not step:
+            zero = bounds.select(F.col("none_below").alias("zero"))  # the exponent 0 fits already
+    best = bounds.select(F.col("lo" if target_entropy is not None else "hi").alias("best"))
+    rows = ends.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(zero))  # one row each
+    return rows.select("top", F.when(F.col("zero"), F.lit(0.0)).otherwise(F.col("best")).alias("exponent"))
+
+
+def weights(sources: DataFrame, *, max_repetition: float | None, target_entropy: float | None, budget: int | None) -> DataFrame:
+    """sources(source, tokens, docs), a written table, with exponent, weight and budget added; one row for each source."""
+    if (max_repetition is None) == (target_entropy is None):
+        raise ValueError("give either max_repetition or target_entropy")
+    found = _exponent(sources, max_repetition, target_entropy, budget)
     log_t = F.log(F.col("tokens").cast("double"))
-    rows = sources.join(F.broadcast(fixed), F.lit(True), "left")  # one row of three numbers
+    whole = sources.where("tokens > 0").crossJoin(F.broadcast(found)).groupBy("top", "exponent").agg(F.sum(F.exp(F.col("exponent") * log_t)).alias("whole"))
+    rows = sources.join(F.broadcast(whole), F.lit(True), "left")  # one row of three numbers
     used = F.col("tokens") > 0
     share = F.when(used, F.exp(F.col("exponent") * log_t) / F.col("whole")).otherwise(0.0)
     if budget is None:  # the largest source is passed over exactly once
@@ -84,12 +105,15 @@ def weights(sources: DataFrame, *, max_repetition: float | None, target_entropy:
     return rows.select("source", "tokens", "docs", "exponent", share.alias("weight"), own.cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, bucket_rows: int = 4096, salt: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, bucket_rows: int = 4096, salt: str = "mix", tokens: Column | None = None) -> DataFrame:
     """One row for each use of a document: doc_id, source, n_tokens, epoch, block, position (order within the block),
-    weight and exponent."""
-    units = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_tokens(F.col(text_col)).alias("n_tokens"))
+    weight and exponent. tokens: a document's count of tokens, by default its runs between blanks; give that of the
+    tokenizer where texts have no blanks between words."""
+    count = count_tokens(F.col(text_col)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
+    units = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count.alias("n_tokens"))
     units = scratch.write(units.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens")), "units")
-    sources = scratch.write(weights(units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), max_repetition=max_repetition, target_entropy=target_entropy, budget=budget), "sources")
+    sizes = scratch.write(units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sizes")
+    sources = scratch.write(weights(sizes, max_repetition=max_repetition, target_entropy=target_entropy, budget=budget), "sources")
     total = F.broadcast(sources.agg(F.sum("budget").alias("all_tokens")))  # one number
     per_source = sources.crossJoin(total).select(F.col("source").alias("s"), "tokens", "docs", "budget", "weight", "exponent", "all_tokens")
 
