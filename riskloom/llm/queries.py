@@ -47,8 +47,8 @@ here AS (SELECT conv_id, said, min(turn) AS here_turn FROM clean WHERE level = 0
 first AS (SELECT said, min({'c': conv_id, 't': here_turn}) AS f FROM here GROUP BY 1),
 linked AS (
   SELECT c.conv_id, c.turn, c.level, len(str_split(c.said, ' ')) AS words,
-    CASE WHEN here_turn < c.turn THEN c.conv_id WHEN (f.c, f.t) < (c.conv_id, c.turn) THEN f.c END AS orig_conv,
-    CASE WHEN here_turn < c.turn THEN here_turn WHEN (f.c, f.t) < (c.conv_id, c.turn) THEN f.t END AS orig_turn
+    CASE WHEN here_turn < c.turn THEN c.conv_id WHEN (f.c, f.t) < (c.conv_id, c.turn) AND len(str_split(c.said, ' ')) >= 5 THEN f.c END AS orig_conv,
+    CASE WHEN here_turn < c.turn THEN here_turn WHEN (f.c, f.t) < (c.conv_id, c.turn) AND len(str_split(c.said, ' ')) >= 5 THEN f.t END AS orig_turn
   FROM clean c LEFT JOIN here h ON c.conv_id = h.conv_id AND c.said = h.said LEFT JOIN first ON c.said = first.said
   WHERE c.level > 0 AND c.said <> ''),
 votes AS (SELECT conv_id, turn, level, orig_conv, orig_turn, sum(words) AS words FROM linked WHERE orig_conv IS NOT NULL GROUP BY ALL),

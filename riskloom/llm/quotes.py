@@ -4,7 +4,8 @@ A line's quote level is the number of ``>`` before its body. Runs of lines of on
 itself are its passages of level 0, without an attribution line ("On ... wrote:") that a quote follows. Passages are
 normalised (lower case, one blank for each run of white space) and hashed whole, by paragraph and by line; a quoted
 passage is joined to the first message that says the same itself: in its own conversation if an earlier turn does, else
-anywhere before it in the order of (conversation, turn). A message replies to the message matched at the lowest quote
+anywhere before it in the order of (conversation, turn), but there only if it has at least ``min_words`` words, since what
+is short ("yes") is said everywhere. A message replies to the message matched at the lowest quote
 level, of those to the one with most matched words, of those to the earliest. Replies form trees; a message's thread is
 its root, and the order is by thread, depth, conversation and turn.
 
@@ -66,7 +67,7 @@ def parse(messages: DataFrame) -> DataFrame:
     return rows.withColumn("own", F.trim(F.regexp_replace(own, "^[ \\t\\n]+|[ \\t\\n]+$", "")))
 
 
-def link(parsed: DataFrame) -> DataFrame:
+def link(parsed: DataFrame, min_words: int = 5) -> DataFrame:
     """Every quoted passage that has an original: conv_id, turn, level, hash, words, orig_conv, orig_turn."""
     known = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     said = known.select("conv_id", "turn", F.explode(F.flatten(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: _passages(r["body"])))).alias("said"))
@@ -81,11 +82,12 @@ def link(parsed: DataFrame) -> DataFrame:
 
     found = quoted.join(here, ["conv_id", "hash"], "left").join(first, "hash", "left")
     inside = F.col("here_turn") < F.col("turn")
+    enough = F.col("words") >= min_words
     before = F.struct(F.col("first.conv_id").alias("c"), F.col("first.here_turn").alias("t")) < F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t"))
     return found.select(
         "conv_id", "turn", "level", "hash", "words",
-        F.when(inside, F.col("conv_id")).when(before, F.col("first.conv_id")).alias("orig_conv"),
-        F.when(inside, F.col("here_turn")).when(before, F.col("first.here_turn")).alias("orig_turn"),
+        F.when(inside, F.col("conv_id")).when(before & enough, F.col("first.conv_id")).alias("orig_conv"),
+        F.when(inside, F.col("here_turn")).when(before & enough, F.col("first.here_turn")).alias("orig_turn"),
     ).where("orig_conv IS NOT NULL")
 
 
@@ -112,12 +114,12 @@ def threads(parents: DataFrame, scratch: Scratch) -> DataFrame:
             return state.drop("moved")
 
 
-def build(messages: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def build(messages: DataFrame, scratch: Scratch, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """Every message without its quotes, in reply order: conv_id, turn, role, text, reply_conv, reply_turn, thread_conv,
     thread_turn, depth, n_quotes (quoted passages) and formatted (role line and text)."""
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).distinct()
     parsed = scratch.write(parse(rows), "parsed")
-    parents = scratch.write(replies(link(parsed)), "replies")
+    parents = scratch.write(replies(link(parsed, min_words)), "replies")
     placed = parents.join(threads(parents, scratch), ["conv_id", "turn"])
     out = parsed.join(placed, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", F.col("own").alias("text"), "reply_conv", "reply_turn",

@@ -162,6 +162,26 @@ def test_vectors_equal_brute_force(spark):
             assert (r.n_links, r.component_id, r.kept) == (near[r.vec_id].sum(), comp[r.vec_id], comp[r.vec_id] == r.vec_id)
 
 
+def test_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8))
+    x[30:] = x[:30] + rng.normal(size=(30, 8)) * 0.01
+    scale = np.ones(60)
+    scale[[3, 33, 7]] = 1e-200, 1e-310, 1e200
+    df = spark.createDataFrame([(i, [float(c) for c in v * s]) for i, (v, s) in enumerate(zip(x, scale, strict=True))], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r for r in neighbours.link(df, Scratch(spark, "t")).collect()}
+    v = x / np.linalg.norm(x, axis=1)[:, None]
+    near = v @ v.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert [out[i].n_links for i in range(60)] == near.sum(axis=1).tolist() and near.sum() >= 60
+
+
+def test_shards_of_lists(monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 10)
+    first, many = neighbours._shards({0: 4, 1: 5, 3: 25, 4: 2, 5: 9}, 6)
+    assert first.tolist() == [0, 0, 0, 1, 4, 5] and many.tolist() == [1, 1, 0, 3, 1, 1]
+
+
 def test_no_vectors(spark):
     assert neighbours.link(spark.createDataFrame([], "vec_id long, embedding array<float>"), Scratch(spark, "t")).count() == 0
 

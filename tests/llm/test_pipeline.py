@@ -79,6 +79,23 @@ def test_packing_covers_every_use(stages):
     assert {r.doc_id: r.n // r.one for r in pieces} == uses and all(r.s == r.k for r in pieces)
 
 
+def test_the_mixing_order_reaches_the_sequences(spark, tmp_path):
+    """Files of uneven size, as a sort leaves them, are read largest first; the places still tell the order."""
+    where = tmp_path / "mixed"
+    for k, n in enumerate((2, 300, 40)):
+        part = spark.range(sum((2, 300, 40)[:k]), sum((2, 300, 40)[: k + 1])).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(15).cast("long").alias("n_chars"))
+        part.coalesce(1).write.mode("append").parquet(f"file://{where}")
+    for k, n in enumerate((2, 300, 40)):  # the names of one sorted write
+        for p in where.glob("part-00000-*.parquet"):
+            if spark.read.parquet(f"file://{p}").count() == n:
+                p.rename(where / f"part-{k:05d}-u-c000.snappy.parquet")
+    for p in where.glob(".*.crc"):
+        p.unlink()
+    rows = cp.pack(spark, spark.read.parquet(f"file://{where}"), "unused").collect()
+    rows.sort(key=lambda r: (r.mix_file, r.mix_row, r.start))
+    assert list(dict.fromkeys(r.doc_id for r in rows)) == list(range(342))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in cp.STAGES:

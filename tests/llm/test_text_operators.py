@@ -56,11 +56,49 @@ def test_expected_uses_add_up():
 
 
 def test_long_words_do_not_underflow():
-    scorer = langid.Scorer(["a", "b"], *[langid.fit([("a", "hello there"), ("b", "bonjour ici")], PIECES)[1]], PIECES)
+    scorer = langid.Scorer(["a", "b"], *langid.fit([("a", "hello there"), ("b", "bonjour ici")], PIECES)[1:], PIECES)
     (lang, score), = scorer.predict(["hello" * 3000])
     assert lang == "a" and 0 <= score <= 1
 
 
+def test_words_of_any_length(monkeypatch):
+    model = langid.fit([("a", "hello there friend of mine"), ("b", "bonjour mon ami")], PIECES)
+    words = ["hello", "mine", "xyz", "bonjourbonjour"]
+    want = langid.Lattice(words, langid.vocabulary(PIECES)).totals(model[1])
+    scorer = langid.Scorer(*model, PIECES)
+    assert np.allclose([scorer.alone(w) for w in words], want)
+    texts = ["hello there " * 40 + "bonjourami" * 30, "mon ami hello", "friend"]
+    one = scorer.predict(texts)
+    monkeypatch.setattr(langid, "LONG", 4)
+    monkeypatch.setattr(langid, "TOGETHER", 3)
+    two = langid.Scorer(*model, PIECES).predict(texts)
+    assert [x[0] for x in one] == [x[0] for x in two] and np.allclose([x[1] for x in one], [x[1] for x in two])
+
+
+def test_one_long_word_among_others_needs_little_memory():
+    import tracemalloc
+
+    model = langid.fit([("a", "hello there friend"), ("b", "bonjour mon ami")], PIECES)
+    scorer = langid.Scorer(*model, PIECES)
+    text = " ".join([*(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(1800)), "hello" * 20_000])
+    tracemalloc.start()
+    (lang, score), = scorer.predict([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lang == "a" and peak < 100e6
+
+
+def test_noise_has_a_low_score():
+    rng = np.random.default_rng(3)
+    words = {"en": "the cat and dog house with water over there people walking through fields every morning".split(), "de": "die katze und der hund haus mit wasser dort über leute gehen durch felder jeden morgen".split()}
+    learned = [(k, " ".join(rng.choice(w, 200))) for k, w in words.items()]
+    scorer = langid.Scorer(*langid.fit(learned, PIECES), PIECES)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9)))) for _ in range(n)) for n in (1, 3, 10, 200)]
+    clean = [" ".join(rng.choice(w, n)) for w in words.values() for n in (1, 2, 5, 50, 500)]
+    assert all(s > 0.9 for _, s in scorer.predict(clean))
+    assert all(s < 0.5 for _, s in scorer.predict(noise[1:]))
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(langid, "MEMORY", 20)
     model = langid.fit([("a", "hello there friend"), ("b", "bonjour mon ami")], PIECES)
@@ -190,6 +228,69 @@ def test_repeated_and_crossed_passages(spark):
     assert left[1] == " ".join(own[1]) and left[2] == " ".join([*own[2], *own[3][:1]]) and left[12] == " ".join(own[3][1:])
 
 
+@pytest.mark.parametrize("segment", [2048, 5])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, segment):
+    """Deleted are the units of every run of at least min_words words, as short as possible from where it begins, that an
+    earlier document has as well, and what follows such a run alike in the first document that has it."""
+    monkeypatch.setattr(linedup, "SEGMENT", segment)
+    rng = np.random.default_rng(33)
+    pool = [sentences(rng, int(rng.integers(2, 9)), int(rng.integers(3, 9))) for _ in range(25)]
+    docs = {}
+    for i in range(90):
+        own = sentences(rng, int(rng.integers(1, 6)), 6)
+        for k in rng.choice(25, int(rng.integers(0, 4))):
+            at, begin = int(rng.integers(0, len(own) + 1)), int(rng.integers(0, 3))
+            own[at:at] = pool[k][begin:] * int(rng.integers(1, 3))
+        docs[int(7 * i % 90)] = own
+    least = 20
+
+    def shortest(own):
+        """(run, begin, end) from each unit."""
+        for i in range(len(own)):
+            words = 0
+            for j in range(i, len(own)):
+                words += len(own[j].split())
+                if words >= least:
+                    yield tuple(own[i : j + 1]), i, j + 1
+                    break
+
+    held = defaultdict(list)
+    for i in sorted(docs):
+        for run, *_ in shortest(docs[i]):
+            held[run].append(i)
+    out = {r.doc_id: r for r in linedup.dedup(spark.createDataFrame([(i, " ".join(x)) for i, x in docs.items()], "doc_id long, text string"), Scratch(spark, "t"), min_words=least).collect()}
+    gone = 0
+    for i, own in docs.items():
+        must, may, firsts = set(), set(), set()
+        for run, b, e in shortest(own):
+            first = min(held[run])
+            if first < i:
+                must |= set(range(b, e))
+                firsts.add(first)
+        for f in firsts:  # a run of an earlier document may go on alike
+            a = docs[f]
+            stands = {tuple(a[x:y]) for x in range(len(a)) for y in range(x + 1, len(a) + 1)}
+            for b in range(len(own)):
+                for e in range(b + 1, len(own) + 1):
+                    if sum(len(u.split()) for u in own[b:e]) >= least and tuple(own[b:e]) in stands:
+                        may |= set(range(b, e))
+        left = out[i].text.split(". ") if out[i].text else []
+        left = [u if u.endswith(".") else u + "." for u in left]
+        rest = [j for j in range(len(own)) if j not in must]
+        assert must <= may
+        kept = iter(left)
+        taken = [j for j in range(len(own)) if j not in may]
+        assert len(taken) <= len(left) <= len(rest)
+        assert all(any(own[j] == u for u in kept) for j in taken)
+        if must == may:
+            assert left == [own[j] for j in rest]
+        if segment > 1000:
+            assert left == [own[j] for j in taken]
+        assert out[i]._overlaps == sorted(firsts)
+        gone += len(must)
+    assert gone > 100
+
+
 def test_line_dedup_of_nothing(spark):
     assert linedup.dedup(spark.createDataFrame([], "doc_id long, text string"), Scratch(spark, "t")).count() == 0
 
@@ -263,6 +364,24 @@ def test_mixing_to_an_entropy_and_budget(spark):
             assert want <= used[s] < want + 40
 
 
+def test_mixing_of_many_sources(spark):
+    """The exponent is found in passes over the sources; token counts may be given."""
+    rng = np.random.default_rng(14)
+    tokens = rng.integers(1, 5000, 700)
+    sizes = spark.createDataFrame([(f"host{i}", int(t), 1) for i, t in enumerate(tokens)], "source string, tokens long, docs long")
+    for entropy in (5.0, 6.4):
+        a = mixing.weights(sizes, max_repetition=None, target_entropy=entropy, budget=10_000).first().exponent
+        w = tokens.astype(float) ** a
+        w /= w.sum()
+        assert -(w * np.log(w)).sum() >= entropy - 1e-9 and a in (0.0, 1.0) or -(w * np.log(w)).sum() == pytest.approx(entropy, abs=1e-6)
+    for limit, budget in ((2.0, 700 * 2500), (1e9, 10_000)):
+        a = mixing.weights(sizes, max_repetition=limit, target_entropy=None, budget=budget).first().exponent
+        passes = lambda x: budget * float(tokens.min()) ** (x - 1) / (tokens.astype(float) ** x).sum()  # noqa: E731, B023
+        assert passes(a) <= limit * (1 + 1e-9) and (a == 0 or passes(a - 1e-6) > limit)
+    docs = spark.createDataFrame([(1, "中文", "a", 50), (2, "x y", "a", None)], "doc_id long, text string, source string, n long")
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(docs, Scratch(spark, "t"), tokens=F.col("n")).collect()} == {1: 50, 2: 0}
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"), Scratch(spark, "t")).count() == 0
     one = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
@@ -271,11 +390,11 @@ def test_mixing_of_nothing(spark):
 
 CHAT = [
     (1, 0, "user", "Hello there.\n\nHow do I parse mail?"),
-    (1, 1, "assistant", "> How do I parse mail?\n\nUse a library."),
-    (1, 2, "user", "On Monday X wrote:\n>> How do I parse mail?\n>\n> Use a  LIBRARY.\nWhich one?"),
+    (1, 1, "assistant", "> How do I parse mail?\n\nUse a library that reads mail."),
+    (1, 2, "user", "On Monday X wrote:\n>> How do I parse mail?\n>\n> Use a  LIBRARY that reads mail.\nWhich one?"),
     (1, 3, "user", "> Hello there.\nHi."),
     (1, 4, "assistant", "> Which one?\nAny.\n> unknown words"),
-    (2, 0, "user", "> Use a library.\nFrom elsewhere"),
+    (2, 0, "user", "> Use a library that reads mail.\nFrom elsewhere"),
     (2, 1, "user", None), (2, 2, None, ""), (2, 3, "user", "> only a quote"),
     (None, 1, "user", "Hi."), (3, None, "user", "> Hi."), (1, 0, "user", "Hello there.\n\nHow do I parse mail?"),
     (4, 0, "user", "line\n" * 3000 + "> Hi."),
@@ -290,11 +409,17 @@ def test_quotation_linking(spark):
     reply = {k: (r.reply_conv, r.reply_turn, r.depth) for k, r in got.items()}
     assert reply[(1, 1)] == (1, 0, 1) and reply[(1, 2)] == (1, 1, 2) and reply[(1, 3)] == (1, 0, 1) and reply[(1, 4)] == (1, 2, 3)
     assert reply[(2, 0)] == (1, 1, 2) and reply[(1, 0)] == (None, None, 0)
-    assert reply[(4, 0)] == (1, 3, 2) and reply[(3, None)] == (None, None, 0)
+    assert reply[(4, 0)] == (None, None, 0) and reply[(3, None)] == (None, None, 0)
     assert got[(1, 2)].text == "Which one?" and got[(1, 4)].text == "Any." and got[(2, 3)].text == "" and got[(2, 1)].text == ""
     assert got[(1, 4)].formatted == "<|assistant|>\nAny." and got[(2, 2)].formatted == "<|unknown|>\n"
     order = [(r.conv_id, r.turn) for r in out if r.thread_conv == 1 and r.thread_turn == 0]
-    assert order == [(1, 0), (1, 1), (1, 3), (1, 2), (2, 0), (4, 0), (1, 4)]
+    assert order == [(1, 0), (1, 1), (1, 3), (1, 2), (2, 0), (1, 4)]
+
+
+def test_short_quotes_link_no_strangers(spark):
+    rows = [(1, 0, "user", "Are you there?"), (1, 1, "user", "Yes"), (900, 0, "user", "Shall we?"), (900, 1, "user", "> yes\nGood."), (900, 2, "user", "yes"), (900, 3, "user", "> Yes\nFine.")]
+    out = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn, r.thread_conv) for r in quotes.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Scratch(spark, "t")).collect()}
+    assert out[(900, 1)] == (None, None, 900) and out[(900, 3)] == (900, 2, 900)
 
 
 def test_quotation_sql_gives_the_same(spark):
