@@ -6,7 +6,8 @@ Each stage takes what the one before it kept, as Parquet, and all but the last r
 2. lines: blocks that an earlier document has too are deleted; documents left without words by that go;
 3. near_duplicates: one document of each group stays, that of the least id;
 4. mixing: documents are repeated and ordered so that sources reach their temperature weights; none is dropped;
-5. packing: documents are cut into sequences of power-of-two lengths.
+5. packing: documents are cut into sequences of power-of-two lengths. (mix_file, mix_row, start) is the order that mixing
+   gave them, block after block; sequence_id only names a sequence.
 
 Defined cases: null texts and ids, empty tables and repeated rows are handled as the operators state. Rows of a null id
 pass the third stage unchanged; rows that repeat an id leave it once. n_chars follows the text.
@@ -15,7 +16,8 @@ pass the third stage unchanged; rows that repeat an id leave it once. n_chars fo
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import langid, linedup, minhash, mixing, packing
@@ -55,9 +57,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.orderBy("_block", "_position").select(*docs.columns)
 
 
+def places(docs: DataFrame) -> dict[str, Column]:
+    """Where rows read from Parquet stand: the number of the file and the row in it, which follow the order that they were
+    written in, whatever the order of reading; null for rows from elsewhere."""
+    nothing = {"mix_file": F.lit(None).cast("long"), "mix_row": F.lit(None).cast("long")}
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:  # the rows went through other operators since
+        return nothing
+    task, piece = (F.regexp_extract("_metadata.file_name", rule, 1).try_cast("long") for rule in ("^part-(\\d+)", "-c(\\d+)[^-]*$"))
+    return {"mix_file": task * F.lit(1 << 20) + F.coalesce(piece, F.lit(0)), "mix_row": F.col("_metadata.row_index").cast("long")}
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    packed = packing.pack(docs, public_tokenizers.path(WORDS))
-    return packed.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "token_bytes")
+    packed = packing.pack(docs, public_tokenizers.path(WORDS), keep=places(docs))
+    return packed.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "mix_file", "mix_row", "token_bytes")
 
 
 STAGES = [
