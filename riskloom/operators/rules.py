@@ -8,23 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as T
+from riskloom.functions import words as W
+from riskloom.operators.vocabulary import KEYWORDS
 
 #: Levels from least to most severe, the score that stands for a floor, and the bounds of points.
 LEVELS = ("safe", "low", "medium", "high", "critical")
 FLOOR_SCORES = {"safe": 0.0, "low": 0.1, "medium": 0.3, "high": 0.55, "critical": 0.8}
 FULL_SCALE = 16
 
-#: The first keywords of each category, with the category's level. Users pass their own table for more.
-KEYWORDS = {
-    "urgency": ("high", ("urgent", "immediately", "act now", "within 24 hours", "final notice", "expires today")),
-    "threats": ("high", ("suspended", "terminated", "legal action", "locked", "arrest", "unauthorized")),
-    "financial": ("high", ("wire transfer", "bank account", "refund", "invoice", "payment", "bitcoin")),
-    "credential": ("high", ("verify your account", "password", "confirm your identity", "login", "sign in", "security code")),
-    "impersonation": ("medium", ("support team", "customer service", "microsoft", "paypal", "amazon", "apple")),
-    "deception": ("medium", ("winner", "prize", "congratulations", "free gift", "claim", "lottery")),
-}
-
-
 def keyword_table(spark, keywords: dict | None = None) -> DataFrame:
     """(category, level, keyword) rows; a dimension whose size does not follow the data."""
     rows = [(c, level, k) for c, (level, words) in (keywords or KEYWORDS).items() for k in words]
@@ -34,21 +25,13 @@ def keyword_table(spark, keywords: dict | None = None) -> DataFrame:
 def keyword_evidence(df: DataFrame, keywords: dict[str, tuple[str, tuple[str, ...]]], *, id_col: str, text_col: str, cap: int = 5) -> DataFrame:
     """One row for each category that matches: id, category, level, matched (keywords), points (at most cap).
 
-    A keyword matches between characters that are no word characters. Each category is one pass over the text inside
-    generated code; no join is made."""
-    low = F.concat(F.lit(" "), F.lower(F.col(text_col)), F.lit(" "))
-    found = []
-    for category, (level, words) in keywords.items():
-        hits = F.filter(F.array(*[F.when(low.rlike(rf"[^a-z0-9_]{_escape(w)}[^a-z0-9_]"), F.lit(w)) for w in words]), lambda x: x.isNotNull())
-        found.append(F.struct(F.lit(category).alias("category"), F.lit(level).alias("level"), hits.alias("matched")))
-    rows = df.select(F.col(id_col), F.explode(F.array(*found)).alias("e")).where(F.size("e.matched") > 0)
+    A text is made plain once, and each keyword is one search for a substring in that copy; no join is made."""
+    rows = W.once(df.select(F.col(id_col), F.col(text_col).alias("_text")), "_plain", W.plain(F.col("_text")))
+    found = [F.struct(F.lit(c).alias("category"), F.lit(level).alias("level"), W.held(F.col("_plain"), words).alias("matched")) for c, (level, words) in keywords.items()]
+    rows = rows.select(id_col, F.explode(F.array(*found)).alias("e")).where(F.size("e.matched") > 0)
     return rows.select(id_col, "e.category", "e.level", F.array_sort("e.matched").alias("matched"), F.least(F.size("e.matched"), F.lit(cap)).cast("long").alias("points"))
 
 
-def _escape(word: str) -> str:
-    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in word)
-
-
 def style_cues(text: Column) -> dict[str, Column]:
     """Presentation cues: exclamation marks, share of capitals, question marks, and their points."""
     marks, share = T.count_char(text, "!"), T.capitals_share(text)

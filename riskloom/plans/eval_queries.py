@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import stats as S
 from riskloom.functions import text as T
+from riskloom.functions import words as W
 from riskloom.operators import evaluation as ev
 from riskloom.operators import rules as R
+from riskloom.operators import vocabulary as VOCABULARY
 from riskloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -138,18 +140,16 @@ def counterfactual_transitions(spark, sf_dir):
 
 
 #: The query's keywords: the rules' own, and words that the synthetic texts do hold.
-WORDS = {**R.KEYWORDS, "common": ("low", ("the", "and", "of", "les", "der", "und", "los")), "licence": ("medium", ("licensed under", "all rights reserved", "released under"))}
+WORDS = {**VOCABULARY.KEYWORDS, "common": ("low", ("the", "and", "of", "les", "der", "und", "los")), "licence": ("medium", ("licensed under", "all rights reserved", "released under"))}
 
 
-def keywords_sql() -> str:
-    out = []
-    for category, (level, words) in WORDS.items():
-        hits = ", ".join(f"CASE WHEN regexp_matches(' ' || lower(text) || ' ', '[^a-z0-9_]{R._escape(w)}[^a-z0-9_]') THEN '{w}' END" for w in words)
-        out.append(f"SELECT conv_id, turn, '{category}' AS category, '{level}' AS level, list_sort(list_filter([{hits}], lambda x: x IS NOT NULL)) AS matched FROM conversations")
-    return f"SELECT *, CAST(least(len(matched), 5) AS BIGINT) AS points FROM ({' UNION ALL '.join(out)}) WHERE len(matched) > 0"
+def keywords_sql(source: str) -> str:
+    rows = ", ".join(f"{{'category': '{c}', 'level': '{level}', 'matched': list_sort({W.held_sql('plain', words)})}}" for c, (level, words) in WORDS.items())
+    return f"""WITH p AS (SELECT doc_id, {W.plain_sql('text')} AS plain FROM {source}), e AS (SELECT doc_id, unnest([{rows}]) AS e FROM p)
+SELECT doc_id, e.category AS category, e.level AS level, e.matched AS matched, CAST(least(len(e.matched), 5) AS BIGINT) AS points FROM e WHERE len(e.matched) > 0"""
 
 
-@query(keywords_sql().replace("conversations", "(SELECT doc_id AS conv_id, 0 AS turn, text FROM documents)").replace("SELECT *, CAST", "SELECT conv_id AS doc_id, category, level, matched, CAST"))
+@query(keywords_sql("documents"))
 def keyword_categories(spark, sf_dir):
     return R.keyword_evidence(table(spark, sf_dir, "documents"), WORDS, id_col="doc_id", text_col="text")
 
@@ -224,18 +224,6 @@ def mail_type_tactics(spark, sf_dir):
     return out.withColumn("mail_type", F.when(has("pressure") & has("contact"), "lure").when(has("pressure"), "pressure").otherwise("plain"))
 
 
-@query(r"""WITH m AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, regexp_matches(t, '\b(prize|winner|won)\b') AND regexp_matches(t, '\b(call|text|ring)\b.*\d{5,}') AS prize_callback,
-regexp_matches(t, '\b(hand|the)\b') AND regexp_matches(t, '\b(and|was)\b') AND length(t) < 160 AS job_offer FROM m""")
-def sms_rules(spark, sf_dir):
-    t = F.lower("text")
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select(
-        "conv_id", "turn", (t.rlike(r"\b(prize|winner|won)\b") & t.rlike(r"\b(call|text|ring)\b.*\d{5,}")).alias("prize_callback"),
-        (t.rlike(r"\b(hand|the)\b") & t.rlike(r"\b(and|was)\b") & (F.length(t) < 160)).alias("job_offer"),
-    )
-
-
 SCORES_SQL = f"scores AS (SELECT round({CAPS_SQL}, 2) AS score, toxic AS label FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL)"
 TABLE_SQL = """per AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM scores GROUP BY 1),
 t AS (SELECT score AS threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp, CAST((SELECT sum(p) FROM per) - sum(p) OVER w AS BIGINT) AS fn, CAST((SELECT sum(n) FROM per) - sum(n) OVER w AS BIGINT) AS tn FROM per WINDOW w AS (ORDER BY score DESC))"""

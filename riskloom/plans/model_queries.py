@@ -8,12 +8,10 @@ from riskloom.functions import network as N
 from riskloom.functions import policy as P
 from riskloom.operators import evaluation as ev
 from riskloom.operators import families as fam
-from riskloom.operators import conjunctions as C
 from riskloom.operators import html as H
 from riskloom.operators import learning as L
 from riskloom.operators import links as K
 from riskloom.operators import mail
-from riskloom.operators import requests as Q
 from riskloom.operators import rules as R
 from riskloom.plans.folders import shared_folder
 from riskloom.sources.tables import table
@@ -101,9 +99,6 @@ def message_parse(spark, sf_dir):
     return rows.select("page_id", "node", "depth", "sender", "subject", F.length("html_text").alias("text_chars"), F.size("links").alias("n_links"), "incomplete")
 
 
-@query()
-def sensitive_requests(spark, sf_dir):
-    return Q.sensitive_requests(table(spark, sf_dir, "conversations"), id_cols=["conv_id", "turn"], text_col="text")
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'strict' WHEN 1 THEN 'softfail' WHEN 2 THEN 'neutral' WHEN 3 THEN 'open' WHEN 4 THEN 'error' WHEN 5 THEN 'error' ELSE 'missing' END AS spf,
@@ -116,18 +111,3 @@ def policy_records(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", pick(shapes, 7).alias("spf_texts"), pick(reports, 3).alias("dmarc_texts"))
     d = P.dmarc(F.col("dmarc_texts"))
     return rows.select("c_custkey", P.spf(F.col("spf_texts")).alias("spf"), d["status"].alias("dmarc_status"), d["policy"].alias("dmarc_policy"), d["pct"].alias("dmarc_pct"))
-
-
-@query()
-def sms_findings(spark, sf_dir):
-    """Text-message rules over the user's turns, and the verdict that they give."""
-    rows = C.evaluate(table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text"), C.SMS, text_col="text")
-    return rows.select("conv_id", "turn", F.transform("found", lambda x: x["code"]).alias("codes"), C.verdict(F.col("found")).alias("verdict"))
-
-
-@query()
-def mail_lures(spark, sf_dir):
-    """Lures of every page read as a message: its visible text and links."""
-    rows = H.visible(table(spark, sf_dir, "pages"), id_col="page_id", html_col="html").select("page_id", "visible", "links")
-    out = C.evaluate(rows, C.LURES, text_col="visible", links=F.col("links"))
-    return out.select("page_id", F.transform("found", lambda x: x["code"]).alias("codes"), F.aggregate("found", F.lit(0), lambda acc, x: acc + x["points"]).alias("points"))

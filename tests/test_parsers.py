@@ -58,12 +58,17 @@ def test_authentication_results():
     assert out == {"spf": "pass", "smtp.mailfrom": "a@x.example", "dkim": "fail", "header.d": "y.example", "dmarc": "none"}
 
 
-@pytest.mark.parametrize("text, codes", [
-    ("Please send me your verification code now", ["one_time_code"]), ("Never share your verification code", []), ("Do not worry. Reply with the security code", ["one_time_code"]),
-    ("Enter your account password", ["password_pin"]), ("请勿告知他人。发送验证码", ["one_time_code"]), ("请勿提供验证码", []), ("install AnyDesk and send the funds to a safe account", ["crypto_transfer", "remote_access"]), (None, []), ("", []),
-])
-def test_requests(text, codes):
-    assert Q.requests(text) == codes
+REQUESTS = [
+    ("Please text me the security code we sent", ["one_time_code"]), ("Staff will never ask you to tell them your passcode", []), ("No need to panic. Reply with the login code", ["one_time_code"]),
+    ("Type your card PIN", ["password_pin"]), ("请勿告知他人。给客服验证码", ["one_time_code"]), ("回复验证码即可", ["one_time_code"]), ("不要提供验证码", []), ("open RustDesk and shift the money to a secure wallet", ["crypto_transfer", "remote_access"]),
+    ("Do not share your password, but send me your pin", ["password_pin"]), ("buy gift cards to clear the debt", ["gift_card"]), ("buy gift cards for her wedding", []), (None, []), ("", []),
+]
+
+
+def test_requests(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REQUESTS)], "id int, text string")
+    out = {r.id: r.codes for r in Q.sensitive_requests(rows, id_cols=["id"], text_col="text").collect()}
+    assert out == {i: codes for i, (_, codes) in enumerate(REQUESTS)}
 
 
 def test_link_rules(spark):
@@ -122,7 +127,7 @@ def test_conjunction_rules(spark):
     df = spark.createDataFrame(rows, "id int, text string")
     out = C.evaluate(df, C.SMS, text_col="text", own_domains=F.array(F.lit("own.example"))).select("id", F.transform("found", lambda x: x["code"]).alias("codes"), C.verdict(F.col("found")).alias("v"))
     got = {r.id: (r.codes, r.v) for r in out.collect()}
-    assert got[1] == (["sms.prize_callback"], "medium") and got[2] == (["sms.account_threat"], "medium") and got[3] == ([], "unknown")
+    assert got[1] == (["sms.prize_callback", "sms.premium_callback"], "medium") and got[2] == (["sms.account_threat"], "medium") and got[3] == ([], "unknown")
     assert got[4][0] == ["sms.external_contact_lure"] and got[5][0] == ["sms.job_offer"] and got[6] == got[7] == got[8] == ([], "unknown")
     kinds = spark.createDataFrame([("+86 138 0013 8000",), ("10690012345",), ("95588",), ("+1 (800) 555-0100",), ("212-555-0100",), ("BANK",), ("a@b.example",), ("",), ("1",)], "s string")
     assert [r[0] for r in kinds.select(C.sender_kind(F.col("s"))).collect()] == ["cn_mobile", "cn_port_106", "short_code", "nanp_toll_free", "nanp_long_code", "alphanumeric", "email", "none", "other"]
