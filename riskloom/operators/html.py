@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 SILENT = frozenset("script style noscript template head title svg math object iframe select textarea canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
+#: What a start tag ends without an end tag: elements of these names, up to the first of those that hold them.
+ENDED_BY = {
+    **dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), (frozenset(["p"]), frozenset("button td th caption object marquee html table".split()))),
+    "li": (frozenset(["li", "p"]), frozenset("ul ol menu td th table".split())), "dt": (frozenset(["dt", "dd", "p"]), frozenset("dl td th table".split())), "dd": (frozenset(["dt", "dd", "p"]), frozenset("dl td th table".split())),
+    "td": (frozenset(["td", "th", "p"]), frozenset("tr table".split())), "th": (frozenset(["td", "th", "p"]), frozenset("tr table".split())), "tr": (frozenset(["tr", "td", "th", "p"]), frozenset("table".split())),
+    "tbody": (frozenset("tbody thead tfoot tr td th p".split()), frozenset(["table"])), "thead": (frozenset("tbody thead tfoot tr td th p".split()), frozenset(["table"])), "tfoot": (frozenset("tbody thead tfoot tr td th p".split()), frozenset(["table"])),
+    "option": (frozenset(["option"]), frozenset("select datalist optgroup".split())), "optgroup": (frozenset(["option", "optgroup"]), frozenset("select datalist".split())), "body": (frozenset(["head"]), frozenset(["html"])),
+}
+#: An end tag looks for its element no further out than these.
+WALLS = frozenset("table td th body html".split())
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"^(?:[a-z][a-z0-9]*|[.#][\w-]+)$", re.I)
 SCHEMA = "visible string, hidden_chars long, links array<struct<label:string,destination:string>>, data_images long, remote_images long, other_images long, password_form boolean, uncertain boolean"
@@ -36,11 +46,21 @@ def hides(style: dict[str, str]) -> bool:
     colour = style.get("color")
     return (
         style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse")
-        or bool(zero.match(style.get("opacity", "1"))) or bool(zero.match(style.get("font-size", "1px")))
-        or bool(colour) and colour == style.get("background-color", style.get("background"))
+        or bool(zero.match(style.get("opacity", "1"))) or bool(zero.match(style.get("font-size", "1px"))) or (pixels(style.get("font-size", "9px")) or 9) <= 1
+        or bool(colour) and _same(colour, style.get("background-color", style.get("background", "")))
+        or (pixels(style.get("text-indent", "0")) or 0) <= -999 or (style.get("position") in ("absolute", "fixed") and min(pixels(style.get("left", "0")) or 0, pixels(style.get("top", "0")) or 0) <= -999)
+        or (style.get("overflow") == "hidden" and any(pixels(style.get(k, "9px")) == 0 for k in ("height", "max-height", "width", "max-width")))
     )
 
 
+def _same(colour: str, ground: str) -> bool:
+    """Text that is not told from its background: a contrast of at most 1.1, or the same words for both."""
+    if not ground:
+        return False
+    ratio = contrast(colour, ground)
+    return ratio <= 1.1 if ratio is not None else colour == ground
+
+
 class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -71,6 +91,8 @@ class Reader(HTMLParser):
             self.images[0 if source.startswith("data:") else 1 if source.startswith(("http:", "https:", "//")) else 2] += 1
         if tag in BLOCK:
             self.out.append("\n")
+        if tag in ENDED_BY:
+            self._imply(*ENDED_BY[tag])
         if tag in VOID:
             return
         above = bool(self.stack) and self.stack[-1][1]
@@ -79,6 +101,18 @@ class Reader(HTMLParser):
             self.anchor = (attrs["href"].strip(), len(self.out))
         self.in_style = tag == "style"
 
+    def _imply(self, ended: frozenset, holders: frozenset) -> None:
+        """Ends open elements of these names that nothing of the holders encloses, with all inside of them."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in holders:
+                return
+            if self.stack[i][0] in ended:
+                cut = i
+                while cut and self.stack[cut - 1][0] in ended:
+                    cut -= 1
+                del self.stack[cut:]
+                return self._imply(ended, holders)
+
     def handle_endtag(self, tag):
         if tag == "form":
             self.in_form = False
@@ -90,6 +124,8 @@ class Reader(HTMLParser):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
                 break
+            if self.stack[i][0] in WALLS and tag not in WALLS:
+                break
         if tag in BLOCK:
             self.out.append("\n")
         self.in_style = False
@@ -138,3 +174,52 @@ def visible(df: DataFrame, *, id_col: str, html_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), *(pa.array([f[n] for f in found], t) for n, t in zip(names, types, strict=True))], names=[id_col, *names])
 
     return df.select(id_col, F.col(html_col).alias("_html")).mapInArrow(parse, f"`{id_col}` {kind}, {SCHEMA}")
+
+
+def srgb(colour: str) -> tuple[float, float, float] | None:
+    """Red, green and blue from 0 to 1 of #rgb, #rrggbb, rgb() or one of the sixteen basic names; None for others."""
+    c = colour.strip().lower()
+    c = BASIC.get(c, c)
+    if m := re.fullmatch(r"#([0-9a-f])([0-9a-f])([0-9a-f])", c):
+        return tuple(int(x * 2, 16) / 255 for x in m.groups())
+    if m := re.fullmatch(r"#([0-9a-f]{2})([0-9a-f]{2})([0-9a-f]{2})", c):
+        return tuple(int(x, 16) / 255 for x in m.groups())
+    if m := re.fullmatch(r"rgba?\(\s*(\d{1,3})[\s,]+(\d{1,3})[\s,]+(\d{1,3})(?:[\s,/]+[\d.]+%?)?\s*\)", c):
+        return tuple(min(255, int(x)) / 255 for x in m.groups())
+    return None
+
+
+#: The basic colour names.
+BASIC = {
+    "black": "#000000", "silver": "#c0c0c0", "gray": "#808080", "grey": "#808080", "white": "#ffffff", "maroon": "#800000", "red": "#ff0000", "purple": "#800080", "fuchsia": "#ff00ff",
+    "green": "#008000", "lime": "#00ff00", "olive": "#808000", "yellow": "#ffff00", "navy": "#000080", "blue": "#0000ff", "teal": "#008080", "aqua": "#00ffff",
+}
+
+
+def contrast(a: str, b: str) -> float | None:
+    """Contrast of two colours, 1 to 21, by their relative luminance; None if one is not understood."""
+    light = []
+    for colour in (a, b):
+        rgb = srgb(colour)
+        if rgb is None:
+            return None
+        linear = [x / 12.92 if x <= 0.04045 else ((x + 0.055) / 1.055) ** 2.4 for x in rgb]
+        light.append(0.2126 * linear[0] + 0.7152 * linear[1] + 0.0722 * linear[2])
+    return (max(light) + 0.05) / (min(light) + 0.05)
+
+
+#: Pixels of a length's unit, with an em of 16 pixels.
+UNITS = {"px": 1.0, "pt": 96 / 72, "pc": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4, "q": 96 / 101.6, "em": 16.0, "rem": 16.0, "ex": 8.0, "ch": 8.0}
+
+
+def pixels(length: str) -> float | None:
+    """A length in pixels; None for shares and what is no length."""
+    m = re.fullmatch(r"\s*([+-]?(?:\d+\.?\d*|\.\d+))(px|pt|pc|in|cm|mm|q|em|rem|ex|ch)?\s*", length.lower())
+    if not m or (m[2] is None and float(m[1]) != 0):
+        return None
+    return float(m[1]) * UNITS[m[2] or "px"]
+
+
+def image_dominant(remote_images, visible) -> "F.Column":
+    """A message that is a picture: a remote image and fewer than 80 visible characters."""
+    return (F.coalesce(remote_images, F.lit(0)) > 0) & (F.length(F.regexp_replace(F.coalesce(visible, F.lit("")), "[ \\t\\r\\n]", "")) < 80)

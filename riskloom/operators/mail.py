@@ -163,27 +163,85 @@ def parse(raw: bytes | None) -> list[dict]:
     return rows
 
 
-AUTH = re.compile(r"\b(spf|dkim|dmarc|arc)\s*=\s*([a-z]+)", re.I)
-PROPERTY = re.compile(r"\b(smtp\.mailfrom|header\.from|header\.d|header\.i)\s*=\s*(\"[^\"]*\"|[^\s;]+)", re.I)
+#: A clause begins with its method and result; properties stand behind it, values may be quoted.
+METHOD = re.compile(r"\s*(spf|dkim|dmarc|arc)(?:/\d+)?\s*=\s*([a-z]+)\b", re.I)
+PROPERTY = re.compile(r"\s(smtp\.mailfrom|header\.from|header\.d|header\.i)\s*=\s*(\x00\d+\x00|[^\s;\x00]+)", re.I)
 
 
-def authentication(value: str | None) -> dict[str, str]:
-    """Results and properties of one Authentication-Results value: comments are taken out, quoted strings kept whole."""
-    text, depth, quoted = [], 0, False
-    for c in value or "":
-        if c == '"' and not depth:
-            quoted = not quoted
-        if c == "(" and not quoted:
+def clauses(value: str | None) -> tuple[list[str], list[str], bool]:
+    """Clauses between semicolons without comments, quoted strings replaced by their numbers, those strings, and whether
+    all comments and quotes end. A backslash takes the next character as it is, in either."""
+    out, quotes, depth, quoted, held = [[]], [], 0, False, []
+    chars = iter(value or "")
+    for c in chars:
+        if c == "\\" and (depth or quoted):
+            c = next(chars, "")
+            if quoted:
+                held.append(c)
+        elif quoted:
+            if c == '"':
+                out[-1].append(f"\x00{len(quotes)}\x00")
+                quotes.append("".join(held))
+                quoted, held = False, []
+            else:
+                held.append(c)
+        elif c == "(":
             depth += 1
-        elif c == ")" and depth and not quoted:
+        elif c == ")" and depth:
             depth -= 1
-        elif not depth:
-            text.append(c)
+        elif depth:
+            continue
+        elif c == '"':
+            quoted = True
+        elif c == ";":
+            out.append([])
+        else:
+            out[-1].append(c.replace("\x00", ""))
+    return ["".join(x) for x in out], quotes, not depth and not quoted
+
+
+def authentication(value: str | None) -> dict[str, str]:
+    """Results and properties of one Authentication-Results value. A result counts only where its clause begins, so what a
+    sender writes into a reason, a comment or a quoted string says nothing; of a method's results the first counts, and of
+    a property the first of each. A value whose quotes or comments do not end says nothing at all."""
+    parts, quotes, sound = clauses(value)
     out: dict[str, str] = {}
-    for clause in "".join(text).split(";")[1:]:
-        for pattern in (AUTH, PROPERTY):
-            for m in pattern.finditer(clause):
-                out.setdefault(m[1].lower(), m[2].strip('"').lower())
+    if not sound:
+        return out
+    for clause in parts[1:]:
+        m = METHOD.match(clause)
+        if not m:
+            continue
+        out.setdefault(m[1].lower(), m[2].lower())
+        for p in PROPERTY.finditer(clause, m.end()):
+            text = quotes[int(p[2][1:-1])] if p[2][0] == "\x00" else p[2]
+            out.setdefault(p[1].lower(), text.lower())
+    return out
+
+
+def authentications(df: DataFrame, *, id_col: str, values_col: str) -> DataFrame:
+    """id and results: map of methods and properties to values, of an array of headers; the topmost header wins."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def read(batches):
+        for batch in batches:
+            found = []
+            for values in batch.column(1):
+                own: dict[str, str] = {}
+                for v in reversed(values.as_py() or []):
+                    own |= authentication(v)
+                found.append(list(own.items()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.map_(pa.string(), pa.string()))], names=[id_col, "results"])
+
+    return df.select(id_col, values_col).mapInArrow(read, f"`{id_col}` {kind}, results map<string,string>")
+
+
+def header_readings(headers: dict[str, list[str]], most: int = 32, each: int = 8) -> list[dict[str, str]]:
+    """Every reading of a message whose headers repeat: one value of each, at most so many of a header and in all; the
+    first is that of all first values."""
+    out: list[dict[str, str]] = [{}]
+    for name in sorted(headers):
+        out = [{**r, name: v} for r in out for v in headers[name][:each]][:most] if headers[name] else out
     return out
 
 

@@ -58,6 +58,24 @@ def test_authentication_results():
     assert out == {"spf": "pass", "smtp.mailfrom": "a@x.example", "dkim": "fail", "header.d": "y.example", "dmarc": "none"}
 
 
+def test_authentication_is_read_where_clauses_begin():
+    assert mail.authentication('mx.example; dkim=fail reason="dmarc=pass spf=pass"; dmarc=fail') == {"dkim": "fail", "dmarc": "fail"}
+    assert mail.authentication('mx; spf=fail reason="a \\"; spf=pass"; spf=pass') == {"spf": "fail"}
+    assert mail.authentication('mx; dkim=pass (spf=pass; dmarc=pass) header.d=a.example') == {"dkim": "pass", "header.d": "a.example"}
+    assert mail.authentication('mx; note spf=pass') == {} and mail.authentication('mx; spf=pass reason="open') == {} and mail.authentication(None) == {}
+    assert mail.header_readings({"From": ["a", "b"], "To": ["c"], "Cc": []}) == [{"From": "a", "To": "c"}, {"From": "b", "To": "c"}]
+    assert len(mail.header_readings({k: list("123456789") for k in "abc"})) == 32
+
+
+def test_markup_without_end_tags():
+    assert H.read('<p style="display:none">secret<p>Pay now<p>Second')["visible"] == "Pay now\nSecond"
+    assert H.read("<ul><li hidden>one<li>two<ul><li>inner</ul><li>three</ul>")["visible"] == "two\ninner\nthree"
+    assert H.read("<table><tr><td hidden>a<td>b<tr><td>c</table>after")["visible"] == "b\nc\nafter"
+    assert H.read('<dl><dt hidden>x<dd>y</dl><div style="display:none"><p>no</div><p>yes</div>z')["visible"] == "y\nyes\nz"
+    assert H.read('<p style="color:#fff;background:white">a</p><p style="color:#777;background:#fff">b</p><p style="font-size:0.5pt">c</p><p style="position:absolute;left:-9999px">d</p>')["visible"] == "b"
+    assert H.contrast("black", "#fff") == pytest.approx(21) and H.contrast("a", "b") is None and H.pixels("1in") == 96 and H.pixels("50%") is None and H.pixels("0") == 0
+
+
 REQUESTS = [
     ("Please text me the security code we sent", ["one_time_code"]), ("Staff will never ask you to tell them your passcode", []), ("No need to panic. Reply with the login code", ["one_time_code"]),
     ("Type your card PIN", ["password_pin"]), ("请勿告知他人。给客服验证码", ["one_time_code"]), ("回复验证码即可", ["one_time_code"]), ("不要提供验证码", []), ("open RustDesk and shift the money to a secure wallet", ["crypto_transfer", "remote_access"]),
