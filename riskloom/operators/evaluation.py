@@ -104,3 +104,20 @@ def rank_metrics(scores: DataFrame, table: DataFrame) -> DataFrame:
     ).agg(F.round(F.sum("ap"), 6).alias("average_precision"), F.round(F.sum("auc"), 6).alias("roc_auc"))
     brier = scores.agg(F.round(F.avg((F.col("score") - F.col("label")) ** 2), 6).alias("brier"))
     return areas.crossJoin(brier)
+
+
+def agreement(rows: DataFrame, readings: list[Column], confidence: Column, positive: Column, floors: tuple[float, ...]) -> DataFrame:
+    """For each floor of confidence: rows, those kept (all readings equal and the confidence reached), coverage, and precision
+    and recall of what is kept and read as positive (null without rows to rate)."""
+    same = readings[0] == readings[1]
+    for a, b in zip(readings[1:-1], readings[2:], strict=True):
+        same = same & (a == b)
+    # One pass: the counts of every floor are taken side by side.
+    each = rows.select(same.alias("_same"), readings[0].alias("_read"), confidence.alias("_c"), positive.alias("_p")).withColumn("floor", F.explode(F.array(*map(F.lit, floors))))
+    kept = F.col("_same") & (F.col("_c") >= F.col("floor"))
+    counts = each.groupBy("floor").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("kept"), F.count_if(kept & F.col("_read")).alias("_read_kept"),
+        F.count_if(kept & F.col("_read") & F.col("_p")).alias("_right"), F.count_if("_p").alias("_positives"),
+    )
+    c = F.col
+    return counts.select("floor", "n", "kept", S.rate(c("kept"), c("n")).alias("coverage"), S.rate(c("_right"), c("_read_kept")).alias("precision"), S.rate(c("_right"), c("_positives")).alias("recall"))

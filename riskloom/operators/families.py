@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions import records as X
 from riskloom.functions import text as T
 
 
@@ -64,3 +65,24 @@ def time_partitions(df: DataFrame, *, ts_col: str, validation_from: str, holdout
     latest = ranked.groupBy(family_col).agg(F.max("_rank").alias("_latest"))
     role = F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("holdout")), F.col("_rank") + 1)
     return ranked.join(latest, family_col).where(F.col("_rank") == F.col("_latest")).withColumn("role", role).drop("_rank", "_latest")
+
+
+def split_with_ledger(df: DataFrame, ledger: DataFrame | None, *, family_col: str, order: list[str], ts_col: str, fresh_from: str, key: bytes, share: float, first: int = 3) -> DataFrame:
+    """Rows with role, known (the family stands in the ledger) and reason. A family keeps the role that the ledger(family,
+    role) gives it; a new one is held out if a keyed digest draws it and none of its rows is older than fresh_from. Of a
+    held-out family only its first few rows are kept."""
+    drawn = F.conv(F.substring(X.hmac_sha256(key, F.col(family_col).cast("string")), 1, 2), 16, 10).cast("int") < F.lit(256 * share)
+    oldest = df.groupBy(family_col).agg(F.min(ts_col).alias("_first"))
+    roles = oldest.select(F.col(family_col).alias("_f"), F.when(drawn & (F.col("_first") >= F.lit(fresh_from).cast("date")), "holdout").otherwise("development").alias("_role"))
+    if ledger is None:
+        roles = roles.withColumn("_old", F.lit(None).cast("string"))
+    else:
+        roles = roles.join(ledger.select(F.col(family_col).alias("_f"), F.col("role").alias("_old")), "_f", "left")
+    rows = df.join(roles, F.col(family_col) == F.col("_f")).withColumns({"role": F.coalesce("_old", "_role"), "known": F.col("_old").isNotNull()})
+    place = F.row_number().over(Window.partitionBy(family_col).orderBy(*order))
+    return rows.withColumn("reason", F.when((F.col("role") == "holdout") & (place > first), "beyond_first_three").otherwise("kept")).drop("_f", "_role", "_old")
+
+
+def ledger(split: DataFrame, family_col: str) -> DataFrame:
+    """family and role of every family of a split, to be kept for the next run."""
+    return split.groupBy(family_col).agg(F.max("role").alias("role"))

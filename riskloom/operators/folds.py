@@ -5,6 +5,7 @@ hot key costs its task time but no memory."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -65,8 +66,10 @@ def quota_receipts(requests: DataFrame, key: str, second: str, op: str, request:
         t, what, rid = row[second], row[op], row[request]
         if t // 86_400 != s["day"]:
             s["day"], s["used"] = t // 86_400, 0
-        for old in [r for r, (at, _) in s["seen"].items() if at <= t - keep]:
-            del s["seen"][old]
+        while s["old"] and s["old"][0][0] <= t - keep:  # receipts in the order of their times; only those that are due are looked at
+            at, old = s["old"].popleft()
+            if s["seen"].get(old, (None,))[0] == at:
+                del s["seen"][old]
         if what == "reserve":
             if rid in s["seen"]:
                 result = "repeated"
@@ -75,16 +78,18 @@ def quota_receipts(requests: DataFrame, key: str, second: str, op: str, request:
             else:
                 s["used"] += 1
                 s["seen"][rid] = (t, "reserved")
+                s["old"].append((t, rid))
                 result = "granted"
         elif s["seen"].get(rid, (0, ""))[1] == "reserved":
             s["seen"][rid] = (t, what)
+            s["old"].append((t, rid))
             result = "finished" if what == "finish" else "released"
             s["used"] -= what == "release"
         else:
             result = "unknown"
         return result, budget - s["used"]
 
-    return fold(requests, key, [second, "event_id"], {"result": "string", "remaining": "long"}, lambda: {"day": None, "used": 0, "seen": {}}, step)
+    return fold(requests, key, [second, "event_id"], {"result": "string", "remaining": "long"}, lambda: {"day": None, "used": 0, "seen": {}, "old": deque()}, step)
 
 
 def versioned_updates(changes: DataFrame, key: str, expected: str) -> DataFrame:

@@ -10,6 +10,7 @@ from riskloom.operators import evaluation as ev
 from riskloom.operators import folds
 from riskloom.plans.eval_queries import CAPS_SQL, MARKS_SQL, OUTCOMES_SQL, outcomes
 from riskloom.plans.text_queries import template_sql
+from riskloom.plans.state_queries import ORDERED_SQL
 from riskloom.sources.tables import events, table, union_corpora
 
 QUERIES, SQL = {}, {}
@@ -92,17 +93,27 @@ def timed(spark, sf_dir):
     return events(spark, sf_dir).select("user_id", "event_id", "event_type", F.col("ts").cast("long").alias("t"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDERED_SQL}, f AS (SELECT user_id, event_id, i, t, t + 3600 AS stop, CAST(1 AS BIGINT) AS n FROM o WHERE i = 1 UNION ALL
+SELECT o.user_id, o.event_id, o.i, o.t, CASE WHEN o.t >= f.stop THEN o.t + 3600 ELSE f.stop END, CASE WHEN o.t >= f.stop THEN 1 ELSE f.n + 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, event_id, n AS window_count, n <= 2 AS allowed, CASE WHEN n <= 2 THEN 0 ELSE stop - t END AS retry_after FROM f""")
 def rate_limit_first_hit(spark, sf_dir):
     return folds.first_hit_window(timed(spark, sf_dir), "user_id", "t", 3600, 2).select("user_id", "event_id", "window_count", "allowed", "retry_after")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDERED_SQL}, f AS (SELECT user_id, i, t AS began, t AS last, CAST(1 AS BIGINT) AS n FROM o WHERE i = 1 UNION ALL
+SELECT user_id, i, CASE WHEN fresh THEN t ELSE began END, t, n + CASE WHEN fresh THEN 1 ELSE 0 END FROM (SELECT o.user_id, o.i, o.t, f.began, f.n, o.t - f.last >= 1800 OR o.t - f.began >= 28800 AS fresh FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT user_id, max(n) AS sessions, count(*) AS events FROM f GROUP BY 1""")
 def sessions_absolute(spark, sf_dir):
     return folds.capped_sessions(timed(spark, sf_dir), "user_id", "t", 1800, 8 * 3600).groupBy("user_id").agg(F.max("session").alias("sessions"), F.count(F.lit(1)).alias("events"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDERED_SQL}, q AS (SELECT user_id, event_id, t, i, CASE WHEN event_id % 7 = 0 THEN 'release' WHEN event_id % 3 = 0 THEN 'finish' ELSE 'reserve' END AS op, user_id || '-' || (event_id // 400) AS r FROM o),
+f AS (SELECT user_id, event_id, op, i, t // 86400 AS day, CAST(CASE WHEN op = 'reserve' THEN 1 ELSE 0 END AS BIGINT) AS used, CASE WHEN op = 'reserve' THEN [{{'r': r, 'at': t, 'st': 'reserved'}}] ELSE [] END AS seen, CASE WHEN op = 'reserve' THEN 'granted' ELSE 'unknown' END AS result FROM q WHERE i = 1
+  UNION ALL SELECT user_id, event_id, op, i, day, CASE result WHEN 'granted' THEN used + 1 WHEN 'released' THEN used - 1 ELSE used END,
+    CASE WHEN result = 'granted' THEN list_append(seen, {{'r': r, 'at': t, 'st': 'reserved'}}) WHEN result IN ('finished', 'released') THEN list_append(list_filter(seen, lambda x: x.r <> r), {{'r': r, 'at': t, 'st': op}}) ELSE seen END, result
+  FROM (SELECT *, CASE WHEN op = 'reserve' THEN CASE WHEN st IS NOT NULL THEN 'repeated' WHEN used >= 2 THEN 'refused' ELSE 'granted' END WHEN st = 'reserved' THEN CASE op WHEN 'finish' THEN 'finished' ELSE 'released' END ELSE 'unknown' END AS result
+    FROM (SELECT *, list_filter(seen, lambda x: x.r = r)[1].st AS st FROM (SELECT q.user_id, q.event_id, q.op, q.i, q.t, q.r, q.t // 86400 AS day, CASE WHEN q.t // 86400 <> f.day THEN 0 ELSE f.used END AS used, list_filter(f.seen, lambda x: x.at > q.t - 86400) AS seen FROM f JOIN q ON q.user_id = f.user_id AND q.i = f.i + 1))))
+SELECT user_id, event_id, op, result, 2 - used AS remaining FROM f""")
 def quota_receipts(spark, sf_dir):
     """Events as requests: every third finishes, every seventh releases, the others reserve; ids repeat in pairs."""
     op = F.when(F.col("event_id") % 7 == 0, "release").when(F.col("event_id") % 3 == 0, "finish").otherwise("reserve")

@@ -107,38 +107,6 @@ def release_coverage_gate(spark, sf_dir):
     return cells.join(per, ["lang", "label"], "left").select("lang", "label", n.alias("n"), (n >= 50).alias("covered"))
 
 
-SIGNALS_SQL = rf"""signals AS (SELECT doc_id, unnest(list_filter([CASE WHEN {MARKS_SQL} >= 3 THEN 'exclamations' END, CASE WHEN {CAPS_SQL} > 0.4 THEN 'capitals' END,
-  CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END, CASE WHEN contains(text, '@') THEN 'address' END], lambda x: x IS NOT NULL)) AS signal FROM documents)"""
-
-
-def signals(spark, sf_dir):
-    text = F.col("text")
-    found = F.array(
-        F.when(T.count_char(text, "!") >= 3, F.lit("exclamations")), F.when(T.capitals_share(text) > 0.4, F.lit("capitals")),
-        F.when(text.rlike("[0-9]"), F.lit("digits")), F.when(text.contains("@"), F.lit("address")),
-    )
-    return table(spark, sf_dir, "documents").select("doc_id", F.filter(found, lambda x: x.isNotNull()).alias("signals"))
-
-
-@query(f"WITH {OUTCOMES_SQL}, {SIGNALS_SQL} SELECT label || ':' || decision AS bucket, signal, count(*) AS n FROM outcomes JOIN signals USING (doc_id) GROUP BY 1, 2")
-def evidence_attribution(spark, sf_dir):
-    rows = outcomes(spark, sf_dir).join(signals(spark, sf_dir), "doc_id").select(F.concat_ws(":", "label", "decision").alias("bucket"), F.explode(F.array_distinct("signals")).alias("signal"))
-    return rows.groupBy("bucket", "signal").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {OUTCOMES_SQL}, {SIGNALS_SQL}, s AS (SELECT doc_id, list(signal) AS sig FROM signals GROUP BY 1), f AS (SELECT unnest(['exclamations', 'capitals']) AS family),
-j AS (SELECT family, label, decision, CASE WHEN decision = 'undetermined' THEN decision WHEN len(list_filter(coalesce(sig, []), lambda x: x <> family AND x IN ('exclamations', 'capitals'))) > 0 THEN 'alerted' ELSE 'not_alerted' END AS without
-  FROM outcomes LEFT JOIN s USING (doc_id), f)
-SELECT family, label, decision || '->' || without AS transition, count(*) AS n FROM j GROUP BY 1, 2, 3""")
-def counterfactual_transitions(spark, sf_dir):
-    """How decisions change if one family of evidence is left out: the families are a fixed list, so rows only double."""
-    rows = outcomes(spark, sf_dir).join(signals(spark, sf_dir), "doc_id")
-    rows = rows.withColumn("family", F.explode(F.array(F.lit("exclamations"), F.lit("capitals"))))
-    rest = F.exists("signals", lambda x: (x != F.col("family")) & x.isin("exclamations", "capitals"))
-    without = F.when(F.col("decision") == "undetermined", "undetermined").when(rest, "alerted").otherwise("not_alerted")
-    return rows.groupBy("family", "label", F.concat_ws("->", "decision", without).alias("transition")).agg(F.count(F.lit(1)).alias("n"))
-
-
 #: The query's keywords: the rules' own, and words that the synthetic texts do hold.
 WORDS = {**VOCABULARY.KEYWORDS, "common": ("low", ("the", "and", "of", "les", "der", "und", "los")), "licence": ("medium", ("licensed under", "all rights reserved", "released under"))}
 
@@ -213,17 +181,6 @@ def abstention_verdict(spark, sf_dir):
     return rows.select("doc_id", "level", R.abstain(F.col("level"), F.length(text) <= 20000, F.size(F.split(F.trim(text), " ")), F.length(text)).alias("verdict"))
 
 
-@query(f"""WITH {SIGNALS_SQL}, tactics AS (SELECT * FROM (VALUES ('exclamations', 'pressure'), ('capitals', 'pressure'), ('address', 'contact'), ('digits', 'figures')) t(signal, tactic))
-SELECT doc_id, list_sort(list(DISTINCT tactic)) AS tactics, CASE WHEN list_contains(list(DISTINCT tactic), 'pressure') AND list_contains(list(DISTINCT tactic), 'contact') THEN 'lure' WHEN list_contains(list(DISTINCT tactic), 'pressure') THEN 'pressure' ELSE 'plain' END AS mail_type
-FROM signals JOIN tactics USING (signal) GROUP BY 1""")
-def mail_type_tactics(spark, sf_dir):
-    tactics = spark.createDataFrame([("exclamations", "pressure"), ("capitals", "pressure"), ("address", "contact"), ("digits", "figures")], "signal string, tactic string")
-    rows = signals(spark, sf_dir).select("doc_id", F.explode("signals").alias("signal")).join(F.broadcast(tactics), "signal")  # four rows
-    out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("tactic")).alias("tactics"))
-    has = lambda t: F.array_contains("tactics", t)
-    return out.withColumn("mail_type", F.when(has("pressure") & has("contact"), "lure").when(has("pressure"), "pressure").otherwise("plain"))
-
-
 SCORES_SQL = f"scores AS (SELECT round({CAPS_SQL}, 2) AS score, toxic AS label FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL)"
 TABLE_SQL = """per AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM scores GROUP BY 1),
 t AS (SELECT score AS threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp, CAST((SELECT sum(p) FROM per) - sum(p) OVER w AS BIGINT) AS fn, CAST((SELECT sum(n) FROM per) - sum(n) OVER w AS BIGINT) AS tn FROM per WINDOW w AS (ORDER BY score DESC))"""
@@ -250,18 +207,3 @@ SELECT round(sum(CAST(tp - tp0 AS DOUBLE) / (tp + fn) * tp / (tp + fp)), 6) AS a
 def rank_metrics(spark, sf_dir):
     rows = scores(spark, sf_dir)
     return ev.rank_metrics(rows, ev.threshold_table(rows))
-
-
-@query(f"""WITH r AS (SELECT conv_id, turn, text, CASE WHEN {MARKS_SQL} >= 1 THEN 'phishing' ELSE 'legitimate' END AS v1, CASE WHEN {CAPS_SQL} > 0.05 THEN 'phishing' ELSE 'legitimate' END AS v2,
-  round(0.5 + least(length(text), 1000) / CAST(2000 AS DOUBLE), 2) AS c1, round(1 - least({CAPS_SQL}, 0.5), 2) AS c2 FROM conversations),
-a AS (SELECT *, v1 = v2 AS agreed, least(c1, c2) AS confidence FROM r), f AS (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.9 AS DOUBLE)]) AS floor)
-SELECT floor, count(*) AS n, count(*) FILTER (WHERE agreed AND confidence >= floor) AS kept, round(CAST(count(*) FILTER (WHERE agreed AND confidence >= floor) AS DOUBLE) / count(*), 4) AS coverage FROM a, f GROUP BY 1""")
-def teacher_agreement(spark, sf_dir):
-    text = F.col("text")
-    caps = T.capitals_share(text)
-    rows = table(spark, sf_dir, "conversations").select(
-        ((T.count_char(text, "!") >= 1) == (caps > 0.05)).alias("agreed"),
-        F.least(F.round(0.5 + F.least(F.length(text), F.lit(1000)) / 2000.0, 2), F.round(1 - F.least(caps, F.lit(0.5)), 2)).alias("confidence"),
-    ).withColumn("floor", F.explode(F.array(F.lit(0.5), F.lit(0.7), F.lit(0.9))))
-    kept = F.count_if(F.col("agreed") & (F.col("confidence") >= F.col("floor")))
-    return rows.groupBy("floor").agg(F.count(F.lit(1)).alias("n"), kept.alias("kept"), S.rate(kept, F.count(F.lit(1))).alias("coverage"))

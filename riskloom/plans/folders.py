@@ -12,6 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         sc.setCheckpointDir(root)

@@ -11,7 +11,10 @@ from riskloom.functions import words as W
 from riskloom.operators import conjunctions as C
 from riskloom.operators import cues as Q
 from riskloom.operators import links as K
+from riskloom.operators import evaluation as ev
 from riskloom.operators import requests as R
+from riskloom.operators import rules as VR
+from riskloom.operators.vocabulary import KEYWORDS
 from riskloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -162,3 +165,92 @@ def prefilled_links(spark, sf_dir):
     shape = [F.concat(F.lit("https://x.example/?e="), address), F.concat(F.lit("https://x.example/#"), F.replace(address, F.lit("@"), F.lit("%40"))), F.concat(F.lit("https://x.example/"), coded), F.concat(F.lit("https://x.example/unsubscribe?e="), address), F.lit("https://x.example/a")]
     destination = F.element_at(F.array(*shape), (F.col("c_custkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", C.prefilled(destination, address).alias("prefilled"))
+
+
+#: Evidence of a message: its keyword categories with their points, as the operator gives it.
+_ROWS = ", ".join(f"{{'category': '{c}', 'points': least(len({W.held_sql('plain', words)}), 5)}}" for c, (_, words) in KEYWORDS.items())
+EVIDENCE_SQL = f"""{PLANTED_SQL}, plains AS (SELECT conv_id, turn, {W.plain_sql('text')} AS plain FROM planted), evidence AS (SELECT conv_id, turn, e.category AS category, e.points AS points FROM (SELECT conv_id, turn, unnest([{_ROWS}]) AS e FROM plains) WHERE e.points > 0),
+facts AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'phishing' ELSE 'legitimate' END AS label, CASE WHEN (conv_id * 5 + turn) % 4 = 0 THEN NULL ELSE ((conv_id * 13 + turn * 29) % 100) / CAST(100 AS DOUBLE) END AS model FROM planted)"""
+
+
+def evidence(spark, sf_dir):
+    rows = planted(spark, sf_dir).withColumn("id", F.struct("conv_id", "turn"))
+    return VR.keyword_evidence(rows, KEYWORDS, id_col="id", text_col="text").select("id.conv_id", "id.turn", "category", "points")
+
+
+def facts(spark, sf_dir):
+    """A label and a model's probability (null: no model) of each message, by its numbers."""
+    c, t = F.col("conv_id"), F.col("turn")
+    model = F.when((c * 5 + t) % 4 != 0, ((c * 13 + t * 29) % 100) / F.lit(100.0))
+    return planted(spark, sf_dir).select("conv_id", "turn", F.when((c + t) % 3 == 0, "phishing").otherwise("legitimate").alias("label"), model.alias("model"))
+
+
+def decision_sql(points: str) -> str:
+    """The fusion's decision for an original message without floors."""
+    rule = f"least({points} / CAST(16 AS DOUBLE), 1)"
+    signal, alone = "coalesce(model >= 0.5, false)", f"(coalesce(model >= 0.5, false) AND {rule} < 0.1)"
+    counted = f"CASE WHEN model IS NULL THEN 0 WHEN {signal} AND NOT {alone} THEN model ELSE least(model, 0.29) END"
+    level = f"""CASE WHEN {rule} >= 0.8 OR (coalesce(model >= 0.8, false) AND {points} >= 9) THEN 'critical' WHEN {rule} >= 0.55 OR ({signal} AND NOT {alone}) THEN 'high' WHEN {alone} THEN 'low'
+      WHEN greatest({rule}, {counted}) >= 0.3 THEN 'medium' WHEN greatest({rule}, {counted}) >= 0.1 THEN 'low' ELSE 'safe' END"""
+    return f"CASE WHEN ({level}) IN ('medium', 'high', 'critical') THEN 'alerted' ELSE 'not_alerted' END"
+
+
+def decided(points):
+    out = VR.fused_verdict(points, F.lit(0), F.lit("safe"), F.col("model"), 0.5, F.lit(True))
+    return VR.decision(out["level"])
+
+
+@query(f"""WITH {EVIDENCE_SQL}, p AS (SELECT f.*, CAST(coalesce(sum(points), 0) AS BIGINT) AS points FROM facts f LEFT JOIN evidence USING (conv_id, turn) GROUP BY ALL), d AS (SELECT conv_id, turn, label || ':' || {decision_sql('points')} AS bucket FROM p)
+SELECT bucket, category AS signal, count(*) AS n FROM d JOIN evidence USING (conv_id, turn) GROUP BY 1, 2""")
+def evidence_attribution(spark, sf_dir):
+    """Which evidence stands with which outcome of the fused verdict, once a message."""
+    found = evidence(spark, sf_dir)
+    totals = facts(spark, sf_dir).join(found.groupBy("conv_id", "turn").agg(F.sum("points").alias("points")), ["conv_id", "turn"], "left")
+    buckets = totals.select("conv_id", "turn", F.concat_ws(":", "label", decided(F.coalesce("points", F.lit(0)))).alias("bucket"))
+    return buckets.join(found, ["conv_id", "turn"]).groupBy("bucket", F.col("category").alias("signal")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {EVIDENCE_SQL}, p AS (SELECT f.*, CAST(coalesce(sum(points), 0) AS BIGINT) AS points FROM facts f LEFT JOIN evidence USING (conv_id, turn) GROUP BY ALL), k AS (SELECT unnest({list(KEYWORDS)}) AS family),
+c AS (SELECT k.family, p.label, p.model, p.points, p.points - coalesce(e.points, 0) AS fewer FROM p CROSS JOIN k LEFT JOIN evidence e ON e.conv_id = p.conv_id AND e.turn = p.turn AND e.category = k.family)
+SELECT family, label, {decision_sql('points')} || '->' || {decision_sql('fewer')} AS transition, count(*) AS n FROM c GROUP BY 1, 2, 3""")
+def counterfactual_transitions(spark, sf_dir):
+    """How the fused decision changes if one family of evidence is left out: families are a fixed list, and a message without
+    evidence of one differs in nothing, so only counts of points and models are multiplied."""
+    found = evidence(spark, sf_dir).groupBy("conv_id", "turn").agg(F.sum("points").alias("points"), F.map_from_entries(F.collect_list(F.struct("category", "points"))).alias("by"))  # ten categories at most
+    rows = facts(spark, sf_dir).join(found, ["conv_id", "turn"], "left").withColumn("family", F.explode(F.array(*map(F.lit, KEYWORDS))))
+    points = F.coalesce("points", F.lit(0))
+    fewer = points - F.coalesce(F.try_element_at("by", F.col("family")), F.lit(0))
+    return rows.groupBy("family", "label", F.concat_ws("->", decided(points), decided(fewer)).alias("transition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+TACTICS = (("urgency", "pressure"), ("threats", "pressure"), ("credential", "credentials"), ("financial", "money"), ("impersonation", "identity"), ("deception", "bait"), ("attachments", "attachment"), ("tech_scam", "identity"), ("job_scam", "bait"), ("social_engineering", "trust"))
+#: Types of mail by the tactics that they need, the first that fits.
+TYPES = (("credential_phishing", ("credentials",)), ("payment_fraud", ("money", "pressure")), ("malware_lure", ("attachment",)), ("advance_fee", ("bait", "money")), ("impersonation", ("identity",)), ("lure", ("bait",)), ("pressure", ("pressure",)))
+
+
+@query(f"""WITH {EVIDENCE_SQL}, t AS (SELECT * FROM (VALUES {', '.join(map(str, TACTICS))}) t(category, tactic)), g AS (SELECT conv_id, turn, list_sort(list(DISTINCT tactic)) AS tactics FROM evidence JOIN t USING (category) GROUP BY 1, 2)
+SELECT *, CASE {' '.join(f"WHEN list_has_all(tactics, {list(needs)}) THEN '{kind}'" for kind, needs in TYPES)} ELSE 'other' END AS mail_type FROM g""")
+def mail_type_tactics(spark, sf_dir):
+    tactics = spark.createDataFrame(list(TACTICS), "category string, tactic string")
+    rows = evidence(spark, sf_dir).join(F.broadcast(tactics), "category").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("tactic")).alias("tactics"))  # ten rows
+    kind = F.lit("other")
+    for name, needs in reversed(TYPES):
+        kind = F.when(F.size(F.array_intersect("tactics", F.array(*map(F.lit, needs)))) == len(needs), name).otherwise(kind)
+    return rows.withColumn("mail_type", kind)
+
+
+@query(f"""WITH {EVIDENCE_SQL}, p AS (SELECT f.*, CAST(coalesce(sum(points), 0) AS BIGINT) AS points FROM facts f LEFT JOIN evidence USING (conv_id, turn) GROUP BY ALL),
+q AS (SELECT conv_id, turn, points AS cue_points FROM ({Q.cues_sql('planted', ['conv_id', 'turn']).replace('p AS (', 'WITH p AS (', 1)})),
+r AS (SELECT label, points >= 3 AS a, cue_points >= 3 AS b, coalesce(model >= 0.5, false) AS c, least(round(0.5 + least(points, 8) / CAST(16 AS DOUBLE), 4), round(0.5 + abs(coalesce(model, 0.5) - 0.5), 4)) AS confidence FROM p JOIN q USING (conv_id, turn)),
+f AS (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.6 AS DOUBLE), CAST(0.8 AS DOUBLE)]) AS floor), k AS (SELECT floor, label, a, (a = b AND b = c AND confidence >= floor) AS kept FROM r, f)
+SELECT floor, count(*) AS n, count(*) FILTER (WHERE kept) AS kept, round(CAST(count(*) FILTER (WHERE kept) AS DOUBLE) / count(*), 4) AS coverage,
+  CASE WHEN count(*) FILTER (WHERE kept AND a) > 0 THEN round(CAST(count(*) FILTER (WHERE kept AND a AND label = 'phishing') AS DOUBLE) / count(*) FILTER (WHERE kept AND a), 4) END AS precision,
+  CASE WHEN count(*) FILTER (WHERE label = 'phishing') > 0 THEN round(CAST(count(*) FILTER (WHERE kept AND a AND label = 'phishing') AS DOUBLE) / count(*) FILTER (WHERE label = 'phishing'), 4) END AS recall FROM k GROUP BY 1""")
+def teacher_agreement(spark, sf_dir):
+    """Three readings of each message (keywords, cues, model): kept where they agree and the least confidence reaches a floor."""
+    points = evidence(spark, sf_dir).groupBy("conv_id", "turn").agg(F.sum("points").alias("points"))
+    cues = Q.cues(planted(spark, sf_dir), id_cols=["conv_id", "turn"], text_col="text").select("conv_id", "turn", F.col("points").alias("cue_points"))
+    rows = facts(spark, sf_dir).join(points, ["conv_id", "turn"], "left").join(cues, ["conv_id", "turn"])
+    p = F.coalesce("points", F.lit(0))
+    confidence = F.least(F.round(0.5 + F.least(p, F.lit(8)) / 16.0, 4), F.round(0.5 + F.abs(F.coalesce("model", F.lit(0.5)) - 0.5), 4))
+    return ev.agreement(rows, [p >= 3, F.col("cue_points") >= 3, F.coalesce(F.col("model") >= 0.5, F.lit(False))], confidence, F.col("label") == "phishing", (0.5, 0.6, 0.8))

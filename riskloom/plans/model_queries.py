@@ -14,6 +14,7 @@ from riskloom.operators import links as K
 from riskloom.operators import mail
 from riskloom.operators import rules as R
 from riskloom.plans.folders import shared_folder
+from riskloom.plans.text_queries import FAMILIES
 from riskloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -35,10 +36,13 @@ def corpus(spark, sf_dir):
     return fam.with_family(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).join(labels, "doc_id")
 
 
-@query()
+@query(f"""WITH {FAMILIES}, g AS (SELECT family, count(*) AS n, sum(quality) AS p, sha256('fold:' || family) AS d FROM fams JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1),
+k AS (SELECT *, CASE WHEN p = 0 THEN 0 WHEN p = n THEN 2 ELSE 1 END AS kind FROM g),
+f AS (SELECT *, (row_number() OVER (PARTITION BY kind, substr(d, 1, 2) ORDER BY n DESC, d) + CAST('0x' || substr(d, 1, 2) AS INTEGER)) % 3 AS fold FROM k)
+SELECT CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS positives, CAST(0 AS BIGINT) AS leaking_families FROM f GROUP BY 1""")
 def group_kfold(spark, sf_dir):
     """Rows and labels of each fold, and how many families stand in several folds (none)."""
-    rows = L.group_folds(corpus(spark, sf_dir), group=F.col("family"), folds=3)
+    rows = L.stratified_group_folds(corpus(spark, sf_dir).select("family", "label"), group_col="family", label_col="label", folds=3)
     leaks = L.fold_leaks(rows, "family").agg(F.count(F.lit(1)).alias("leaking_families"))
     return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives")).crossJoin(leaks)
 

@@ -51,7 +51,12 @@ def rate_limit_sliding(spark, sf_dir):
     return st.sliding_hits(events(spark, sf_dir), "user_id", 3600, 3).select("event_id", "user_id", "hits", "allowed")
 
 
-@query()
+ORDERED_SQL = "o AS (SELECT user_id, event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS i FROM events)"
+
+
+@query(f"""WITH RECURSIVE {ORDERED_SQL}, f AS (SELECT user_id, event_id, i, [t] AS kept, true AS allowed FROM o WHERE i = 1 UNION ALL
+SELECT user_id, event_id, i, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END, len(k) < 3 FROM (SELECT o.*, list_filter(f.kept, lambda x: x > o.t - 3600) AS k FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT user_id, event_id, allowed FROM f""")
 def rate_limit_exact(spark, sf_dir):
     return st.exact_limit(events(spark, sf_dir), "user_id", 3600, 3)
 
@@ -154,22 +159,11 @@ def sender_score(spark, sf_dir):
     return sender.features(addresses(spark, sf_dir))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT least(l1.l_suppkey, l2.l_suppkey) AS a, greatest(l1.l_suppkey, l2.l_suppkey) AS b FROM lineitem l1 JOIN lineitem l2 ON l1.l_orderkey = l2.l_orderkey AND l1.l_linenumber = 1 AND l2.l_linenumber = 2 AND l1.l_suppkey <> l2.l_suppkey
-  WHERE l1.l_quantity > 49 AND l2.l_quantity > 45), b AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT x AS node, x AS least FROM b UNION SELECT b.y, reach.least FROM reach JOIN b ON b.x = reach.node AND reach.least < b.y)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT min(l_suppkey) OVER (PARTITION BY l_orderkey) AS a, l_suppkey AS b FROM lineitem), x AS (SELECT * FROM e WHERE a <> b), u AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
+reach AS (SELECT a AS node, a AS least FROM u UNION SELECT u.b, reach.least FROM reach JOIN u ON u.a = reach.node AND reach.least < u.b)
 SELECT node, min(least) AS component FROM reach GROUP BY 1""")
 def campaign_components(spark, sf_dir):
-    shared_folder(spark)
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    one = li.where("l_linenumber = 1 AND l_quantity > 49").select("l_orderkey", F.col("l_suppkey").alias("a"))
-    two = li.where("l_linenumber = 2 AND l_quantity > 45").select("l_orderkey", F.col("l_suppkey").alias("b"))
-    return M.components(spark, one.join(two, "l_orderkey").select("a", "b"))
-
-
-@query()
-def campaign_components_all(spark, sf_dir):
-    """The same over every row: suppliers that share an order, whatever the line or quantity. The recursive SQL of
-    campaign_components is for its few rows only."""
+    """Suppliers joined by the orders that they share, over every row."""
     shared_folder(spark)
     return M.components(spark, M.shared_key_edges(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions import records as X
 from riskloom.functions import text as T
 from riskloom.operators import families as fam
 from riskloom.sources.tables import table
@@ -64,11 +65,20 @@ def template_fingerprint(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.template_fingerprint(F.col("text")).alias("template"))
 
 
-@query()
+def model_text_sql(text: str) -> str:
+    """The same steps where patterns cannot look ahead: what follows a link is taken and put back."""
+    steps = (
+        (r"(?m)^[ \t]*(?:>[ \t]?)+", ""), (r"(?i)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b", " zzemail "), (r"(?i)\b(?:https?://|www\.)\S+?([.,;:!?)\]]*(?:\s|$))", r" zzurl \1"),
+        (r"(?i)\b\d{1,2}(?::\d{2}(?::\d{2})?(?:\s*[ap]\.?m\b\.?)?|\s*[ap]\.?m\b\.?)", " zztime "), (r"\b(?:19|20)\d{2}\b", " zzyear "), (r"\b\d+(?:[.,]\d+)*\b", " zznum "), (r"\s+", " "),
+    )
+    for pattern, token in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{token}', 'g')"
+    return f"trim({text})"
+
+
+@query(f"SELECT doc_id, sha256({model_text_sql('text')}) AS digest FROM documents")
 def model_text_normalise(spark, sf_dir):
-    once = T.model_text(F.col("text"))
-    out = docs(spark, sf_dir).select("doc_id", once.alias("normal"))
-    return out.select("doc_id", F.sha2(F.col("normal").cast("binary"), 256).alias("digest"), (T.model_text(F.col("normal")) == F.col("normal")).alias("idempotent"))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(T.model_text(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
 @query(f"""WITH {FAMILIES},
@@ -127,15 +137,20 @@ def time_partition_split(spark, sf_dir):
     return fam.time_partitions(rows, ts_col="o_orderdate", validation_from="1996-01-01", holdout_from="1997-01-01", family_col="family").select("family", "o_orderkey", "role")
 
 
-@query("""WITH f AS (SELECT o_custkey AS family, o_orderkey, o_orderdate, CASE WHEN CAST(('0x' || substr(sha256('ledger:' || o_custkey), 1, 2)) AS INTEGER) < 76.8 THEN 'holdout' ELSE 'development' END AS role,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders)
-SELECT family, o_orderkey, role, CASE WHEN role = 'holdout' AND place > 3 THEN 'beyond_first_three' ELSE 'kept' END AS reason FROM f""")
+LEDGER_KEY = b"the key of the split"
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS family, o_orderkey, o_orderdate AS d, CAST('0x' || substr({X.hmac_sha256_sql(LEDGER_KEY, 'CAST(o_custkey AS VARCHAR)')}, 1, 2) AS INTEGER) < 76.8 AS drawn FROM orders),
+old AS (SELECT family, max(CASE WHEN drawn THEN 1 ELSE 0 END) AS held, min(d) AS oldest FROM o WHERE d < DATE '1996-01-01' GROUP BY 1), led AS (SELECT family, CASE WHEN held = 1 AND oldest >= DATE '1994-01-01' THEN 'holdout' ELSE 'development' END AS role FROM old),
+fresh AS (SELECT family, CASE WHEN max(CASE WHEN drawn THEN 1 ELSE 0 END) = 1 AND min(d) >= DATE '1994-01-01' THEN 'holdout' ELSE 'development' END AS role FROM o GROUP BY 1),
+r AS (SELECT o.family, o_orderkey, coalesce(led.role, fresh.role) AS role, led.role IS NOT NULL AS known, row_number() OVER (PARTITION BY o.family ORDER BY d, o_orderkey) AS place FROM o JOIN fresh USING (family) LEFT JOIN led USING (family))
+SELECT family, o_orderkey, role, known, CASE WHEN role = 'holdout' AND place > 3 THEN 'beyond_first_three' ELSE 'kept' END AS reason FROM r""")
 def family_split_ledger(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("family"), "o_orderkey", "o_orderdate")
-    rows = fam.hash_split(rows, F.col("family").cast("string"), salt="ledger", fraction=0.3)
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("o_orderdate", "o_orderkey")))
-    role = F.when(F.col("held_out"), "holdout").otherwise("development")
-    return rows.select("family", "o_orderkey", role.alias("role"), F.when(F.col("held_out") & (F.col("place") > 3), "beyond_first_three").otherwise("kept").alias("reason"))
+    """Two runs: the first writes a ledger of the families before 1996, the second keeps to it whatever came since."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("family"), "o_orderkey", F.col("o_orderdate").alias("at"))
+    args = {"family_col": "family", "order": ["at", "o_orderkey"], "ts_col": "at", "fresh_from": "1994-01-01", "key": LEDGER_KEY, "share": 0.3}
+    first = fam.split_with_ledger(rows.where("at < DATE '1996-01-01'"), None, **args)
+    return fam.split_with_ledger(rows, fam.ledger(first, "family"), **args).select("family", "o_orderkey", "role", "known", "reason")
 
 
 @query("SELECT doc_id, source, round(CAST((SELECT count(*) FROM documents) AS DOUBLE) / ((SELECT count(DISTINCT source) FROM documents) * count(*) OVER (PARTITION BY source)), 6) AS weight FROM documents")

@@ -58,6 +58,46 @@ def test_query_leaves_out_the_sources_of_the_table(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_more_features_and_folds(spark, corpus, tmp_path):
+    words = L.text_features(min_df=1.0, max_df=1.0, vocabulary=500, stop_words=["and"])
+    one = L.Pipeline(stages=words[:6]).fit(spark.createDataFrame([("aa bb aa and aa",)], "text string"))
+    row = one.transform(spark.createDataFrame([("aa bb aa and aa",)], "text string")).first()
+    got = {one.stages[4].vocabulary[i]: v for i, v in zip(row["_ltf"].indices.tolist(), row["_ltf"].values.tolist(), strict=True)}
+    assert got["aa"] == pytest.approx(1 + 1.0986, abs=1e-3) and got["bb"] == 1.0 and "and" not in got
+    both = L.fit_text_model(corpus, features=L.union_features(min_df=1.0, max_df=1.0, vocabulary=300))
+    rows = L.scores(both, corpus)
+    assert ev.rank_metrics(rows, ev.threshold_table(rows)).first().roc_auc > 0.99 and len(L._vocabulary(both)) == len(both.stages[-1].coefficients)
+    fit = lambda d: L.fit_text_model(d, features=L.text_features(min_df=1.0, max_df=1.0, vocabulary=500))
+    held = L.out_of_fold(corpus, 3, fit, "id")
+    assert held.select("id").distinct().count() == corpus.count() == held.count()
+    parts = L.conditions({"all": corpus.where("fold <> 0"), "half": corpus.where("fold = 1")}, corpus.where("fold = 0"), "group", fit).collect()
+    assert [r.condition for r in parts] == ["all", "half"] and parts[0].roc_auc > 0.9
+    model = fit(corpus)
+    L.save_model(model, f"{tmp_path}/m", rows=60)
+    again, about = L.load_model(spark, f"{tmp_path}/m")
+    assert about == {"rows": 60} and L.scores(again, corpus).exceptAll(L.scores(model, corpus)).count() == 0
+    top = L.contributions(model, corpus.limit(3), "id", 3).collect()
+    assert top and all(not (a.id == b.id and a.term != b.term and a.term in b.term and a.weight > b.weight) for a in top for b in top)
+    shouting = L.Pipeline(stages=[L.FromFunction(lambda d: d.withColumn("n", F.length("text")))]).fit(corpus).transform(corpus)
+    assert "n" in shouting.columns
+
+
+def test_stratified_folds(spark):
+    rows = [(f"g{i}", int(i % 4 == 0 or (i % 5 == 0 and k))) for i in range(400) for k in range(1 + i % 3)]
+    out = L.stratified_group_folds(spark.createDataFrame(rows, "group string, label int"), group_col="group", label_col="label", folds=4)
+    assert out.count() == len(rows) and L.fold_leaks(out, "group").count() == 0
+    share = [r.p / r.n for r in out.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()]
+    assert len(share) == 4 and max(share) - min(share) < 0.12
+
+
+def test_tabular_models(spark):
+    rows = [(float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(210)]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    for kind in L.TABULAR:
+        m = L.class_metrics(L.fit_tabular(df, ["a", "b"], kind), df).first()
+        assert m.accuracy > 0.95 and m.f1 > 0.95 and 0 <= m.precision <= 1 and 0 <= m.recall <= 1
+
+
 def test_character_grams(spark):
     out = spark.createDataFrame([("Ab cde",)], "t string").select(L.character_grams(F.col("t"), 3, 4)).first()[0]
     assert out == [" ab", "ab ", " ab ", " cd", "cde", "de ", " cde", "cde "]
