@@ -63,10 +63,18 @@ def count_char(text: Column, char: str) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits; 0 for an empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.size(chars).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    # Sorted characters are walked once: at the end of a run of equal ones its share is known.
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("place"), F.lit(0).alias("begin"))
+
+    def step(acc, c):
+        place = acc["place"] + 1
+        last = F.coalesce(F.get(chars, place) != c, F.lit(True))
+        share = (place - acc["begin"]) / n
+        return F.struct(F.when(last, acc["sum"] - share * F.log2(share)).otherwise(acc["sum"]).alias("sum"), place.alias("place"), F.when(last, place).otherwise(acc["begin"]).alias("begin"))
+
+    return F.aggregate(chars, start, step, lambda acc: acc["sum"])
 
 
 #: Look-alike groups folded first, then single characters.

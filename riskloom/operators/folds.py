@@ -33,8 +33,9 @@ def fold(events: DataFrame, key: str, order: list[str], outputs: dict[str, str],
     return rows.mapInArrow(run, types)
 
 
-def first_hit_window(events: DataFrame, key: str, second: str, seconds: int, limit: int) -> DataFrame:
-    """Counter of a window that begins with its first hit: count, allowed, retry_after (seconds; 0 if allowed)."""
+def first_hit(second: str, seconds: int, limit: int) -> tuple[dict, Callable, Callable]:
+    """(outputs, start, step) of a counter whose window begins with its first hit: count, allowed, retry_after (seconds; 0 if
+    allowed)."""
     def step(s: dict, row: dict):
         t = row[second]
         if t >= s["end"]:
@@ -43,11 +44,16 @@ def first_hit_window(events: DataFrame, key: str, second: str, seconds: int, lim
         ok = s["n"] <= limit
         return s["n"], ok, 0 if ok else s["end"] - t
 
-    return fold(events, key, [second, "event_id"], {"window_count": "long", "allowed": "boolean", "retry_after": "long"}, lambda: {"end": -(1 << 62), "n": 0}, step)
+    return {"window_count": "long", "allowed": "boolean", "retry_after": "long"}, lambda: {"end": -(1 << 62), "n": 0}, step
 
 
-def capped_sessions(events: DataFrame, key: str, second: str, idle: int, absolute: int) -> DataFrame:
-    """Session number of each event: a session ends after an idle gap, and at its absolute age however busy it is."""
+def first_hit_window(events: DataFrame, key: str, second: str, seconds: int, limit: int) -> DataFrame:
+    return fold(events, key, [second, "event_id"], *first_hit(second, seconds, limit))
+
+
+def sessions(second: str, idle: int, absolute: int) -> tuple[dict, Callable, Callable]:
+    """(outputs, start, step) of the session number of each event: a session ends after an idle gap, and at its absolute age
+    however busy it is."""
     def step(s: dict, row: dict):
         t = row[second]
         if s["begin"] is None or t - s["last"] >= idle or t - s["begin"] >= absolute:
@@ -55,11 +61,15 @@ def capped_sessions(events: DataFrame, key: str, second: str, idle: int, absolut
         s["last"] = t
         return (s["n"],)
 
-    return fold(events, key, [second, "event_id"], {"session": "long"}, lambda: {"begin": None, "last": 0, "n": 0}, step)
+    return {"session": "long"}, lambda: {"begin": None, "last": 0, "n": 0}, step
 
 
-def quota_receipts(requests: DataFrame, key: str, second: str, op: str, request: str, budget: int, keep: int = 86_400) -> DataFrame:
-    """reserve, finish and release against a daily budget. A request id seen within ``keep`` seconds gives its old answer
+def capped_sessions(events: DataFrame, key: str, second: str, idle: int, absolute: int) -> DataFrame:
+    return fold(events, key, [second, "event_id"], *sessions(second, idle, absolute))
+
+
+def quota(second: str, op: str, request: str, budget: int, keep: int = 86_400) -> tuple[dict, Callable, Callable]:
+    """(outputs, start, step) of reserve, finish and release against a daily budget. A request id seen within ``keep`` seconds gives its old answer
     again and uses nothing; release returns what a reservation took, finish keeps it. result: granted, refused, repeated,
     released, finished or unknown; remaining: of the day's budget."""
     def step(s: dict, row: dict):
@@ -89,7 +99,11 @@ def quota_receipts(requests: DataFrame, key: str, second: str, op: str, request:
             result = "unknown"
         return result, budget - s["used"]
 
-    return fold(requests, key, [second, "event_id"], {"result": "string", "remaining": "long"}, lambda: {"day": None, "used": 0, "seen": {}, "old": deque()}, step)
+    return {"result": "string", "remaining": "long"}, lambda: {"day": None, "used": 0, "seen": {}, "old": deque()}, step
+
+
+def quota_receipts(requests: DataFrame, key: str, second: str, op: str, request: str, budget: int, keep: int = 86_400) -> DataFrame:
+    return fold(requests, key, [second, "event_id"], *quota(second, op, request, budget, keep))
 
 
 def versioned_updates(changes: DataFrame, key: str, expected: str) -> DataFrame:

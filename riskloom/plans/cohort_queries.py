@@ -11,7 +11,10 @@ from riskloom.operators import folds
 from riskloom.plans.eval_queries import CAPS_SQL, MARKS_SQL, OUTCOMES_SQL, outcomes
 from riskloom.plans.text_queries import template_sql
 from riskloom.plans.state_queries import ORDERED_SQL
+from riskloom.plans.folders import shared_folder
 from riskloom.sources.tables import events, table, union_corpora
+from riskloom.streaming import history as hs
+from riskloom.streaming import limits
 
 QUERIES, SQL = {}, {}
 
@@ -116,9 +119,37 @@ f AS (SELECT user_id, event_id, op, i, t // 86400 AS day, CAST(CASE WHEN op = 'r
 SELECT user_id, event_id, op, result, 2 - used AS remaining FROM f""")
 def quota_receipts(spark, sf_dir):
     """Events as requests: every third finishes, every seventh releases, the others reserve; ids repeat in pairs."""
+    return folds.quota_receipts(requests_of(timed(spark, sf_dir)), "user_id", "t", "op", "request", 2).select("user_id", "event_id", "op", "result", "remaining")
+
+
+def requests_of(rows):
     op = F.when(F.col("event_id") % 7 == 0, "release").when(F.col("event_id") % 3 == 0, "finish").otherwise("reserve")
-    rows = timed(spark, sf_dir).withColumns({"op": op, "request": F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 400))})
-    return folds.quota_receipts(rows, "user_id", "t", "op", "request", 2).select("user_id", "event_id", "op", "result", "remaining")
+    return rows.withColumns({"op": op, "request": F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 400))})
+
+
+def timed_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return hs.event_stream(spark, f"{sf_dir}/events.parquet*", schema).select("user_id", "event_id", "event_type", "ts", F.col("ts").cast("long").alias("t"))
+
+
+@query(SQL["rate_limit_first_hit"])
+def rate_limit_stream(spark, sf_dir):
+    """The window counter as a stream whose state lives a day: equal to the fold."""
+    rows = limits.fold_stream(timed_stream(spark, sf_dir), "user_id", ["t", "event_id"], *folds.first_hit("t", 3600, 2), 86_400)
+    return limits.run_append(rows, spark, shared_folder(spark)).select("user_id", "event_id", "window_count", "allowed", "retry_after")
+
+
+@query(SQL["sessions_absolute"])
+def sessions_stream(spark, sf_dir):
+    rows = limits.fold_stream(timed_stream(spark, sf_dir), "user_id", ["t", "event_id"], *folds.sessions("t", 1800, 8 * 3600), 86_400)
+    return limits.run_append(rows, spark, shared_folder(spark)).groupBy("user_id").agg(F.max("session").alias("sessions"), F.count(F.lit(1)).alias("events"))
+
+
+@query(SQL["quota_receipts"])
+def quota_stream(spark, sf_dir):
+    rows = requests_of(timed_stream(spark, sf_dir))
+    out = limits.fold_stream(rows, "user_id", ["t", "event_id"], *folds.quota("t", "op", "request", 2), 2 * 86_400)
+    return limits.run_append(out, spark, shared_folder(spark)).select("user_id", "event_id", "op", "result", "remaining")
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_id, event_id % 3 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),

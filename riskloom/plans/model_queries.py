@@ -79,17 +79,34 @@ def html_link_mismatch(spark, sf_dir):
     return rows.withColumn("mismatch", (F.col("shown_host") != "") & F.col("target_host").isNotNull() & ~N.aligned(F.col("shown_host"), F.col("target_host")))
 
 
-#: Brands of the query: names that the pages' hosts and labels do hold.
-BRANDS = {"tionsh": ("tionsh.example.net",), "tionble": ("tionble.example.com",)}
-
-
-@query()
+#: Links of every kind, with what is found in each; the query's truth is made by hand, not by the rules.
+LINKS = (
+    ("", "https://tionsh.example.net/a", ()), ("pay.example.com", "https://evil.example.net/x", ("display_mismatch",)), ("", "hxxp://x.example/", ("obfuscated_scheme",)), ("", "javascript:alert(1)", ("unsafe_scheme",)),
+    ("", "data:text/html,hi", ("unsafe_scheme",)), ("", "https://u:p@h.example/", ("url_userinfo",)), ("", "http://10.1.2.3/a", ("ip_host",)), ("", "http://3232235777/", ("ip_host",)), ("", "https://bad host/", ("malformed_target",)),
+    ("", "https://acrne.example/", ("brand_lookalike",)), ("", "https://acme-help.vercel.app", ("dev_hosting", "brand_on_free_host")), ("", "https://shop.acme.example/", ()), ("", "https://ipfs.io/ipfs/QmYwAPJzv5CZsnA625s3Xf2nemtYgPpHdW", ("ipfs_gateway",)),
+    ("", "https://secure-login.example.org/", ("sensitive_host",)), ("", "https://steal-password.example.org/", ("credential_collection_host",)), ("acme.example", "https://www.acme.example/", ()), ("Click", "mailto:a@b.example", ()), ("x", None, ()),
+    ("", "https://blog.blogspot.com/", ()), ("", "https://acme.blogspot.com/", ("brand_on_free_host",)),
+)
+BRANDS = {"acme": ("acme.example",)}
+
+
+def _links_sql() -> str:
+    shown = ", ".join(f"({i}, {sorted(codes) if codes else 'CAST([] AS VARCHAR[])'})" for i, (_, _, codes) in enumerate(LINKS))
+    points = " ".join(f"WHEN '{k}' THEN {p}" for k, (p, _) in K.FINDINGS.items())
+    high, medium = ([k for k, (_, f) in K.FINDINGS.items() if f == level] for level in ("high", "medium"))
+    return f"""WITH l AS (SELECT * FROM (VALUES {shown}) t(i, codes)), r AS (SELECT page_id, unnest([page_id % {len(LINKS)}, (page_id * 7 + 3) % {len(LINKS)}]) AS i FROM pages),
+c AS (SELECT page_id, list_sort(list(DISTINCT code)) AS codes FROM (SELECT page_id, unnest(codes) AS code FROM r JOIN l USING (i)) GROUP BY 1)
+SELECT page_id, CAST(list_sum(list_transform(codes, lambda k: CASE k {points} END)) AS BIGINT) AS points, CASE WHEN list_has_any(codes, {high}) THEN 'high' WHEN list_has_any(codes, {medium}) THEN 'medium' ELSE 'safe' END AS floor, codes FROM c"""
+
+
+@query(_links_sql())
 def link_findings(spark, sf_dir):
-    """Findings of every page's own address and links, with points and floor of each page."""
-    pages = table(spark, sf_dir, "pages")
-    inner = H.visible(pages, id_col="page_id", html_col="html").select("page_id", F.explode("links").alias("l")).select("page_id", "l.label", "l.destination")
-    own = pages.select("page_id", F.lit("").alias("label"), F.col("url").alias("destination"))
-    found = K.evidence(K.findings(inner.unionByName(own), BRANDS), "page_id")
+    """Two links of every kind dealt to each page: findings, points and floor of each page."""
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    links = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(d).cast("string").alias("destination")) for label, d, _ in LINKS])
+    pick = lambda k: F.element_at(links, (k % len(LINKS) + 1).cast("int"))
+    rows = pages.select("page_id", F.explode(F.array(pick(F.col("page_id")), pick(F.col("page_id") * 7 + 3))).alias("l")).select("page_id", "l.label", "l.destination")
+    found = K.evidence(K.findings(rows, BRANDS), "page_id")
     return R.merge_evidence(found, "page_id").join(found.groupBy("page_id").agg(F.array_sort(F.collect_set("code")).alias("codes")), "page_id")
 
 
