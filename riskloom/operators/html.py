@@ -223,3 +223,26 @@ def pixels(length: str) -> float | None:
 def image_dominant(remote_images, visible) -> "F.Column":
     """A message that is a picture: a remote image and fewer than 80 visible characters."""
     return (F.coalesce(remote_images, F.lit(0)) > 0) & (F.length(F.regexp_replace(F.coalesce(visible, F.lit("")), "[ \\t\\r\\n]", "")) < 80)
+
+
+@F.udtf(returnType="label string, destination string")
+class ExtractLinks:
+    """Links of a page as a table function: SELECT * FROM pages, LATERAL extract_links(html)."""
+
+    def eval(self, html: str):
+        for link in read(html)["links"]:
+            yield link["label"], link["destination"]
+
+
+def register(spark) -> None:
+    """Makes extract_links known to SQL."""
+    spark.udtf.register("extract_links", ExtractLinks)
+
+
+def model_views(plain, visible, subject, most: int = 16):
+    """What a model reads of a message: the subject with each of its bodies, blank ones left out, each once, at most so many;
+    a message without bodies is its subject alone."""
+    head = F.coalesce(subject, F.lit(""))
+    bodies = F.filter(F.concat(F.coalesce(plain, F.array().cast("array<string>")), F.coalesce(visible, F.array().cast("array<string>"))), lambda b: F.trim(F.coalesce(b, F.lit(""))) != "")
+    views = F.transform(F.array_distinct(F.transform(bodies, lambda b: F.trim(b))), lambda b: F.regexp_replace(F.concat(head, F.lit("\n\n"), b), r"^\s+", ""))
+    return F.slice(F.when(F.size(views) > 0, views).otherwise(F.array(F.trim(head))), 1, most)

@@ -135,6 +135,49 @@ def test_sources(spark, tmp_path):
     assert sorted(r.source_rank for r in both.collect()) == [0, 0, 1]
 
 
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "j.csv").write_text('email_content,label,url,id\n"{""subject"":""S"",""body"":""B""}",1,http://a,1\n"{""body"":""C""}",0,,2\nbad,1,,3\n')
+    rows = tables.csv_json(spark, str(tmp_path / "j.csv"), source="s").collect()
+    assert sorted((r.text, r.label) for r in rows) == [("C", 0), ("S\n\nB", 1)] and len({r.group for r in rows}) == 2
+    (tmp_path / "d.csv").write_text("text;label;date\na;1;2023-05-01\nb;0;2024-05-01\nc;1;2025-05-01\nd;0;\n")
+    assert {r.text: r.role for r in tables.csv_dated(spark, str(tmp_path / "d.csv"), source="s", validation_from="2024-01-01", holdout_from="2025-01-01").collect()} == {"a": "train", "b": "validation", "c": "holdout", "d": "train"}
+    (tmp_path / "s.jsonl").write_text('{"label":"scam","region":"us","sender":"1","text":"x"}\n{"label":"odd","region":"us","text":"x"}\n{"label":"scam","region":"xx","text":"x"}\n{"label":"scam","region":"cn","text":""}\nno\n')
+    good, bad = tables.sms_jsonl(spark, str(tmp_path / "s.jsonl"))
+    assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["malformed", "text length", "unknown label", "unknown region"]
+    private = tables.private_jsonl(spark, str(tmp_path / "s.jsonl"), "label string, text string", with_digest=True).collect()
+    assert len(private) == 5 and all(len(r.line_sha256) == 64 for r in private)
+    records = spark.createDataFrame([("1", None, "manual"), ("2", None, "other"), ("3", "1", "made"), ("4", "2", "made")], "id string, seed string, source string")
+    seeds, variants = tables.seeds_and_variants(records, id_col="id", seed_col="seed", source_col="source", manual="manual")
+    assert [r.id for r in seeds.collect()] == ["1"] and [r.id for r in variants.collect()] == ["3"]
+    (tmp_path / "b.json").write_text('[{"name":"Acme","aliases":["AC"],"domains":["Acme.example"],"sites":["shop.acme.example"],"region":"cn","senders":["95588"]}]')
+    views = {k: [tuple(r) for r in v.collect()] for k, v in tables.brands(spark, str(tmp_path / "b.json")).items()}
+    assert views == {"domains": [("acme", "acme.example")], "names": [("acme",)], "aliases": [("acme", "ac")], "site_labels": [("acme", "shop")], "regions": [("acme", "cn")], "senders": [("acme", "95588")]}
+    (tmp_path / "i.json").write_text('{"tor_exits":{"addresses":["1.2.3.4","x"]},"spamhaus_drop":{"networks":[["10.0.1.7/24","SBL1"],["bad","SBL2"]]}}')
+    single, ranges = tables.ip_lists(spark, str(tmp_path / "i.json"))
+    assert [tuple(r) for r in single.collect()] == [("1.2.3.4", 16909060)] and [tuple(r) for r in ranges.collect()] == [(167772416, 167772671, "SBL1")]
+    made = tables.tabular(spark, None, ["a", "b", "c", "d"], rows=500)
+    assert made.count() == 500 and {r.a for r in made.collect()} == {-1, 0, 1} and made.agg({"label": "sum"}).first()[0] > 50
+    (tmp_path / "t.csv").write_text("a,b,result\n1,x,-1\n-1,0,1\n")
+    assert sorted(tuple(r) for r in tables.tabular(spark, str(tmp_path / "t.csv"), ["a", "b"]).collect()) == [(-1, 0, 1), (1, 0, 0)]
+    for i, text in enumerate(("m", "m", "n" * 50)):
+        (tmp_path / "mail").mkdir(exist_ok=True)
+        (tmp_path / "mail" / f"{i}.eml").write_text(text)
+    rows, counts = tables.routed(tables.raw_mail(spark, str(tmp_path / "mail"), max_bytes=10))
+    assert {r.reason: r.n for r in counts.collect()} == {"kept": 1, "repeated": 1, "oversized": 1} and rows.count() == 3
+    (tmp_path / "l.csv").write_text("t,k\nhello,Safe\nbye,Bad\n")
+    both = tables.catalogue(spark, {"one": {"reader": "csv_labelled", "path": str(tmp_path / "l.csv"), "text_col": "t", "label_col": "k", "positive": "Bad", "negative": "Safe"}})
+    assert sorted((r.source, r.text, r.label) for r in both.collect()) == [("one", "bye", 1), ("one", "hello", 0)]
+
+
+def test_links_as_a_table_function_and_model_views(spark):
+    H.register(spark)
+    spark.createDataFrame([(1, '<a href="http://a.example/">x <b>y</b></a>'), (2, "")], "id int, html string").createOrReplaceTempView("pages_of_links")
+    assert [tuple(r) for r in spark.sql("SELECT id, l.label, l.destination FROM pages_of_links, LATERAL extract_links(html) l").collect()] == [(1, "x y", "http://a.example/")]
+    df = spark.createDataFrame([("S", ["a", " a ", ""], ["v"]), ("only", None, None)], "s string, p array<string>, v array<string>")
+    assert [r[0] for r in df.select(H.model_views(F.col("p"), F.col("v"), F.col("s"))).collect()] == [["S\n\na", "S\n\nv"], ["only"]]
+    assert [r[0] for r in spark.createDataFrame([(1, "short"), (1, "x" * 90), (0, "")], "n int, t string").select(H.image_dominant(F.col("n"), F.col("t"))).collect()] == [True, False, False]
+
+
 def test_conjunction_rules(spark):
     from riskloom.operators import conjunctions as C
 
