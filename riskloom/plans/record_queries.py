@@ -331,7 +331,7 @@ def nested_merge(spark, sf_dir):
 
 @query(f"""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE {LEVEL_SQL} END AS level, o_totalprice / 500000 AS score, ['safe', 'low', 'medium', 'high', 'critical', NULL][CAST(o_orderkey % 6 AS INTEGER) + 1] AS seen, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE (o_orderkey % 10) / CAST(10 AS DOUBLE) END AS seen_score FROM orders),
 r AS (SELECT *, list_position(['safe', 'low', 'medium', 'high', 'critical'], coalesce(seen, 'safe')) > coalesce(list_position(['safe', 'low', 'medium', 'high', 'critical'], level), 0) AS up FROM s)
-SELECT o_orderkey, CASE WHEN level = 'unknown' AND seen IN ('safe', 'low') THEN 'unknown' WHEN up THEN seen ELSE level END AS level, round(greatest(score, coalesce(seen_score, 0)), 6) AS score FROM r""")
+SELECT o_orderkey, CASE WHEN level = 'unknown' AND seen IN ('safe', 'low') THEN 'unknown' WHEN up THEN seen ELSE level END AS level, round(greatest(score, coalesce(seen_score, 0)), 9) AS score FROM r""")
 def visual_merge(spark, sf_dir):
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(
@@ -339,4 +339,4 @@ def visual_merge(spark, sf_dir):
         dealt((*R.LEVELS, None), k).alias("seen"), F.when(k % 6 != 5, (k % 10) / F.lit(10.0)).alias("seen_score"),
     )
     out = E.merge_visual(F.col("l"), F.col("s"), F.col("seen"), F.col("seen_score"))
-    return rows.select("o_orderkey", out["level"].alias("level"), F.round(out["score"], 6).alias("score"))
+    return rows.select("o_orderkey", out["level"].alias("level"), F.round(out["score"], 9).alias("score"))
