@@ -141,3 +141,65 @@ def features(df: DataFrame, address_col: str = "address", registries: Registries
 def contribution(band: Column, score: Column) -> Column:
     """Points that a sender adds to its message."""
     return F.when(band == "critical", 6).when(band == "high", 5).when(band == "medium", 3).when(score > 0, 1).otherwise(0)
+
+
+def features_sql(source: str, address: str = "address", registries: Registries | None = None) -> str:
+    """DuckDB: the rows of a table with the same features; written side by side, feature by feature."""
+    r = registries or Registries()
+    words = lambda ws: "CAST([" + ", ".join(f"'{w}'" for w in ws) + "] AS VARCHAR[])"
+    below = lambda ws: f"len(list_filter({words(ws)}, lambda e: ends_with('.' || dom, '.' || e))) > 0"
+    tri = lambda bad, mid="false": f"CASE WHEN {bad} THEN -1 WHEN {mid} THEN 0 ELSE 1 END"
+    holds = lambda text, ws: f"len(list_filter({words(ws)}, lambda k: contains({text}, k))) > 0"
+    official = lambda b: f"base IN ('{b}.com', '{b}.net', '{b}.org')"
+    fold = "lab"
+    for group, letter in T.FOLD_GROUPS:
+        fold = f"replace({fold}, '{group}', '{letter}')"
+    fold = f"translate({fold}, '{T.FOLD_FROM}', '{T.FOLD_TO}')"
+    undotted = "replace(dom, '.', '')"
+    syntax = "^[a-z0-9.!#$%&''*+/=?^_`{|}~-]+@(?:[\\p{L}\\p{N}](?:[\\p{L}\\p{N}-]*[\\p{L}\\p{N}])?\\.)+[\\p{L}\\p{N}-]{2,}$"
+    any_of = lambda f: "(" + " OR ".join(f(b) for b in r.brands) + ")"
+    entropy = "coalesce((SELECT -sum(k / n * log2(k / n)) FROM (SELECT CAST(count(*) AS DOUBLE) AS k, CAST(length(loc) AS DOUBLE) AS n FROM (SELECT unnest(str_split(loc, '')) AS ch) WHERE ch <> '' GROUP BY ch)), 0)"
+    alpha = "regexp_replace(loc, '[^\\p{L}]', '', 'g')"
+    parts = "list_filter(str_split_regex(loc, '[._-]'), lambda w: regexp_matches(w, '^\\p{L}{3,}$'))"
+    signs = [
+        "ent > 3.0", f"length(regexp_replace({alpha}, '[^aeiou]', '', 'g')) <= 0.30 * greatest(length({alpha}), 1)", "(length(regexp_replace(loc, '[^0-9]', '', 'g')) >= 2 AND regexp_matches(loc, '[a-z][0-9][a-z]|[0-9][a-z][0-9]'))",
+        "len(list_distinct(list_filter(str_split(loc, ''), lambda c: c <> ''))) >= 0.75 * greatest(length(loc), 1)", f"NOT ({holds(alpha, r.words)})", f"(len({parts}) >= 2 AND NOT list_has_any({parts}, {words((*r.names, *r.words))}))",
+    ]
+    count = " + ".join(f"CASE WHEN {x} THEN 1 ELSE 0 END" for x in signs)
+    named = f"(SELECT count(*) FROM (SELECT unnest(str_split_regex(loc, '[._-]')) AS w) WHERE w IN ({', '.join(repr(n) for n in r.names)})) = 2 AND len(str_split_regex(loc, '[._-]')) = 2"
+    cols = {
+        "having_ip_address": tri("ip"), "url_length": tri("length(scoring) > 50", "length(scoring) > 30"), "shortining_service": tri(f"base IN {SHORTENERS}"), "having_at_symbol": tri("ats > 1"), "double_slash_redirecting": tri("contains(dom, '//')"),
+        "prefix_suffix": tri("contains(base, '-')"), "having_sub_domain": tri("NOT relay AND subs > 1", "NOT relay AND subs = 1"), "https_token": tri("contains(scoring, 'http')"), "sslfinal_state": tri("NOT (provider OR throwaway OR relay OR tld IN ('edu', 'gov'))"),
+        "domain_registration_length": tri(f"NOT (tld IN {COMMON_TLDS} OR relay)"), "age_of_domain": tri("length(lab) > 20", "length(lab) > 12"), "dnsrecord": tri("regexp_matches(lab, '[0-9]') AND NOT relay"), "web_traffic": tri("NOT (traffic OR relay)"),
+        "page_rank": tri(f"NOT relay AND {holds(undotted, r.keywords)}"), "google_index": tri(f"loc NOT IN {ROUTINE} AND {holds('loc', r.keywords)}"), "statistical_report": tri(f"tld IN {SPAM_TLDS}"),
+        "request_url": tri("NOT regexp_matches(loc, '^[a-z0-9.!#$%&''*+/=?^_`{|}~-]*$')"), "url_of_anchor": tri("length(loc) > 30", "length(loc) > 15"), "links_in_tags": tri("NOT relay AND (named OR imitated)"), "sfh": tri("false", "regexp_matches(loc, 'noreply|no-reply|donotreply')"),
+        "abnormal_url": tri("(regexp_matches(lab, '[a-z][0-9]|[0-9][a-z]') AND NOT relay) OR (NOT relay AND any_folded)"), "redirect": "1", "on_mouseover": tri(f"tld IN {ABUSED_CCTLDS}"), "popupwindow": tri("len(regexp_extract_all(lab, '[a-z]+')) > 3"),
+    }
+    so_far = " + ".join(f"CASE WHEN {c} = -1 THEN 1 ELSE 0 END" for c in cols)
+    bad = lambda c: f"coalesce({c} = -1, false)"
+    high = [*map(bad, ("having_ip_address", "shortining_service", "having_at_symbol", "double_slash_redirecting", "page_rank", "google_index", "statistical_report")), "(NOT relay AND imitated AND NOT named)", "(NOT relay AND any_folded AND NOT (regexp_matches(lab, '[a-z][0-9]|[0-9][a-z]') AND NOT relay))", bad("links_pointing_to_page")]
+    medium = [*map(bad, ("url_length", "having_sub_domain", "https_token", "sslfinal_state")), f"({bad('domain_registration_length')} AND tld <> '')", bad("request_url"), bad("on_mouseover"), "random_username"]
+    low = [*map(bad, ("prefix_suffix", "age_of_domain", "dnsrecord", "url_of_anchor"))]
+    total = lambda cs: " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in cs)
+    digits = "length(regexp_replace(loc, '[^0-9]', '', 'g'))"
+    most = "coalesce(list_max(list_transform(list_distinct(str_split(loc, '')), lambda c: len(list_filter(str_split(loc, ''), lambda d: d = c)))), 0)"
+    return f"""a0 AS (SELECT *, lower(trim({address})) AS raw FROM {source}),
+a1 AS (SELECT *, lower(str_split(raw, '@')[-1]) AS dom, CASE WHEN contains(raw, '@') THEN lower(str_split(raw, '@')[1]) ELSE raw END AS pl, length(raw) - length(replace(raw, '@', '')) AS ats FROM a0),
+a2 AS (SELECT *, CASE WHEN dom IN {N.DOT_ALIAS_DOMAINS} THEN replace(str_split(pl, '+')[1], '.', '') ELSE str_split(pl, '+')[1] END AS loc, str_split(dom, '.') AS labs, regexp_matches(dom, '^[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}$') AS ip FROM a1),
+a3 AS (SELECT *, CASE WHEN len(labs) >= 2 AND NOT ip THEN labs[-2] || '.' || labs[-1] ELSE dom END AS base, CASE WHEN len(labs) >= 2 AND NOT ip THEN labs[-2] ELSE dom END AS lab, CASE WHEN len(labs) >= 2 AND NOT ip THEN labs[-1] ELSE '' END AS tld,
+  CASE WHEN ip THEN 0 ELSE greatest(len(labs) - 2, 0) END AS subs, CASE WHEN ats = 1 THEN loc || '@' || dom ELSE raw END AS scoring, {below(r.relays)} AS relay, {below(r.providers)} AS provider, {below(r.high_traffic)} AS traffic, {below(r.disposable)} AS throwaway, {entropy} AS ent FROM a2),
+a4 AS (SELECT *, {any_of(lambda b: f"(contains(lab, '{b}') AND NOT {official(b)})")} AS named, {any_of(lambda b: f"({fold} <> lab AND contains({fold}, '{b}') AND NOT {official(b)})")} AS imitated, ({fold} <> lab AND {any_of(lambda b: f"contains({fold}, '{b}')")}) AS any_folded FROM a3),
+a5 AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in cols.items())}, {tri(f"NOT regexp_matches(raw, '{syntax}')")} AS links_pointing_to_page,
+  regexp_matches(loc, '^[a-z0-9._-]{{8,25}}$') AND NOT (base IN ('qq.com', 'foxmail.com') AND regexp_matches(loc, '^[0-9]{{5,11}}$')) AND NOT ({named}) AND ({count}) >= CASE WHEN provider OR traffic THEN 4 ELSE 2 END AS random_username FROM a4),
+a6 AS (SELECT *, {tri(f'({so_far}) > 8', f'({so_far}) > 4')} AS iframe, {tri(f'random_username AND {digits} > 0.4 * greatest(length(loc), 1)')} AS favicon, {tri('random_username AND ent > 3.0')} AS port,
+  {tri(f'random_username AND {most} > 0.5 * greatest(length(loc), 1) AND length(loc) > 3')} AS submitting_to_email, {tri("random_username AND regexp_matches(loc, '^[a-z]{2,5}[0-9]{4,12}$')")} AS rightclick FROM a5),
+a7 AS (SELECT *, {total(high)} AS n_high, {total(medium)} AS n_medium, {total(low)} AS n_low FROM a6),
+scored AS (SELECT *, CASE WHEN NOT relay AND imitated AND NOT named THEN greatest(least(100, 28 * n_high + 10 * n_medium + 3 * n_low), 60) ELSE least(100, 28 * n_high + 10 * n_medium + 3 * n_low) END AS score FROM a7)"""
+
+
+#: The features and what follows from them, in the order of the operator's columns.
+NAMES = (
+    "having_ip_address", "url_length", "shortining_service", "having_at_symbol", "double_slash_redirecting", "prefix_suffix", "having_sub_domain", "https_token", "sslfinal_state", "domain_registration_length", "age_of_domain", "dnsrecord",
+    "web_traffic", "page_rank", "google_index", "statistical_report", "request_url", "url_of_anchor", "links_in_tags", "sfh", "abnormal_url", "redirect", "on_mouseover", "popupwindow", "links_pointing_to_page", "iframe", "favicon", "port",
+    "submitting_to_email", "rightclick", "n_high", "n_medium", "n_low", "score", "random_username",
+)

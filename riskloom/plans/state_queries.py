@@ -154,9 +154,19 @@ def entropy_usernames(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(T.entropy(F.col("c_name")), 6).alias("entropy"))
 
 
-@query()
+#: Addresses of every kind beside those of the documents, dealt to the customers by number.
+ADDRESSES = (
+    "jane.doe@gmail.com", "x9k2j4qz8w@secure-login.tk", "a@1.2.3.4", "info@paypa1.com", "help@paypal.com", "no at", "12345678@qq.com", "a.b+c@googlemail.com", "verify@bank-account.xyz", "two@at@x.com", "noreply@mail.shop.example.org", "ab12345@outlook.com",
+    "updates@news.example.edu", "very.long.local.part.of.an.address@a-rather-long-domain-name.example", "o'neil@example.com", "xkcdqwrtz@example.net", "billing@micr0soft.ru", "a@bit.ly", "aaaaaaaaa1@example.org", "q7w8e9r0@yahoo.com",
+)
+
+
+@query(f"""WITH every AS (SELECT c_custkey AS id, ([{', '.join("'" + x.replace("'", "''") + "'" for x in ADDRESSES)}])[CAST(c_custkey % {len(ADDRESSES)} AS INTEGER) + 1] AS address FROM customer UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) FROM documents),
+{sender.features_sql('every')} SELECT id, address, {', '.join(sender.NAMES)}, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS band FROM scored""")
 def sender_score(spark, sf_dir):
-    return sender.features(addresses(spark, sf_dir))
+    dealt = F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.col("c_custkey") % len(ADDRESSES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), dealt.alias("address"))
+    return sender.features(rows.unionByName(addresses(spark, sf_dir).withColumnRenamed("doc_id", "id")))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT min(l_suppkey) OVER (PARTITION BY l_orderkey) AS a, l_suppkey AS b FROM lineitem), x AS (SELECT * FROM e WHERE a <> b), u AS (SELECT a, b FROM x UNION SELECT b, a FROM x),

@@ -97,7 +97,7 @@ WHERE (lo = hi OR lo IS NULL) AND lpad(substr(source, 4), 4, '0') || ':' || lpad
 def dedup_across_sources(spark, sf_dir):
     key = F.concat(F.lpad(F.substring("source", 4, 10), 4, "0"), F.lit(":"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
     rows = labelled_families(spark, sf_dir).select("doc_id", "source", "family", "label").withColumn("place", key)
-    return fam.dedup_rows(rows, label_col="label", order_col="place").select("doc_id", "source", "family", "label")
+    return fam.dedup_keys(rows, label_col="label", order=["place"]).select("doc_id", "source", "family", "label")
 
 
 @query(f"""SELECT doc_id, {family_id_sql('text')} AS family FROM documents
