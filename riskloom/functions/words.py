@@ -74,6 +74,25 @@ def held(text: Column, words: tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.when(F.contains(text, F.lit(needle(w))), F.lit(w)) for w in words]), lambda x: x.isNotNull())
 
 
+def first_words(text: Column, words: tuple[str, ...]) -> Column:
+    """The first words of the Latin words and phrases that a plain text holds: one pass over its words by hash."""
+    firsts = sorted({w.split(" ")[0] for w in words if not is_han(w)})
+    return F.array_intersect(F.split(text, " "), F.array(*map(F.lit, firsts)))
+
+
+def held_after(text: Column, firsts: Column, words: tuple[str, ...]) -> Column:
+    """The same as held, for many words: only words and phrases whose first word the text holds are searched for, and Han words
+    only in texts that have such characters. firsts as first_words gives it."""
+    latin, han = (tuple((i, w) for i, w in enumerate(words) if is_han(w) == k) for k in (False, True))
+    entry = lambda i, w: F.struct(F.lit(i).alias("place"), F.lit(w.split(" ")[0]).alias("first"), F.lit(needle(w)).alias("needle"), F.lit(w).alias("word"))
+    found = F.array().cast("array<struct<place:int,first:string,needle:string,word:string>>")
+    if latin:
+        found = F.concat(found, F.filter(F.array(*[entry(*x) for x in latin]), lambda e: F.array_contains(firsts, e["first"]) & F.contains(text, e["needle"])))
+    if han:
+        found = F.concat(found, F.when(text.rlike(HAN), F.filter(F.array(*[entry(*x) for x in han]), lambda e: F.contains(text, e["needle"]))).otherwise(F.filter(F.array(entry(*han[0])), lambda e: F.lit(False))))
+    return F.transform(F.array_sort(found), lambda e: e["word"])
+
+
 def held_sql(text: str, words: tuple[str, ...]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN contains({text}, '{needle(w)}') THEN '{w}' END" for w in words) + "], lambda x: x IS NOT NULL)"
 

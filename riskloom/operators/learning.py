@@ -6,7 +6,7 @@ import json
 import uuid
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -122,11 +122,17 @@ def balanced(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def fit_text_model(train: DataFrame, *, features: list | None = None, c: float = 4.0):
-    """A pipeline from text to probability. The features are computed once, written to the shared folder, and read from there
-    by every round of the solver; train needs label, and text for the features."""
-    rows = balanced(train)
-    made = Pipeline(stages=features or text_features()).fit(rows)
+    """A pipeline from text to probability. The terms are written to the shared folder before the vocabulary is learned, and
+    the features before the solver begins, so that no pass computes them again; train needs label, and text for the
+    features."""
+    stages = list(features or text_features())
+    first = next((i for i, s in enumerate(stages) if isinstance(s, Estimator)), len(stages))
+    lead = PipelineModel(stages[:first])
+    rows = lead.transform(balanced(train))
+    rows = written(rows.select(*[c for c in rows.columns if c not in ("_w0", "_w1", "_w2")]))
+    made = Pipeline(stages=stages[first:]).fit(rows)
     held = written(made.transform(rows).select("features", "label", "weight"))
+    made = PipelineModel([*lead.stages, *made.stages])
     model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / (c * max(1, held.count())), standardization=False, maxIter=50).fit(held)
     return PipelineModel([*made.stages, model])
 

@@ -25,9 +25,11 @@ def keyword_table(spark, keywords: dict | None = None) -> DataFrame:
 def keyword_evidence(df: DataFrame, keywords: dict[str, tuple[str, tuple[str, ...]]], *, id_col: str, text_col: str, cap: int = 5) -> DataFrame:
     """One row for each category that matches: id, category, level, matched (keywords), points (at most cap).
 
-    A text is made plain once, and each keyword is one search for a substring in that copy; no join is made."""
+    A text is made plain once, its words meet the keywords' first words by hash, and only keywords that begin with a word of the
+    text are searched for in it; no join is made."""
     rows = W.once(df.select(F.col(id_col), F.col(text_col).alias("_text")), "_plain", W.plain(F.col("_text")))
-    found = [F.struct(F.lit(c).alias("category"), F.lit(level).alias("level"), W.held(F.col("_plain"), words).alias("matched")) for c, (level, words) in keywords.items()]
+    rows = W.once(rows, "_firsts", W.first_words(F.col("_plain"), tuple(w for _, words in keywords.values() for w in words)))
+    found = [F.struct(F.lit(c).alias("category"), F.lit(level).alias("level"), W.held_after(F.col("_plain"), F.col("_firsts"), words).alias("matched")) for c, (level, words) in keywords.items()]
     rows = rows.select(id_col, F.explode(F.array(*found)).alias("e")).where(F.size("e.matched") > 0)
     return rows.select(id_col, "e.category", "e.level", F.array_sort("e.matched").alias("matched"), F.least(F.size("e.matched"), F.lit(cap)).cast("long").alias("points"))
 

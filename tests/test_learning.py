@@ -67,7 +67,7 @@ def test_more_features_and_folds(spark, corpus, tmp_path):
     both = L.fit_text_model(corpus, features=L.union_features(min_df=1.0, max_df=1.0, vocabulary=300))
     rows = L.scores(both, corpus)
     assert ev.rank_metrics(rows, ev.threshold_table(rows)).first().roc_auc > 0.99 and len(L._vocabulary(both)) == len(both.stages[-1].coefficients)
-    fit = lambda d: L.fit_text_model(d, features=L.text_features(min_df=1.0, max_df=1.0, vocabulary=500))
+    fit = lambda d: L.fit_text_model(d, features=L.text_features(min_df=1.0, max_df=0.999, vocabulary=500))
     held = L.out_of_fold(corpus, 3, fit, "id")
     assert held.select("id").distinct().count() == corpus.count() == held.count()
     parts = L.conditions({"all": corpus.where("fold <> 0"), "half": corpus.where("fold = 1")}, corpus.where("fold = 0"), "group", fit).collect()
