@@ -131,5 +131,5 @@ def test_components_of_shared_keys_over_all_rows(spark):
 def test_campaign_components_of_all_rows(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect()]
-    got = {r.node: r.component for r in entry.queries()["campaign_components_all"](spark, sf).collect()}
+    got = {r.node: r.component for r in entry.queries()["campaign_components"](spark, sf).collect()}
     assert got == brute_components(rows)
