@@ -18,7 +18,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 #: Chunks in a generation of a worker's memory, and characters above which a chunk is encoded without being remembered.
-GENERATION, LONGEST = 340_000, 64
+GENERATION, LONGEST = 260_000, 64
 #: Punctuation that the tokenizer splits from ASCII letters before it (an apostrophe may join what follows it).
 TAIL = ".,;:!?*$%&#"
 

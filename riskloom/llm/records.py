@@ -90,7 +90,7 @@ def decode_payload(payload: bytes) -> tuple[int | None, bytes]:
     return None if flags & NO_ID else doc_id, ids if flags & WIDE else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_bytes: int = 64 << 20) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_bytes: int = 32 << 20) -> None:
     """Encodes every text and writes record files in ascending order of ids under path, of about file_bytes of text."""
     end = np.asarray([end_id], "<u4").tobytes()
 
