@@ -59,6 +59,18 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
+_sole: dict = {}
+
+
+def sole(key, make):
+    """What make() gives, kept in a worker process under the key. A worker that serves one stage after another keeps one such
+    memory at a time: that of another stage is dropped first."""
+    if key not in _sole:
+        _sole.clear()
+        _sole[key] = make()
+    return _sole[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

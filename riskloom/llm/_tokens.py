@@ -17,6 +17,8 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
+from riskloom.llm._common import sole
+
 #: Chunks in a generation of a worker's memory, and characters above which a chunk is encoded without being remembered.
 GENERATION, LONGEST = 260_000, 64
 #: Punctuation that the tokenizer splits from ASCII letters before it (an apostrophe may join what follows it).
@@ -34,14 +36,10 @@ def _byte_characters() -> list[str]:
     return [chr(b if b in printable else next(rest)) for b in range(256)]
 
 
-_encoders: dict[str, "ChunkEncoder"] = {}
-
 
 def encoder(path: str) -> "ChunkEncoder":
     """One encoder for each worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return sole(("tokens", path), lambda: ChunkEncoder(path))
 
 
 class _Generation(dict):

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm._common import sole
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest piece looked for, log-probability of a character outside the vocabulary, rounds of fitting.
 LONGEST_PIECE, UNKNOWN, ROUNDS = 16, -18.0, 4
@@ -42,7 +44,6 @@ SCHEMA = "doc_id long, lang_pred string, score double"
 _pieces: dict[str, dict[str, int]] = {}
 #: In a vocabulary's table, what only begins a piece.
 PREFIX = -1
-_scorers: dict[tuple, "Scorer"] = {}
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -289,10 +290,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, int], tokenizer
     key = (uuid.uuid4().hex, tokenizer_path)
 
     def scored(batches):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(held.value[0], held.value[1].astype(float), letters, tokenizer_path)
-        scorer = _scorers[key]
+        scorer = sole(key, lambda: Scorer(held.value[0], held.value[1].astype(float), letters, tokenizer_path))
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for a in range(0, batch.num_rows, together):

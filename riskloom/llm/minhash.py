@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm._common import Scratch, fingerprint128, marked
+from riskloom.llm._common import Scratch, fingerprint128, marked, sole
 from riskloom.llm._linking import link, overlapping
 
 #: Words remembered by a worker.
@@ -48,7 +48,6 @@ class WordHashes(dict):
         return found
 
 
-_words = WordHashes()
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Hashes of the shingles of k words, in order; of all words if they are fewer; none without words."""
     words = (text or "").lower().split()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(sole("words", WordHashes).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1) if len(h) else 0
     out = np.zeros(n, np.uint64)
     for i in range(min(k, len(h))):
