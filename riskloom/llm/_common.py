@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's setting of the bytes of an Arrow batch, its default, and what the operators here take instead.
+BATCHES, USUAL, FEWER = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of 2 MiB in this session, unless it has a size of its own. By the default 10,000 texts, 25 MB
+    and more, stand in the buffers of the JVM and of each worker at once."""
+    if str(spark.conf.get(BATCHES, str(USUAL))).rstrip("b") == str(USUAL):
+        spark.conf.set(BATCHES, str(FEWER))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor only costs the tasks it ran."""
 
@@ -31,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        bound_batches(spark)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -66,11 +81,23 @@ def sole(key, make):
     """What make() gives, kept in a worker process under the key. A worker that serves one stage after another keeps one such
     memory at a time: that of another stage is dropped first."""
     if key not in _sole:
-        _sole.clear()
+        release()
         _sole[key] = make()
     return _sole[key]
 
 
+def release() -> None:
+    """Drops what sole() keeps, and hands freed memory back to the system; for stages that keep nothing."""
+    if _sole:
+        _sole.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import _tokens
+from riskloom.llm._common import bound_batches, release
 
 HEAD, SUM, MASK = struct.Struct("<QI"), struct.Struct("<I"), 0xA282EAD8
 META = struct.Struct("<Bq")
 WIDE, NO_ID = 1, 2
 RECORDS = "path string, offset long, doc_id long, token_bytes binary"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 class CorruptRecord(ValueError):
@@ -53,7 +54,7 @@ def frame(payload: bytes) -> bytes:
     return size + SUM.pack(masked(size)) + payload + SUM.pack(masked(payload))
 
 
-def frames(data: bytes):
+def frames(data: bytes | memoryview):
     """(offset, payload) of every frame of a file; raises CorruptRecord at the first one that does not hold."""
     at, view = 0, memoryview(data)
     while at < len(data):
@@ -92,6 +93,7 @@ def decode_payload(payload: bytes) -> tuple[int | None, bytes]:
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_bytes: int = 32 << 20) -> None:
     """Encodes every text and writes record files in ascending order of ids under path, of about file_bytes of text."""
+    bound_batches(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encoded(batches):
@@ -124,10 +126,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record, checked: path of its file, offset, doc_id, token_bytes (unsigned 32-bit, little-endian)."""
 
     def parsed(batches):
+        release()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, held = [], 0
-                for at, payload in frames(content.as_py()):
+                for at, payload in frames(memoryview(content.as_buffer()).cast("B")):
                     rows.append((name, at, *decode_payload(payload)))
                     held += len(payload)
                     if held >= BATCH_BYTES:
@@ -173,9 +176,10 @@ def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int, p
     places = index.groupBy("path").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))  # as many as the file holds
 
     def picked(batches):
+        release()
         for batch in batches:
             for name, content, offsets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                view = memoryview(content.as_py())
+                view = memoryview(content.as_buffer()).cast("B")
                 rows, held = [], 0
                 for at in offsets:
                     payload = read_frame(view, at)

@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskloom.llm import _tokens, packing, records
+from riskloom.llm import _common, _tokens, packing, records
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"word{i} the, of; été" for i in range(9000))
@@ -136,3 +137,20 @@ def test_damage_is_found():
             list(records.frames(bytes(bad)))
     with pytest.raises(records.CorruptRecord):
         list(records.frames(bytes(data[:-1])))
+
+
+def test_texts_reach_workers_in_small_batches(spark, tmp_path):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    records.write(docs, f"{tmp_path}/r", PATH)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 3 << 20
+
+
+def test_memories_of_a_worker_are_dropped():
+    _common.sole("x", list)
+    _common.release()
+    assert not _common._sole
