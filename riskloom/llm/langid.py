@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm._common import sole
+from riskloom.llm._common import bound_batches, sole
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest piece looked for, log-probability of a character outside the vocabulary, rounds of fitting.
@@ -285,6 +285,7 @@ def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, may_le
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, int], tokenizer_path: str, *, text_col: str = "text", keep: dict | None = None, together: int = 256) -> DataFrame:
     """lang_pred and score for every row, beside the columns of keep (name: Column)."""
+    bound_batches(docs.sparkSession)
     langs, logp, letters = model
     held = docs.sparkSession.sparkContext.broadcast((langs, logp.astype(np.float32)))  # vocabulary × languages: bounded
     key = (uuid.uuid4().hex, tokenizer_path)

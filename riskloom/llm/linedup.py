@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm._common import Scratch, marked
+from riskloom.llm._common import Scratch, marked, release
 
 #: What dedup adds; columns of these names in the input are replaced.
 FOUND = ("_removed_words", "_removed_blocks", "_overlaps")
@@ -235,6 +235,7 @@ def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col
 
     def cut(batches):
         """The segments of each text: hashes, words and places of its units with words."""
+        release()
         fields = ("doc_id", "t", "part", "h", "w", "u")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -307,6 +308,7 @@ def dedup(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col
     fields = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
 
     def rewrite(batches):
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

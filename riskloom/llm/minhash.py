@@ -35,7 +35,7 @@ from riskloom.llm._common import Scratch, fingerprint128, marked, sole
 from riskloom.llm._linking import link, overlapping
 
 #: Words remembered by a worker.
-MEMORY = 500_000
+MEMORY = 50_000
 
 
 class WordHashes(dict):

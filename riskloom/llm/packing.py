@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import _tokens
+from riskloom.llm._common import bound_batches
 
 SCHEMA = "doc_id long, start long, length long, token_bytes binary, doc_tokens long"
 #: Bytes of ids handed to Spark at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def cut(n: int, max_length: int) -> list[tuple[int, int]]:
@@ -44,6 +45,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     sequence_id, offset (0: a piece is a whole sequence) and bucket (the binary logarithm of length)."""
     if max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
+    bound_batches(docs.sparkSession)
     end, keep = np.asarray([end_id], "<u4").tobytes(), keep or {}
     extra = list(keep)
 

@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskloom.llm import chroma, minhash, neighbours
+from riskloom.llm import _common, chroma, minhash, neighbours
 from riskloom.llm._common import Scratch, marked
 from riskloom.llm import _components, _linking
 
@@ -299,3 +299,9 @@ def test_nearby_equals_pairwise():
         side = [i % 3 == 0 for i in range(30)]
         assert {tuple(sorted(p)) for p in chroma.nearby(prints, places, side, comps, 0.25, 0.5)} == {(i, j) for i in range(30) for j in range(i + 1, 30) if side[i] != side[j] and want(i, j)}
     chroma.AREA = 4_000_000
+
+
+def test_words_remembered_by_a_worker_are_few():
+    for a in range(0, 80_000, 8_000):
+        minhash.shingles(" ".join(f"w{i}" for i in range(a, a + 8_000)), 5)
+    assert len(_common.sole("words", minhash.WordHashes)) <= 50_001
