@@ -66,16 +66,18 @@ def compare(base: DataFrame, other: DataFrame, keys: list[str], measure: str, to
     return both.select(*keys, "base_value", "other_value", delta.alias("delta"), status.alias("status"))
 
 
-def threshold_table(scores: DataFrame) -> DataFrame:
-    """scores(score, label 0/1) to one row for each distinct score: confusion counts if that score and more is positive.
+def threshold_table(scores: DataFrame, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """scores(score, label 0/1) to one row for each distinct score: confusion counts if that score and more is positive; of
+    each group, if by names columns (without nulls).
 
     Scores are summed before the ordering, so its single task sees distinct scores only; round them beforehand where
     they are continuous."""
-    per = scores.groupBy("score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = per.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return per.select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp")).crossJoin(F.broadcast(total)).select(
-        F.col("score").alias("threshold"), "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn")
+    per = scores.groupBy(*by, "score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
+    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    total = per.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    summed = per.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
+    return (summed.join(total, list(by)) if by else summed.crossJoin(F.broadcast(total))).select(
+        *by, F.col("score").alias("threshold"), "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn")
     )
 
 
@@ -92,18 +94,18 @@ def best_under_fpr(table: DataFrame, cap: float) -> DataFrame:
     return table.withColumns({"recall": F.round(recall, 6), "fpr": F.round(fpr, 6)}).where(fpr <= cap).orderBy(F.desc("recall"), "fpr", "threshold").limit(1)
 
 
-def rank_metrics(scores: DataFrame, table: DataFrame) -> DataFrame:
-    """Average precision, area under the ROC curve (ties halved) and Brier score; the first two are null where the rows have
-    one label only."""
-    step = Window.orderBy(F.desc("threshold"))
+def rank_metrics(scores: DataFrame, table: DataFrame, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Average precision, area under the ROC curve (ties halved) and Brier score, of each group if by names columns; the first
+    two are null where the rows have one label only."""
+    step = Window.partitionBy(*by).orderBy(F.desc("threshold"))
     prior = lambda c: F.coalesce(F.lag(c).over(step), F.lit(0))
     both = table.where("tp + fn > 0 AND fp + tn > 0")
-    areas = both.select("tp", "fp", "fn", "tn", prior("tp").alias("tp0"), prior("fp").alias("fp0")).select(
-        ((F.col("tp") - F.col("tp0")) / (F.col("tp") + F.col("fn")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
+    areas = both.select(*by, "tp", "fp", "fn", "tn", prior("tp").alias("tp0"), prior("fp").alias("fp0")).select(
+        *by, ((F.col("tp") - F.col("tp0")) / (F.col("tp") + F.col("fn")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
         ((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2 / (F.col("tp") + F.col("fn")) / (F.col("fp") + F.col("tn"))).alias("auc"),
-    ).agg(F.round(F.sum("ap"), 6).alias("average_precision"), F.round(F.sum("auc"), 6).alias("roc_auc"))
-    brier = scores.agg(F.round(F.avg((F.col("score") - F.col("label")) ** 2), 6).alias("brier"))
-    return areas.crossJoin(brier)
+    ).groupBy(*by).agg(F.round(F.sum("ap"), 6).alias("average_precision"), F.round(F.sum("auc"), 6).alias("roc_auc"))
+    brier = scores.groupBy(*by).agg(F.round(F.avg((F.col("score") - F.col("label")) ** 2), 6).alias("brier"))
+    return brier.join(areas, list(by), "left") if by else areas.crossJoin(brier)
 
 
 def agreement(rows: DataFrame, readings: list[Column], confidence: Column, positive: Column, floors: tuple[float, ...]) -> DataFrame:

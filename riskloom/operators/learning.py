@@ -137,9 +137,13 @@ def fit_text_model(train: DataFrame, *, features: list | None = None, c: float =
     return PipelineModel([*made.stages, model])
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there."""
-    where = f"{shared_folder(df.sparkSession)}/features-{uuid.uuid4().hex}"
+    where = scratch_path(df.sparkSession, "features")
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 

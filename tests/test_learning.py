@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from riskloom.operators import evaluation as ev
 from riskloom.operators import learning as L
+from riskloom.operators import side_by_side as S
 from riskloom.sources import sinks
 
 
@@ -117,3 +118,43 @@ def test_sinks(spark, tmp_path):
     templates = spark.createDataFrame([("Pay {amount} to {who}", 1), ("Hi {who}", 0)], "template string, label int")
     out = sinks.from_templates(templates, 24, {"amount": ["1", "2"], "who": ["a", "b", "c"]})
     assert out.count() == 48 and out.where(F.col("text").contains("{")).count() == 0 and out.select("group_id").distinct().count() == 2
+
+
+def test_sources_side_by_side(spark, corpus, monkeypatch):
+    """The models that are fitted at once give the metrics of a fit for each source, over more models than are solved at once, whichever way
+    their terms are found; rows of a null source train, those without a text or a label do no harm."""
+    monkeypatch.setattr(S, "SOLVED", 2)
+    noise = F.concat_ws(" ", "text", F.when(F.col("id") % 9 == 0, "cash agenda prize").when(F.col("id") % 7 == 0, "lunch review urgent urgent"))
+    source = F.element_at(F.array(*map(F.lit, ["a", "b", "c"])), (F.col("id") % 6 / 2).cast("int") + 1)
+    rows = corpus.select(noise.alias("text"), "label", F.when(F.col("id") < 55, source).when(F.col("id") % 2 == 1, "one label").alias("source"))
+    want = {r.source: r for r in L.leave_one_source_out(rows, fit=lambda d: L.fit_text_model(d, features=L.text_features(vocabulary=30))).collect()}
+    odd = spark.createDataFrame([("cash", None, "a")], "text string, label int, source string")
+    for first in (2.0, 0.5):
+        monkeypatch.setattr(S, "FIRST", first)
+        got = {r.source: r for r in S.leave_one_source_out(rows.unionByName(odd), vocabulary=30).collect()}
+        assert set(got) == set(want) == {"a", "b", "c", "one label"}
+        for s, r in want.items():
+            assert (got[s].roc_auc is None) == (r.roc_auc is None) and got[s].brier == pytest.approx(r.brier, abs=2e-3)
+            assert r.roc_auc is None or (got[s].roc_auc == pytest.approx(r.roc_auc, abs=0.02) and got[s].average_precision == pytest.approx(r.average_precision, abs=0.02))
+    alone = S.leave_one_source_out(rows.where("source = 'a' OR (source = 'b' AND label = 1)")).collect()
+    assert {r.source: r.brier is None for r in alone} == {"a": True, "b": False}
+
+
+def test_first_terms_are_the_terms(spark, corpus, monkeypatch):
+    rows = S.term_rows(corpus.select("text", "label", F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("source")))
+    sizes = {s: rows.where(~F.col("source").eqNullSafe(s)).count() for s in ("s1", "s2")}
+    plain = lambda made: [{t: n for t, n in zip(made[0].to_pylist(), row, strict=True) if n} for row in made[1]]
+    want = plain(S.vocabularies(S.term_counts(rows), sizes, 20, 3.0, 0.95))
+    assert plain(S.first_vocabularies(rows, S.first_terms(rows, sizes, 20, 3.0), sizes, 20, 3.0, 0.95) or (S.vocabularies(S.term_counts(rows), sizes, 20, 3.0, 0.95))) == want
+    assert [len(x) for x in want] == [20, 20] and all(3 <= n <= 0.95 * k for x, k in zip(want, sizes.values(), strict=True) for n in x.values())
+    monkeypatch.setattr(S, "FIRST", 1.0)
+    assert S.first_vocabularies(rows, S.first_terms(rows, sizes, 20, 3.0), sizes, 20, 3.0, 0.95) is None  # others may belong to it
+
+
+def test_one_pass_serves_all_sources(spark, corpus, monkeypatch):
+    """The passes over the rows do not grow with the number of sources, as fits for each source do."""
+    passes = []
+    whole = S.passed
+    monkeypatch.setattr(S, "passed", lambda *a: passes.append(1) or whole(*a))
+    rows = corpus.select("text", "label", F.concat(F.lit("s"), (F.floor(F.col("id") / 2) % 5).cast("string")).alias("source"))
+    assert S.leave_one_source_out(rows).count() == 5 and len(passes) < 100
