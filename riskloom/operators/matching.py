@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import network as N
+from riskloom.plans.folders import shared_folder
 
 
 def suffix_match(df: DataFrame, host_col: str, registry: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -34,21 +37,51 @@ def shared_key_edges(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(least, F.col(key) == F.col("_key")).select("a", F.col(value).alias("b")).where("a <> b").distinct()
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and where. Its size is that of its files: a checkpoint keeps the planner's estimate,
+    a product of sizes after a join, whose digits multiply from round to round until they fill the driver's memory."""
+    where = f"{shared_folder(df.sparkSession)}/components-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where), where
+
+
+def _dropped(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(spark, edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     """edges(a, b) of strings or longs to (node, component), the least node reached.
 
-    Each round every node takes the least label among itself and its neighbours, then its label's label, until nothing
-    changes; labels are checkpointed to the folder of spark.checkpoint.dir."""
+    Each round every node takes the least label among itself and its neighbours, the node that it had as label takes it too,
+    and then every node its label's label, until nothing changes. So a whole region joins its neighbour in one round, wherever
+    they touch: 13 rounds do for a path of 20,000 nodes in any order. Labels are written to the folder of spark.checkpoint.dir;
+    no join of a round is a broadcast, so the driver learns counts only."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = both.checkpoint() if checkpoint else both
+    kind, files = both.schema["a"].dataType, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        if not checkpoint:
+            return df
+        df, where = _written(df)
+        files.append(where)
+        return df
+
+    both = kept(both)
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", "component", F.least("component", "least").alias("next"))
+        near = both.hint("merge").join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
+        heard = labels.hint("merge").join(near, labels.node == near.a, "left").select("node", "component", F.least("component", "least").alias("next"))
+        told = F.struct(F.col("component").alias("node"), F.lit(None).cast(kind).alias("component"), "next")
+        step = heard.select(F.inline(F.array(F.struct("node", "component", "next"), told))).groupBy("node").agg(F.max("component").alias("component"), F.min("next").alias("next"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        step = step.join(jump, "next", "left").select("node", "component", F.least("next", "far").alias("next"))
-        step = step.checkpoint() if checkpoint else step
-        if step.where("component <> next").isEmpty():
+        step = kept(step.hint("merge").join(jump, "next", "left").select("node", "component", F.least("next", "far").alias("next")))
+        done = step.where("component <> next").isEmpty()
+        spent = slice(0 if done else 1, -1)  # the links are read by every round
+        for where in files[spent]:
+            _dropped(spark, where)
+        del files[spent]
+        if done:
             return step.select("node", "component")
         labels = step.select("node", F.col("next").alias("component"))
 

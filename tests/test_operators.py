@@ -1,5 +1,7 @@
 """Operators on small hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,17 @@ def test_components_join_chains(spark):
     assert set(out[i] for i in range(1, 41)) == {1} and out[101] == 100
 
 
+def test_components_of_paths_in_any_order_take_few_rounds_and_small_plans(spark, monkeypatch):
+    """Labels of regions that touch far from their least node took a round for each step, and the planner's size estimates doubled in digits."""
+    order = random.Random(7).sample(range(48), 48)
+    edges = [(f"n{a:02}", f"n{b:02}") for a, b in zip(order, order[1:])] + [("x", "y")]
+    rounds, write = [], M._written
+    monkeypatch.setattr(M, "_written", lambda df: rounds.append(1) or write(df))
+    out = M.components(spark, spark.createDataFrame(edges, "a string, b string"))
+    assert {r.node: r.component for r in out.collect()} == {**{f"n{i:02}": "n00" for i in order}, "x": "x", "y": "x"}
+    assert len(rounds) <= 8 and out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+
+
 def test_suffix_match_respects_label_borders(spark):
     reg = spark.createDataFrame([("example.com", "a"), ("b.example.com", "c")], "domain string, kind string")
     hosts = spark.createDataFrame([(1, "x.b.example.com"), (2, "notexample.com"), (3, "example.com")], "id int, host string")
