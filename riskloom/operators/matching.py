@@ -55,7 +55,7 @@ def components(spark, edges: DataFrame, checkpoint: bool = True) -> DataFrame:
 
     Each round every node takes the least label among itself and its neighbours, the node that it had as label takes it too,
     and then every node its label's label, until nothing changes. So a whole region joins its neighbour in one round, wherever
-    they touch: 13 rounds do for a path of 20,000 nodes in any order. Labels are written to the folder of spark.checkpoint.dir;
+    they touch: in a simulation paths of 20,000 nodes in four orders took 13 to 15 rounds. Labels are written to the folder of spark.checkpoint.dir;
     no join of a round is a broadcast, so the driver learns counts only."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     kind, files = both.schema["a"].dataType, []
